@@ -218,12 +218,12 @@ _PERFORMANCE = {
                {_pct("payment_info_sessions", "total_sessions")} AS payment_info_rate,
                {_pct("purchase_sessions", "total_sessions")} AS purchase_session_rate
         FROM (SELECT channel_group, count(*) AS total_sessions,
-                     count_if(view_item_flag = 1) AS product_view_sessions,
-                     count_if(add_to_cart_flag = 1) AS add_to_cart_sessions,
-                     count_if(begin_checkout_flag = 1) AS checkout_sessions,
-                     count_if(add_shipping_info_flag = 1) AS shipping_info_sessions,
-                     count_if(add_payment_info_flag = 1) AS payment_info_sessions,
-                     count_if(purchase_flag = 1) AS purchase_sessions
+                     count(*) FILTER (WHERE view_item_flag = 1) AS product_view_sessions,
+                     count(*) FILTER (WHERE add_to_cart_flag = 1) AS add_to_cart_sessions,
+                     count(*) FILTER (WHERE begin_checkout_flag = 1) AS checkout_sessions,
+                     count(*) FILTER (WHERE add_shipping_info_flag = 1) AS shipping_info_sessions,
+                     count(*) FILTER (WHERE add_payment_info_flag = 1) AS payment_info_sessions,
+                     count(*) FILTER (WHERE purchase_flag = 1) AS purchase_sessions
               FROM marketing GROUP BY channel_group)""",
     "channel_revenue": f"""
         SELECT v.*, s.revenue_share_pct
@@ -438,7 +438,7 @@ _DASHBOARDS = {
     )
     + " FROM (SELECT session_type, count(*) AS view_sessions, "
     + ", ".join(
-        f"count_if({s}_flag = 1) AS {s}_sessions"
+        f"count(*) FILTER (WHERE {s}_flag = 1) AS {s}_sessions"
         for s in ("add_to_cart", "begin_checkout", "add_shipping_info",
                   "add_payment_info", "purchase")
     )

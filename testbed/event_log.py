@@ -106,6 +106,11 @@ def session_days(timed: DataFrame) -> DataFrame:
     )
 
 
+def write_event_log(events: DataFrame, path: str) -> None:
+    """Write the event log of the given events, partitioned by day."""
+    event_log(events).write.mode("overwrite").partitionBy("event_date").parquet(path)
+
+
 def _string_entry(key: str, value: Column) -> Column:
     filled = F.struct(value.alias("string_value"), F.lit(None).cast("long").alias("int_value"))
     return F.when(value.isNotNull(), F.struct(F.lit(key).alias("key"), filled.alias("value")))
@@ -117,9 +122,14 @@ def _int_entry(key: str, value: Column) -> Column:
 
 
 def event_log(events: DataFrame) -> DataFrame:
-    """Nested event log rows in the schema of ``EVENT_SCHEMA``."""
+    """Nested event log rows in the schema of ``EVENT_SCHEMA``, brought together by day.
+
+    The rebalance hint lets adaptive execution split a heavy day over several
+    tasks and merge light ones, so files of the log stay even. It is placed before
+    the rows are widened.
+    """
     timed = timed_events(events)
-    e = timed.join(session_days(timed), ["user_id", "day"])
+    e = timed.join(session_days(timed), ["user_id", "day"]).hint("rebalance", "day")
     event_id, user_id, k = F.col("event_id"), F.col("user_id"), F.col("k")
 
     number = (

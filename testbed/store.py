@@ -8,9 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from testbed.event_log import event_log
+from testbed.event_log import event_log, write_event_log
 from trailmark.settings import sized_shuffles
-from trailmark.sources.event_log import read_events, write_events
+from trailmark.sources.event_log import read_events
 from trailmark.workspace import Workspace
 
 _lock = threading.Lock()
@@ -67,7 +67,7 @@ def _open(spark: SparkSession, path: str, input_bytes: int) -> Workspace:
         with writing:
             if not log:
                 with sized_shuffles(spark, input_bytes):
-                    write_events(event_log(spark.read.parquet(path)), f"{root}/event_log")
+                    write_event_log(spark.read.parquet(path), f"{root}/event_log")
                 log.append(read_events(spark, f"{root}/event_log"))
         return log[0]
 

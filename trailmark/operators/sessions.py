@@ -42,13 +42,16 @@ def flat_events(events: DataFrame) -> DataFrame:
     )
 
 
+def identified(events: DataFrame) -> DataFrame:
+    """Flat events that have a user and a session."""
+    return flat_events(events).filter(
+        F.col("user_pseudo_id").isNotNull() & F.col("ga_session_id").isNotNull()
+    )
+
+
 def sessionized(events: DataFrame) -> DataFrame:
     """Flat events with ``unique_session_id``; events lacking a user or session go."""
-    return (
-        flat_events(events)
-        .filter(F.col("user_pseudo_id").isNotNull() & F.col("ga_session_id").isNotNull())
-        .withColumn("unique_session_id", session_key())
-    )
+    return identified(events).withColumn("unique_session_id", session_key())
 
 
 def has_traffic(source: str = "event_source", medium: str = "event_medium") -> Column:
@@ -99,17 +102,20 @@ def session_facts(events: DataFrame, stages: Sequence[str] = STAGES) -> DataFram
 
     Events are combined on the map side by session and number. The window then
     spreads the session's values over its few rows (one per distinct number), so
-    neither shuffle carries raw events and no join is needed.
+    neither shuffle carries raw events and no join is needed. The session id is
+    made from user and session after the aggregate; the numeric key comes first
+    because the aggregate sorts and numbers compare faster than strings.
     """
     by_number = (
-        sessionized(events)
-        .groupBy(*SESSION_KEYS)
+        identified(events)
+        .groupBy("ga_session_id", "user_pseudo_id", "ga_session_number")
         .agg(
             F.min("event_timestamp").alias("earliest_event_timestamp"),
             first_traffic().alias("first_traffic"),
             *stage_flags(stages),
             F.sum("purchase_revenue_usd").alias("revenue"),
         )
+        .withColumn("unique_session_id", session_key())
     )
     session = Window.partitionBy("unique_session_id")
     return by_number.select(

@@ -79,13 +79,14 @@ def marketing_of(facts: DataFrame) -> DataFrame:
 def session_model_final(marketing: DataFrame) -> DataFrame:
     """Marketing rows with calendar fields and session type; unclassifiable rows go."""
     day = utc_date("earliest_event_timestamp")
-    return marketing.select(
+    # The condition for having a type, in a form that reaches the scan.
+    return marketing.filter(F.col("ga_session_number") >= 1).select(
         *MARKETING_COLUMNS,
         F.timestamp_micros("earliest_event_timestamp").alias("session_timestamp"),
         day.alias("session_date"),
         month_start(day).alias("session_month"),
         session_type().alias("session_type"),
-    ).filter(F.col("session_type").isNotNull())
+    )
 
 
 def user_purchase_frequency(sessions: DataFrame) -> DataFrame:

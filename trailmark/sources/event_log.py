@@ -67,17 +67,3 @@ def read_events(
     """
     return within_days(spark.read.schema(EVENT_SCHEMA).parquet(path), start, end)
 
-
-def write_events(events: DataFrame, path: str) -> None:
-    """Write an event log partitioned by day.
-
-    The rebalance hint lets adaptive execution split a heavy day over several
-    tasks and merge light ones, so file sizes stay even whatever the day sizes are.
-    """
-    (
-        events.select(EVENT_SCHEMA.fieldNames())
-        .hint("rebalance", "event_date")
-        .write.mode("overwrite")
-        .partitionBy("event_date")
-        .parquet(path)
-    )
