@@ -10,14 +10,24 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def two_decimals(value: Column | str) -> Column:
+    """Round a double to two decimals, halves away from zero.
+
+    The double is scaled and rounded to a whole number, as engines with binary
+    rounding do. ``round(x, 2)`` would go by the shortest decimal text instead and
+    turn 34.285 (stored slightly below) into 34.29.
+    """
+    return F.round(_col(value) * 100) / 100
+
+
 def pct(part: Column | str, whole: Column | str) -> Column:
     """``part`` in percent of ``whole``, two decimals; NULL if ``whole`` is 0."""
-    return F.round(F.try_divide(_col(part), _col(whole)) * 100, 2)
+    return two_decimals(F.try_divide(_col(part), _col(whole)) * 100)
 
 
 def ratio(part: Column | str, whole: Column | str) -> Column:
     """``part`` per ``whole``, two decimals; NULL if ``whole`` is 0."""
-    return F.round(F.try_divide(_col(part), _col(whole)), 2)
+    return two_decimals(F.try_divide(_col(part), _col(whole)))
 
 
 def rows() -> Column:

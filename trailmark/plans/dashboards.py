@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.metrics import pct, ratio, rows
+from trailmark.functions.metrics import pct, ratio, rows, two_decimals
 from trailmark.operators.sessions import STAGES, flag
 from trailmark.operators.shares import share_over_labels
 
@@ -54,7 +54,7 @@ def _kpis(sessions: DataFrame, *keys: Column | str) -> DataFrame:
             "users",
             "sessions",
             "purchase_sessions",
-            F.round("revenue", 2).alias("revenue_usd"),
+            two_decimals("revenue").alias("revenue_usd"),
             pct("purchase_sessions", "sessions").alias("conversion_rate"),
             ratio("revenue", "sessions").alias("revenue_per_session_usd"),
         )
@@ -96,7 +96,7 @@ def user_type_value(sessions: DataFrame) -> DataFrame:
         "session_share_pct",
         "purchase_sessions",
         pct("purchase_sessions", "sessions").alias("conversion_rate"),
-        F.round("revenue", 2).alias("revenue_usd"),
+        two_decimals("revenue").alias("revenue_usd"),
         "revenue_share_pct",
         ratio("revenue", "sessions").alias("revenue_per_session_usd"),
     ).orderBy("session_type")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.channels import DATA_UNAVAILABLE, SELF_REFERRAL, UNATTRIBUTED
-from trailmark.functions.metrics import pct, ratio, rows
+from trailmark.functions.metrics import pct, ratio, rows, two_decimals
 from trailmark.operators.sessions import STAGES, flag
 from trailmark.operators.shares import share_over_labels, share_over_values
 
@@ -55,7 +55,7 @@ def value_measures() -> list[Column]:
     return [
         "total_sessions",
         "purchase_sessions",
-        F.round("revenue", 2).alias("total_revenue_usd"),
+        two_decimals("revenue").alias("total_revenue_usd"),
         pct("purchase_sessions", "total_sessions").alias("purchase_session_rate"),
         ratio("revenue", "total_sessions").alias("revenue_per_session_usd"),
         ratio("revenue", "purchase_sessions").alias("avg_revenue_per_purchasing_session_usd"),

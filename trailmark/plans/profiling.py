@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.calendar import shard_day
-from trailmark.functions.metrics import known, missing, pct, rows
+from trailmark.functions.metrics import known, missing, pct, rows, two_decimals
 from trailmark.functions.params import int_param, param_count, session_key
-from trailmark.operators.sessions import flat_events, sessionized
+from trailmark.operators.sessions import flat_events, identified
 from trailmark.operators.shares import share_over_values
 
 # Parameters the models look up.
@@ -85,20 +85,25 @@ def volumes(events: DataFrame) -> DataFrame:
 def top_sessions(events: DataFrame, n: int = 20) -> DataFrame:
     """The ``n`` sessions with the most events; ties by session id."""
     return (
-        sessionized(events)
-        .groupBy("user_pseudo_id", "unique_session_id")
+        identified(events)
+        .groupBy("user_pseudo_id", "ga_session_id")
         .agg(rows().alias("event_count"))
+        .select("user_pseudo_id", session_key().alias("unique_session_id"), "event_count")
         .orderBy(F.desc("event_count"), "unique_session_id")
         .limit(n)
     )
 
 
 def sessions_by_user(events: DataFrame) -> DataFrame:
-    """Distinct sessions of each user."""
+    """Distinct sessions of each user.
+
+    Within a user the session id alone tells sessions apart. The distinct count
+    first reduces to (user, session) pairs, so a heavy user is not one task's work.
+    """
     return (
-        sessionized(events)
+        identified(events)
         .groupBy("user_pseudo_id")
-        .agg(F.count_distinct("unique_session_id").alias("session_count"))
+        .agg(F.count_distinct("ga_session_id").alias("session_count"))
     )
 
 
@@ -106,7 +111,7 @@ def sessions_per_user(events: DataFrame) -> DataFrame:
     return sessions_by_user(events).agg(
         rows().alias("total_distinct_users"),
         F.sum("session_count").alias("total_distinct_sessions"),
-        F.round(F.avg("session_count"), 2).alias("average_sessions_per_user"),
+        two_decimals(F.avg("session_count")).alias("average_sessions_per_user"),
         F.min("session_count").alias("minimum_sessions_per_user"),
         F.max("session_count").alias("maximum_sessions_per_user"),
     )
