@@ -493,6 +493,23 @@ _BLOCKS = {
         FROM hits GROUP BY user_pseudo_id""",
 }
 
+_BLOCKS |= {
+    "completeness": f"""
+        SELECT count(*) AS total_events, count(event_campaign) AS events_with_campaign,
+               count(*) - count(event_campaign) AS events_without_campaign,
+               {_pct("count(event_campaign)", "count(*)")} AS campaign_completeness_pct
+        FROM log""",
+    "pct_and_ratio": f"""
+        SELECT make_timestamp(event_timestamp)::DATE AS day,
+               {_pct("count(event_campaign)", "count(*)")} AS campaign_pct,
+               {_ratio("sum(revenue)", "count(event_campaign)")} AS revenue_per_campaign_event
+        FROM log GROUP BY ALL""",
+    "share_of_total": f"""
+        SELECT event_date, events, {_share("events")} AS event_share_pct
+        FROM ({_BLOCKS["read_events"]})""",
+    "materialize": _PERFORMANCE["channel_funnel"],
+}
+
 
 def all_statements() -> dict[str, str]:
     groups = (

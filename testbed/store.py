@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from testbed.event_log import event_log, write_event_log
-from trailmark.settings import sized_shuffles
+from trailmark.settings import size_shuffles
 from trailmark.sources.event_log import read_events
 from trailmark.workspace import Workspace
 
@@ -24,7 +24,7 @@ def shared_root(spark: SparkSession) -> str | None:
     Where none is set, a local master gets a temporary folder and a cluster gets
     none, as a folder of one machine would not do there.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -51,14 +51,15 @@ def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     key = (spark.sparkContext.applicationId, path, *state)
     with _lock:
         if key not in _workspaces:
-            _workspaces[key] = _open(spark, path, state[1])
+            size_shuffles(spark, state[1])
+            _workspaces[key] = _open(spark, path)
         return _workspaces[key]
 
 
-def _open(spark: SparkSession, path: str, input_bytes: int) -> Workspace:
+def _open(spark: SparkSession, path: str) -> Workspace:
     root = shared_root(spark)
     if root is None:
-        return Workspace(spark, lambda: event_log(spark.read.parquet(path)), None)
+        return Workspace(lambda: event_log(spark.read.parquet(path)), None)
     root = f"{root}/trailmark-{uuid.uuid4().hex}"
     log: list[DataFrame] = []
     writing = threading.Lock()
@@ -66,9 +67,8 @@ def _open(spark: SparkSession, path: str, input_bytes: int) -> Workspace:
     def events() -> DataFrame:
         with writing:
             if not log:
-                with sized_shuffles(spark, input_bytes):
-                    write_event_log(spark.read.parquet(path), f"{root}/event_log")
+                write_event_log(spark.read.parquet(path), f"{root}/event_log")
                 log.append(read_events(spark, f"{root}/event_log"))
         return log[0]
 
-    return Workspace(spark, events, root, input_bytes)
+    return Workspace(events, root)

@@ -6,7 +6,7 @@ from conftest import SF_DIR
 
 from testbed import store
 from testbed.event_log import event_log
-from trailmark.settings import SHUFFLE_BYTES, sized_shuffles
+from trailmark.settings import SHUFFLE_BYTES, size_shuffles
 from trailmark.sources.tables import materialize, read_table
 from trailmark.workspace import Workspace
 
@@ -32,7 +32,7 @@ def test_table_is_created_and_replaced_by_name(spark):
 
 def test_stored_and_computed_tables_agree(spark):
     given = spark.read.parquet(f"{SF_DIR}/events.parquet")
-    computed = Workspace(spark, lambda: event_log(given), None)
+    computed = Workspace(lambda: event_log(given), None)
     stored = store.workspace(spark, SF_DIR)
     for table in ("acquisition", "purchasers", "weekly_retention", "channel_retention"):
         left, right = getattr(computed, table)(), getattr(stored, table)()
@@ -75,11 +75,15 @@ def test_changed_input_gets_its_own_tables(spark, tmp_path):
     assert second.events().count() == 100 and first.events().count() == 1000
 
 
-def test_shuffles_grow_with_the_input_and_return(spark):
+def test_shuffles_grow_with_the_input_and_never_shrink(spark):
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
-    with sized_shuffles(spark, 1000 * SHUFFLE_BYTES):
-        assert spark.conf.get(key) == "1000"
-    with sized_shuffles(spark, 10):
+    try:
+        size_shuffles(spark, 10)
         assert spark.conf.get(key) == before
-    assert spark.conf.get(key) == before
+        size_shuffles(spark, 1000 * SHUFFLE_BYTES)
+        assert spark.conf.get(key) == "1000"
+        size_shuffles(spark, 10)
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.set(key, before)

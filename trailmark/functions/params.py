@@ -27,7 +27,8 @@ def int_param(key: str) -> Column:
 
 def param_count(key: str, params: str = "event_params") -> Column:
     """How often ``key`` occurs in the parameter list."""
-    return F.size(F.filter(F.col(f"{params}.key"), lambda name: name == key))
+    keys = F.col(f"{params}.key")
+    return F.size(keys) - F.size(F.array_remove(keys, key))
 
 
 def session_key(user: str = "user_pseudo_id", session: str = "ga_session_id") -> Column:

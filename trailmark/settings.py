@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -27,17 +25,13 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
-@contextmanager
-def sized_shuffles(spark: SparkSession, input_bytes: int) -> Iterator[None]:
-    """Within the block, give shuffles enough partitions for ``input_bytes``.
+def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
+    """Give the session's shuffles enough partitions for ``input_bytes``.
 
     Never lowers the configured number: adaptive execution merges small partitions
     by itself but cannot split the large ones of an aggregate.
     """
     key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(max(int(before), math.ceil(input_bytes / SHUFFLE_BYTES))))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    needed = math.ceil(input_bytes / SHUFFLE_BYTES)
+    if needed > int(spark.conf.get(key)):
+        spark.conf.set(key, str(needed))

@@ -5,12 +5,11 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from trailmark.operators.cohorts import exact_day_retention, retention_rates
 from trailmark.operators.sessions import session_facts
 from trailmark.plans import models
-from trailmark.settings import sized_shuffles
 from trailmark.sources.tables import materialize
 
 
@@ -26,62 +25,66 @@ class Workspace:
 
     def __init__(
         self,
-        spark: SparkSession,
         events: Callable[[], DataFrame],
         root: str | None,
-        input_bytes: int = 0,
     ):
-        self.spark = spark
         self._events = events
         self._root = root
-        self._input_bytes = input_bytes
         self._stored: dict[str, DataFrame] = {}
+        self._views: dict[str, DataFrame] = {}
         self._lock = threading.RLock()
 
-    def _store(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The table ``name``, written from ``build`` on first use."""
         with self._lock:
             if name not in self._stored:
                 if self._root is None:
                     return build()
-                with sized_shuffles(self.spark, self._input_bytes):
-                    self._stored[name] = materialize(build(), f"{self._root}/{name}")
+                self._stored[name] = materialize(build(), f"{self._root}/{name}")
             return self._stored[name]
 
+    def _view(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A projection of stored tables; only its plan is kept."""
+        with self._lock:
+            if name not in self._views:
+                self._views[name] = build()
+            return self._views[name]
+
     def events(self) -> DataFrame:
         return self._events()
 
     def facts(self) -> DataFrame:
-        return self._store("session_facts", lambda: session_facts(self.events()))
+        return self.stored("session_facts", lambda: session_facts(self.events()))
 
     def acquisition(self) -> DataFrame:
-        return models.acquisition_of(self.facts())
+        return self._view("acquisition", lambda: models.acquisition_of(self.facts()))
 
     def ecommerce(self) -> DataFrame:
-        return models.ecommerce_of(self.facts())
+        return self._view("ecommerce", lambda: models.ecommerce_of(self.facts()))
 
     def marketing(self) -> DataFrame:
-        return models.marketing_of(self.facts())
+        return self._view("marketing", lambda: models.marketing_of(self.facts()))
 
     def sessions(self) -> DataFrame:
         """The final session table."""
-        return models.session_model_final(self.marketing())
+        return self._view("sessions", lambda: models.session_model_final(self.marketing()))
 
     def purchasers(self) -> DataFrame:
-        return self._store(
+        return self.stored(
             "user_purchase_frequency", lambda: models.user_purchase_frequency(self.sessions())
         )
 
     def retention_users(self) -> DataFrame:
-        return self._store("user_retention", lambda: exact_day_retention(self.sessions()))
+        return self.stored("user_retention", lambda: exact_day_retention(self.sessions()))
 
     def weekly_retention(self) -> DataFrame:
-        return self._store(
+        return self.stored(
             "cohort_weekly_retention",
             lambda: retention_rates(self.retention_users(), "cohort_week"),
         )
 
     def channel_retention(self) -> DataFrame:
-        return self._store(
+        return self.stored(
             "channel_retention",
             lambda: retention_rates(
                 self.retention_users().withColumnRenamed("first_session_channel", "channel_group"),
@@ -100,5 +103,4 @@ class Workspace:
             "cohort_weekly_retention": self.weekly_retention,
             "channel_retention": self.channel_retention,
         }
-        with sized_shuffles(self.spark, self._input_bytes):
-            return {name: materialize(build(), target(name)) for name, build in tables.items()}
+        return {name: materialize(build(), target(name)) for name, build in tables.items()}
