@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+import pytest
 from conftest import SF_DIR
 
 from testbed import store
@@ -87,3 +90,30 @@ def test_shuffles_grow_with_the_input_and_never_shrink(spark):
         assert spark.conf.get(key) == "1000"
     finally:
         spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize(
+    ("setting", "set_by_call", "master", "expected"),
+    [
+        ("s3a://shared/c/", None, "spark://host:7077", "s3a://shared/c"),
+        (None, "hdfs://n/c", "spark://host:7077", "hdfs://n/c"),
+        (None, None, "spark://host:7077", None),
+    ],
+)
+def test_folder_of_the_tables(setting, set_by_call, master, expected):
+    context = SimpleNamespace(
+        master=master, applicationId="a", getCheckpointDir=lambda: set_by_call
+    )
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: setting), sparkContext=context
+    )
+    assert store.shared_root(session) == expected
+
+
+def test_local_folder_where_none_is_set():
+    context = SimpleNamespace(master="local[2]", applicationId="b", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context
+    )
+    root = store.shared_root(session)
+    assert root and store.shared_root(session) == root

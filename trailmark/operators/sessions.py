@@ -101,8 +101,9 @@ def session_facts(events: DataFrame, stages: Sequence[str] = STAGES) -> DataFram
     conflicting numbers repeats them on each of its rows.
 
     Events are combined on the map side by session and number. The window then
-    spreads the session's values over its few rows (one per distinct number), so
-    neither shuffle carries raw events and no join is needed. The session id is
+    spreads the session's values over its few rows (one per distinct number; the
+    window spills to disk should a faulty session have very many), so neither
+    shuffle carries raw events and no join is needed. The session id is
     made from user and session after the aggregate; the numeric key comes first
     because the aggregate sorts and numbers compare faster than strings.
     """
