@@ -5,9 +5,10 @@ import pytest
 import __spark_entry__ as registry
 from conftest import SF_DIR
 from oracle.compare import connect, difference
+from oracle.statements import all_statements
 
-QUERIES = registry.queries()
-STATEMENTS = registry.oracle_sql()
+STATEMENTS = all_statements()
+QUERIES = {name: query for name, query in registry.queries().items() if name in STATEMENTS}
 
 # DuckDB types of the Spark types in results.
 TYPES = {
