@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.shared import U64, Windows, WordHashes, as_bytes, shingles, shuffle_partitions, signed
+from trailmark.llm.shared import U64, Windows, WordHashes, as_bytes, in_runs, shingles, shuffle_partitions, signed
 
 WORDS = 5
 FRACTION = 1 / 8
@@ -178,6 +178,6 @@ def compare_with_next(docs: DataFrame, words: int = WORDS, fraction: float = FRA
         [(int(k), (last - i - 1) % (last + 1)) for i, k in enumerate(firsts)], "key long, chunk int"
     )
     copies = docs.join(F.broadcast(followers), "key").withColumn("is_copy", F.lit(True))
-    dealt = rows.unionByName(copies).repartitionByRange(n, "chunk")
+    dealt = in_runs(rows.unionByName(copies), "chunk", last + 1)
     ordered = dealt.sortWithinPartitions("chunk", "is_copy", F.col("key").desc(), "text")
     return ordered.select("chunk", "is_copy", "doc_id", "text").mapInArrow(_compare(words, fraction), _RESULT)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.shared import U64, mixed, shuffle_partitions, stored
+from trailmark.llm.shared import U64, in_runs, mixed, shuffle_partitions, stored
 
 LENGTH = 2048
 #: Id that ends a document.
@@ -204,7 +204,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, length: int = LENGTH) -
     begins, total = {}, 0
     for row in sorted(cut.groupBy("chunk").agg(F.sum("n").alias("n")).collect()):
         begins[row.chunk], total = total, total + row.n
-    ordered = cut.repartitionByRange(shuffle_partitions(spark), "chunk").sortWithinPartitions("chunk", "key", "doc_id")
+    ordered = in_runs(cut, "chunk", len(bounds) + 1).sortWithinPartitions("chunk", "key", "doc_id")
     return ordered.select("chunk", "doc_id", "n", "ids").mapInArrow(_lay(begins, total, length), _PIECE)
 
 

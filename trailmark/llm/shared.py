@@ -106,9 +106,9 @@ def signed(x: np.ndarray) -> np.ndarray:
 # Hash lists in blocks: a record holds many hashes of one bucket, so a shuffle moves few, compact rows.
 
 
-def bucket_bits(spark: SparkSession, per_partition: int = 8) -> int:
-    """Bits of a hash that name its bucket: some buckets for each shuffle partition."""
-    return max(4, (per_partition * shuffle_partitions(spark) - 1).bit_length())
+def bucket_bits(spark: SparkSession) -> int:
+    """Bits of a hash that name its bucket: one or two buckets for each shuffle partition."""
+    return max(4, (shuffle_partitions(spark) - 1).bit_length())
 
 
 def cut_by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
@@ -119,10 +119,15 @@ def cut_by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
         yield int(top[a]), slice(int(a), int(b))
 
 
-def by_bucket(df: DataFrame, *order: str) -> DataFrame:
-    """Bring the records of a bucket together in one task, buckets one after another."""
+def in_runs(df: DataFrame, number: str, numbers: int) -> DataFrame:
+    """Deal rows out so that each partition gets a run of the values 0 to ``numbers`` - 1 of the column ``number``."""
     n = shuffle_partitions(df.sparkSession)
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket", *order)
+    return df.repartitionById(n, F.floor(F.col(number) * F.lit(n) / F.lit(numbers)).cast("int"))
+
+
+def by_bucket(df: DataFrame, bits: int, *order: str) -> DataFrame:
+    """Bring the records of a bucket together in one task, buckets one after another."""
+    return in_runs(df, "bucket", 1 << bits).sortWithinPartitions("bucket", *order)
 
 
 def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:

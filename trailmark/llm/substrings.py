@@ -99,7 +99,7 @@ def repeated_anchor_filter(docs: DataFrame, window: int) -> np.ndarray:
     anchors = docs.select("text").mapInArrow(_anchor_blocks(window, bits), _BLOCK)
     stretch = (1 << (FILTER_BITS - bits)) // 8
     out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in by_bucket(anchors).mapInArrow(_repeated_bits(bits), _BLOCK).collect():
+    for row in by_bucket(anchors, bits).mapInArrow(_repeated_bits(bits), _BLOCK).collect():
         out[row.bucket * stretch : (row.bucket + 1) * stretch] = np.frombuffer(zlib.decompress(row.block), np.uint8)
     return out
 
@@ -253,7 +253,7 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     bits = bucket_bits(spark)
     keyed = docs.withColumn("key", row_key())
     windows = keyed.select("key", "text").mapInArrow(_window_blocks(window, bits, seen), _BLOCK)
-    starts = by_bucket(windows).mapInArrow(_repeated_windows(bits), _BLOCK)
+    starts = by_bucket(windows, bits).mapInArrow(_repeated_windows(bits), _BLOCK)
     nothing = F.lit(None)
     both = starts.select(
         "bucket", "block", *[nothing.cast(t).alias(n) for n, t in (("key", "long"), ("doc_id", "long"), ("text", "string"))]
@@ -264,7 +264,7 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
         )
     )
     # Records of starts have no key and sort before the documents of their bucket.
-    return by_bucket(both, "key").mapInArrow(_without(window), "doc_id long, text string, n_words long, n_removed long")
+    return by_bucket(both, bits, "key").mapInArrow(_without(window), "doc_id long, text string, n_words long, n_removed long")
 
 
 def digest(kept: DataFrame) -> DataFrame:
