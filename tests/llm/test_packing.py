@@ -16,8 +16,9 @@ def plain_ids(text):
     return [*t.encode(text or "", add_special_tokens=False).ids, packing.END]
 
 
-def test_ids_equal_the_tokenizers(rows):
-    ids = packing.Ids(tokenizer_file())
+@pytest.mark.parametrize("ranks", [None, "tiktoken"])
+def test_ids_equal_the_tokenizers(rows, ranks):
+    ids = packing.Ids(tokenizer_file(), ranks and tokenizer_file(ranks))
     texts = [r[1] or "" for r in rows]
     assert [np.frombuffer(x, "<u2").tolist() for x in ids.of(texts)] == [plain_ids(t) for t in texts]
 

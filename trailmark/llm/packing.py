@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +28,9 @@ _TIE_BITS = 64 - DIMENSIONS * CURVE_BITS - 1
 _SEED = 20240229
 #: Runs of the curve for each shuffle partition.
 _CHUNKS = 4
-_CHUNKS_CACHED = 300_000
+#: Pieces whose ids are remembered for good, and further ones until there are so many.
+_KEPT, _KEPT_LATER = 300_000, 100_000
+_MARKS = ",."
 
 # A single space between two other characters always begins a piece of its own in byte-level BPE.
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -34,34 +38,81 @@ _SPACE_BY_SPACE = re.compile(r"\A\s|\s\s| \Z")
 
 
 class Ids:
-    """Token ids of texts as little-endian 16-bit numbers, remembering those of words."""
+    """Token ids of texts as little-endian 16-bit numbers.
 
-    def __init__(self, tokenizer_file: str) -> None:
+    Ids of a text's pieces are remembered: those seen first, which the frequent ones are among, and some of the rest.
+    """
+
+    def __init__(self, tokenizer_file: str, ranks_file: str | None = None) -> None:
+        """``ranks_file``: the same vocabulary as ranks; new words are then merged by it, twice as fast."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_file)
         if self._tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self._of: dict[str, bytes] = {}
+        self._ranked = None
+        if ranks_file is not None:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks_file, "rb") as f:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            self._ranked = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        added = [str(x.content) for x in self._tokenizer.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self._known: dict[str, bytes] = {}
+        self._later: set[str] = set()
+        self._marks = dict(zip(_MARKS, self._encoded(list(_MARKS))))
         self._end = np.array([END], "<u2").tobytes()
 
-    def _cut(self, text: str) -> list[str]:
-        if _SPACE_BY_SPACE.search(text):
-            parts = _INNER_SPACE.split(text)
-        else:
-            parts = text.split(" ")
-        return [parts[0], *[f" {x}" for x in parts[1:]]]
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("H", x.ids).tobytes() for x in found]
+
+    def _encoded_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with a space before it."""
+        if self._ranked is None:
+            return self._encoded([f" {x}" for x in words])
+        encode, special = self._ranked.encode_ordinary, self._special
+        return [
+            self._encoded([f" {x}"])[0] if "<" in x and special.search(x) else array("H", encode(f" {x}")).tobytes()
+            for x in words
+        ]
+
+    def _learn(self, new: set[str]) -> None:
+        """``new``: pieces, each with a space before it."""
+        known, marks = self._known, self._marks
+        # A mark after a letter is a token of its own, so the word alone is encoded, once.
+        stems = {x: x[:-1] for x in new if x[-1:] in marks and x[-2:-1].isalpha()}
+        words = list(({stems.get(x, x) for x in new}).difference(known))
+        known.update(zip(words, self._encoded_words(words)))
+        known.update((x, known[stem] + marks[x[-1]]) for x, stem in stems.items())
+        if len(known) > _KEPT:
+            self._later.update(words, stems)
 
     def of(self, texts: list[str]) -> list[bytes]:
-        known = self._of
-        if len(known) > _CHUNKS_CACHED:
-            known.clear()
-        cut = [self._cut(t) if t else [] for t in texts]
-        new = list({x for parts in cut for x in parts if x not in known})
-        for x, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[x] = np.array(e.ids, "<u2").tobytes()
-        return [b"".join(map(known.__getitem__, parts)) + self._end for parts in cut]
+        """Ids of each text, ended by ``END``."""
+        cut = [(_INNER_SPACE.split(t) if _SPACE_BY_SPACE.search(t) else t.split(" ")) for t in texts]
+        begin = self._encoded([parts[0] for parts in cut])
+        rest = [parts[1:] for parts in cut]
+        if len(self._later) > _KEPT_LATER:
+            for x in self._later:
+                self._known.pop(x, None)
+            self._later = set()
+        self._learn(set().union(*rest).difference(self._known))
+        return [b + b"".join(map(self._known.__getitem__, r)) + self._end for b, r in zip(begin, rest)]
+
+
+_tokenizers: dict[tuple, Ids] = {}
+
+
+def ids_of(tokenizer_file: str, ranks_file: str | None = None) -> Ids:
+    """The process's own tokenizer; what it remembers serves all tasks that run there."""
+    key = (tokenizer_file, ranks_file)
+    if key not in _tokenizers:
+        _tokenizers[key] = Ids(*key)
+    return _tokenizers[key]
 
 
 def directions(size: int) -> np.ndarray:
@@ -101,9 +152,9 @@ def cells_of(points: np.ndarray, bits: int) -> np.ndarray:
     return np.minimum((share * (1 << bits)).astype(np.int64), (1 << bits) - 1)
 
 
-def _encode(tokenizer_file: str) -> Callable:
+def _encode(tokenizer_file: str, ranks_file: str | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, signs, step = Ids(tokenizer_file), directions(1 << 16), 512
+        tokenizer, signs, step = ids_of(tokenizer_file, ranks_file), directions(1 << 16), 512
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
@@ -173,7 +224,9 @@ def _lay(begins: dict[int, int], total: int, length: int) -> Callable:
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, length: int = LENGTH) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer_file: str, length: int = LENGTH, ranks_file: str | None = None
+) -> DataFrame:
     """Pack all documents into sequences of at most ``length`` ids, neighbours on a Hilbert curve side by side.
 
     A document's ids, ended by ``END``, are hashed to signs in a few dimensions; the sum gives its place on the curve.
@@ -183,7 +236,8 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, length: int = LENGTH) -
     Takes ``doc_id`` and ``text``, leaves other columns out, and returns a row for each piece: ``doc_id``, ``start`` in
     the document, ``length``, ``doc_tokens``, ``sequence_id``, ``offset`` in the sequence, and ``ids`` (16-bit,
     little-endian). A null or empty text is the single id ``END``; a null ``doc_id`` stays null; repeated rows are
-    packed each; an empty table gives no pieces. ``tokenizer_file`` must exist on every executor.
+    packed each; an empty table gives no pieces. ``tokenizer_file``, and ``ranks_file`` with the same vocabulary for
+    another library (optional, faster), must exist on every executor.
 
     Ids are computed once and stored, then shuffled once in runs of the curve. Where runs begin comes from percentiles
     of the keys, and where they lie from their sums, so the driver sees two numbers for each run. Equal documents have
@@ -191,7 +245,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, length: int = LENGTH) -
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = stored(docs.mapInArrow(_encode(tokenizer_file), "doc_id long, key long, n long, ids binary"))
+    encoded = stored(docs.mapInArrow(_encode(tokenizer_file, ranks_file), "doc_id long, key long, n long, ids binary"))
     chunks = shuffle_partitions(spark) * _CHUNKS
     share = [i / chunks for i in range(1, chunks)]
     bounds = np.unique(np.array(encoded.agg(F.percentile_approx("key", share, 100 * chunks)).first()[0] or [], np.int64))

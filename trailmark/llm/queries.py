@@ -13,14 +13,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(kind: str = "json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(f"byte_bpe_50k.{kind}")
 
 
 def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file()))
+    docs = _table(spark, sf_dir, "documents")
+    return packing.digest(packing.pack_documents(docs, tokenizer_file(), ranks_file=tokenizer_file("tiktoken")))
 
 
 def op2_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
