@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import fingerprints, packing, substrings
+from trailmark.llm import fingerprints, jaccard, packing, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +28,16 @@ def op2_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op8_cover_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.without_repeats(_table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_curve_packing, op2_threshold_sketch, op8_cover_anchor_dedup)}
+    return {f.__name__: f for f in (op1_curve_packing, op2_threshold_sketch, op4_ngram_jaccard_join, op8_cover_anchor_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
