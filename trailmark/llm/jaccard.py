@@ -19,12 +19,13 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.components import connected_components
-from trailmark.llm.shared import U64, Windows, WordHashes, as_bytes, shingles, signed, stored
+from trailmark.llm.shared import U64, Windows, WordHashes, as_bytes, shingles, shuffle_partitions, signed, stored
 
 #: Frequent n-grams that are put last in the order: 8 MB in every task. The order only affects speed.
 FREQUENT = 1_000_000
@@ -33,6 +34,8 @@ _OFTEN, _SEEN = 32, 3
 _GATHERED = 2_000_000
 #: Rounds of pivots at most, and undecided pairs for each member of a block below which all of them are counted.
 _ROUNDS, _FEW = 6, 4
+_CELL = 512
+_FILTER_BITS = 24
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -91,67 +94,81 @@ def _summaries(words: int, percent: int, frequent) -> Callable:
         by_hash = np.argsort(rare_first)
         names = rare_first[by_hash]
 
-        def first(grams: np.ndarray) -> bytes:
+        def first(grams: np.ndarray) -> tuple[np.ndarray, int]:
             at = np.minimum(np.searchsorted(names, grams), max(len(names) - 1, 0))
             last = names[at] == grams if len(names) else np.zeros(len(grams), bool)
             late = np.sort(by_hash[at[last]]) if last.any() else np.empty(0, int)
-            return np.concatenate([grams[~last], rare_first[late]])[: first_grams(len(grams), percent)].tobytes()
+            k = first_grams(len(grams), percent)
+            return signed(np.concatenate([grams[~last], rare_first[late]])[:k]), min(k, int((~last).sum()))
 
         for batch, sets in _sets(batches, words):
+            heads = [first(s) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_digest(s) for s in sets], pa.binary()),
-                    pa.array([first(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([h for h, _ in heads], pa.list_(pa.int64())),
+                    pa.array([n for _, n in heads], pa.int32()),
                 ],
-                names=["doc_id", "size", "digest", "first"],
+                names=["doc_id", "size", "digest", "first", "rare"],
             )
 
     return run
 
 
-def _entries(frequent) -> Callable:
-    """An entry for each of the first n-grams of a set: its place in the order, and if it is one of the frequent."""
+def _sets_by_cell(words: int) -> Callable:
+    """The set of a row's text, once for each cell in which it is compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.sort(frequent.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                lists = [np.frombuffer(x, U64) for x in part.column("first").to_pylist()]
-                counts = np.array([len(x) for x in lists], np.int64)
-                grams = np.concatenate(lists) if lists else np.empty(0, U64)
-                place = np.arange(len(grams)) - np.repeat(np.cumsum(counts) - counts, counts)
-                if len(names):
-                    late = names[np.minimum(np.searchsorted(names, grams), len(names) - 1)] == grams
-                else:
-                    late = np.zeros(len(grams), bool)
-                repeat = lambda c: pa.array(np.repeat(part.column(c).to_numpy(), counts))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(grams)), repeat("node"), repeat("size"), pa.array(place), pa.array(late)],
-                    names=["gram", "node", "size", "place", "frequent"],
-                )
+        schema = pa.schema(
+            [("a", pa.int64()), ("cell", pa.int32()), ("is_pivot", pa.bool_()), ("node", pa.int64()), ("grams", pa.binary())]
+        )
+        for batch, sets in _sets(batches, words):
+            out = []
+            columns = [batch.column(c).to_pylist() for c in ("node", "digest", "cells")]
+            for s, node, digest, cells in zip(sets, *columns):
+                if _digest(s) == digest:
+                    grams = s.tobytes()
+                    out += [{**cell, "node": node, "grams": grams} for cell in cells]
+            yield pa.RecordBatch.from_pylist(out, schema)
 
     return run
 
 
-def _sets_of_rows(words: int) -> Callable:
+def _compared(percent: int) -> Callable:
+    """In each cell, members whose overlap with the pivot reaches the threshold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, words):
-            right = [_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist())]
-            keep = [i for i, r in enumerate(right) if r]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("node").take(pa.array(keep, pa.int64())),
-                    pa.array([signed(sets[i]) for i in keep], pa.list_(pa.int64())),
-                ],
-                names=["node", "grams"],
-            )
+        pivot, own = None, None
+        for batch in batches:
+            found_a, found_b = [], []
+            columns = [batch.column(c).to_pylist() for c in ("a", "is_pivot", "node", "grams")]
+            for a, is_pivot, node, grams in zip(*columns):
+                other = np.frombuffer(grams, U64)
+                if is_pivot:
+                    pivot, own = a, other
+                    continue
+                if a != pivot:
+                    raise ValueError(f"no set for {a}")
+                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                shared = int((own[at] == other).sum())
+                if 100 * shared >= percent * (len(own) + len(other) - shared):
+                    found_a.append(a)
+                    found_b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """Bitmap of ``2 ** _FILTER_BITS`` bits with a bit set for every ``doc_id``: 2 MB, whatever the number of ids."""
+    bits = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FILTER_BITS)).cast("int").alias("bit")).distinct()
+    seen = np.zeros(1 << _FILTER_BITS, bool)
+    seen[bits.toArrow().column("bit").to_numpy()] = True
+    return np.packbits(seen)
+
+
 def _can_link(percent: int) -> Column:
     """Bounds of the overlap of two sets that meet first at this n-gram, from their sizes and its places."""
     rest = 1 + F.least(F.col("a_size") - F.col("a_place") - 1, F.col("b_size") - F.col("b_place") - 1)
@@ -181,13 +198,59 @@ def _with_pivots(entries: DataFrame, percent: int, salt: int) -> DataFrame:
     return _pairs(_side(entries, "b").join(pivots, "gram").filter("a_node != b_node"), percent)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs``, those whose overlap reaches the threshold."""
-    side = lambda name: sets.select(F.col("node").alias(name), F.col("grams").alias(f"{name}_grams"))
-    shared = F.size(F.array_intersect("a_grams", "b_grams"))
-    either = F.size("a_grams") + F.size("b_grams")
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return both.filter((100 + percent) * shared >= percent * either).select("a", "b")
+def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose first n-grams have enough in common.
+
+    Of the two lists of first n-grams one ends first in the order. All that its set shares with the other set up to
+    there is in both lists, so the overlap is at most what the lists share and the rest of that set.
+    """
+    side = lambda name: classes.select(
+        F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("first").alias(f"{name}_first")
+    )
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("a_first", "b_first"))
+    rest = F.greatest(F.col("a_size") - F.size("a_first"), F.col("b_size") - F.size("b_first"))
+    return both.filter((100 + percent) * (shared + rest) >= percent * (F.col("a_size") + F.col("b_size"))).select("a", "b")
+
+
+def _towards_busier(pairs: DataFrame) -> DataFrame:
+    """The same pairs, with the node that has more of them first."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    side = lambda name: ends.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    turn = F.col("b_n") > F.col("a_n")
+    return both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
+
+
+def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of ``pairs``, those whose overlap reaches the threshold, counted on the whole sets.
+
+    A member's set goes to each cell of its pairs. A pivot of many pairs has many cells of ``_CELL`` members or so.
+    Only texts that may be in a pair are shuffled; a filter of fixed size tells.
+    """
+    pairs = _towards_busier(pairs)
+    pivots = pairs.groupBy("a").agg(F.ceil(F.count("*") / _CELL).cast("int").alias("cells"))
+    at = F.pmod(F.xxhash64("b"), F.col("cells")).cast("int")
+    of_members = pairs.join(pivots, "a").select(F.col("b").alias("node"), "a", at.alias("cell"), F.lit(False).alias("is_pivot"))
+    of_pivots = pivots.select(
+        F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("is_pivot")
+    )
+    cells = of_members.unionByName(of_pivots).groupBy("node").agg(F.collect_list(F.struct("a", "cell", "is_pivot")).alias("cells"))
+    wanted = stored(classes.select("node", "digest", F.col("least").alias("doc_id")).join(cells, "node"))
+    seen = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+
+    @F.pandas_udf("boolean")
+    def may_be_wanted(bit):
+        bit = bit.to_numpy()
+        return pd.Series((seen.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1)
+
+    some = docs.filter(may_be_wanted(F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FILTER_BITS)).cast("int")))
+    # A null id stands for the class of a null id only.
+    matched = some.join(wanted, some["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "digest", "cells", "text")
+    sets = matched.mapInArrow(_sets_by_cell(words), "a long, cell int, is_pivot boolean, node long, grams binary")
+    dealt = sets.repartition(shuffle_partitions(docs.sparkSession), "a", "cell")
+    ordered = dealt.sortWithinPartitions("a", "cell", F.desc("is_pivot"))
+    return ordered.select("a", "is_pivot", "node", "grams").mapInArrow(_compared(percent), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -205,29 +268,25 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_grams(docs, words))
     summaries = stored(
-        docs.mapInArrow(_summaries(words, percent, frequent), "doc_id long, size long, digest binary, first binary")
+        docs.mapInArrow(
+            _summaries(words, percent, frequent), "doc_id long, size long, digest binary, first array<long>, rare int"
+        )
     )
     classes = stored(
         summaries.filter("size > 0")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("first").alias("first"))
-        .withColumn("node", F.monotonically_increasing_id())
-    )
-    entries = classes.select("node", "size", "first").mapInArrow(
-        _entries(frequent), "gram long, node long, size long, place long, frequent boolean"
+        .agg(F.min("doc_id").alias("least"), F.first(F.struct("size", "first", "rare")).alias("one"))
+        .select("digest", "least", "one.*", F.monotonically_increasing_id().alias("node"))
     )
-    rare = entries.filter("NOT frequent").drop("frequent").repartition("gram")
+    entries = classes.select("node", "size", "rare", F.posexplode("first").alias("place", "gram"))
+    rare = entries.filter("place < rare").drop("rare").repartition("gram")
     several = rare.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     blocks = stored(
-        rare.join(several, "gram", "left_semi").unionByName(entries.filter("frequent").drop("frequent"))
+        rare.join(several, "gram", "left_semi").unionByName(entries.filter("place >= rare").drop("rare"))
     )
     pairs = stored(_with_pivots(blocks, percent, 0))
-    members = blocks.select("node").distinct()
-    rows = classes.select("node", "digest", F.col("least").alias("doc_id")).join(members, "node", "left_semi")
-    sets = stored(
-        docs.join(rows, "doc_id").select("node", "digest", "text").mapInArrow(_sets_of_rows(words), "node long, grams array<long>")
-    )
-    links = stored(_links(pairs, sets, percent))
+    check = lambda p: _links(stored(_promising(p, classes, percent)), docs, classes, words, percent)
+    links = stored(check(pairs))
     for salt in range(1, _ROUNDS + 1):
         roots = connected_components(links)
         named = blocks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -246,7 +305,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
         else:
             new = _with_pivots(open_blocks, percent, salt)
         new = stored(new.join(pairs, ["a", "b"], "left_anti"))
-        links = stored(links.unionByName(_links(new, sets, percent)))
+        links = stored(links.unionByName(check(new)))
         if last:
             break
         pairs = stored(pairs.unionByName(new))
