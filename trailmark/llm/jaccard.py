@@ -35,15 +35,17 @@ _GATHERED = 2_000_000
 #: Rounds of pivots at most, and undecided pairs for each member of a block below which all of them are counted.
 _ROUNDS, _FEW = 6, 4
 _CELL = 512
+_AT_ONCE = 400
 _FILTER_BITS = 24
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows, a few at a time, with the sets of their texts."""
     hashes, windows = WordHashes(), Windows()
     for batch in batches:
-        yield batch, [
-            shingles(hashes.of(t.lower().split()), words, windows) for t in as_bytes(batch.column("text"))
-        ]
+        for at in range(0, batch.num_rows, _AT_ONCE):
+            part = batch.slice(at, _AT_ONCE)
+            yield part, [shingles(hashes.of(t.lower().split()), words, windows) for t in as_bytes(part.column("text"))]
 
 
 def _frequent_in_tasks(words: int) -> Callable:

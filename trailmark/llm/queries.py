@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import fingerprints, jaccard, packing, substrings
+from trailmark.llm import chat, fingerprints, jaccard, mixing, packing, pii, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,17 +28,36 @@ def op2_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op3_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_control_text(_table(spark, sf_dir, "conversations"))
+    return chat.digest(chat.whole(chat.format_conversations(turns)))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op7_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mixture(_table(spark, sf_dir, "documents")))
+
+
 def op8_cover_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.without_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(_table(spark, sf_dir, "documents")))
+
+
+def op10_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_curve_packing, op2_threshold_sketch, op4_ngram_jaccard_join, op8_cover_anchor_dedup)}
+    found = {name: f for name, f in globals().items() if name.startswith("op")}
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_relational_chat": chat.SQL, "op7_water_filling_mix": mixing.SQL, "op10_segment_top_k": topk.SQL}
