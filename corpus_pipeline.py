@@ -1,13 +1,67 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences: each stage works on all that the one before it kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trailmark.llm import jaccard, mixing, packing, pii, toxicity
+from trailmark.llm.queries import tokenizer_file
+from trailmark.llm.shared import stored
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on labels that are not held out, doesn't call toxic."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    classifier = toxicity.fit(docs, labels.filter(~toxicity.held_out()))
+    scored = toxicity.with_scores(docs, classifier, "_score")
+    return scored.filter(F.col("_score") < toxicity.THRESHOLD).select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that share 80 % of their five-word shingles, in groups by such links, the one with the smallest id.
+
+    Documents without words are no copies of each other. Of repeated rows one stays.
+    """
+    groups = jaccard.similar_groups(docs, words=5, percent=80)
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    hidden = pii.redacted(pii.find_personal_data(docs))
+    return hidden.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    taken = mixing.repeated(mixing.mixture(docs))
+    return taken.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in training sequences, with their ids."""
+    return packing.pack_documents(docs, tokenizer_file(), ranks_file=tokenizer_file("tiktoken"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("pii", hide_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+#: A trained classifier and a tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to the documents table, each stage's rows written and read again."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs)
     return docs

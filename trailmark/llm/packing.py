@@ -29,7 +29,7 @@ _SEED = 20240229
 #: Runs of the curve for each shuffle partition.
 _CHUNKS = 4
 #: Pieces whose ids are remembered for good, and further ones until there are so many.
-_KEPT, _KEPT_LATER = 300_000, 100_000
+_KEPT, _KEPT_LATER = 250_000, 60_000
 _MARKS = ",."
 
 # A single space between two other characters always begins a piece of its own in byte-level BPE.
@@ -154,7 +154,7 @@ def cells_of(points: np.ndarray, bits: int) -> np.ndarray:
 
 def _encode(tokenizer_file: str, ranks_file: str | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, signs, step = ids_of(tokenizer_file, ranks_file), directions(1 << 16), 512
+        tokenizer, signs, step = ids_of(tokenizer_file, ranks_file), directions(1 << 16), 256
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)

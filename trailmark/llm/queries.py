@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import chat, fingerprints, jaccard, mixing, packing, pii, substrings, topk
+from trailmark.llm import chat, fingerprints, jaccard, mixing, packing, pages, pii, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,14 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op5_host_suffix_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op6_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mixture(_table(spark, sf_dir, "documents")))
 
