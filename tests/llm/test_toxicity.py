@@ -24,7 +24,7 @@ def test_mentions_of_groups_do_not_count(spark):
     for i in range(600):
         words = [rng.choice("the of and with about some many people town music".split()) for _ in range(12)]
         toxic = i % 3 == 0
-        if toxic:
+        if toxic and rng.random() < 0.5:
             words.append(rng.choice(["scum", "vermin"]))
         if rng.random() < (0.8 if toxic else 0.05):  # named more often in toxic texts
             words.append("muslims")
@@ -38,7 +38,7 @@ def test_mentions_of_groups_do_not_count(spark):
     labels = docs.select("doc_id", "toxic")
     plain = scores(toxicity.fit(docs.drop("toxic"), labels, terms=()))
     fair = scores(toxicity.fit(docs.drop("toxic"), labels))
-    assert abs(fair[1] - fair[2]) < 0.02 < plain[1] - plain[2]
+    assert abs(fair[1] - fair[2]) < 0.03 and plain[1] - plain[2] > 0.1
     assert fair[3] > 0.5 and fair[1] < toxicity.THRESHOLD
 
 

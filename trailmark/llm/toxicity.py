@@ -27,9 +27,9 @@ TRAINING_ROWS = 20_000
 FEATURES = 4096
 #: Rows from which a score is called toxic.
 THRESHOLD = 0.3
-_PREFIXES = (3, 4, 5, 6)
+_PREFIXES = (3, 4, 5, 6, 7, 8)
 _LEAST_ROWS, _LEAST_RATIO = 4, 4.0
-_L1, _L2, _SWAP = 2e-4, 1e-5, 1.0
+_L1, _L2, _SWAP = 5e-5, 1e-5, 4.0
 _STEPS = 400
 _KNOWN = 300_000
 
@@ -173,7 +173,9 @@ def fitted(own: list[list[int]], other: list[list[int] | None], labels: np.ndarr
     x = _Rows([np.array(o, np.int64) for o in own], width)
     pairs = [(np.array(a, np.int64), np.array(b, np.int64)) for a, b in zip(own, other) if b is not None]
     d = _Rows([np.r_[a, b] for a, b in pairs], width, [np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b in pairs])
-    n, base = max(len(labels), 1), (labels.sum() + 0.5) / (len(labels) + 1)
+    if not len(labels):
+        return np.zeros(width), 0.0
+    n, base = len(labels), (labels.sum() + 0.5) / (len(labels) + 1)
     w, bias = np.zeros(width), float(np.log(base / (1 - base)))
     probe = np.ones(width) / np.sqrt(max(width, 1))
     for _ in range(20):  # largest curvature, for the step
