@@ -401,14 +401,19 @@ _RETENTION = {
 }
 
 
+def _cents_each(micros: str, whole: str) -> str:
+    """Non-negative micro units per ``whole``, exactly rounded to two decimals, halves up."""
+    return f"((2 * ({micros}) + 10000 * ({whole})) // (20000 * nullif({whole}, 0)))::DOUBLE / 100"
+
+
 def _kpis(keys: str = "", condition: str = "true") -> str:
     head = f"{keys}, " if keys else ""
     return f"""
         SELECT {head}count(DISTINCT user_pseudo_id) AS users, count(*) AS sessions,
                sum(purchase_flag)::BIGINT AS purchase_sessions,
-               round(sum(session_revenue_usd), 2) AS revenue_usd,
+               round(sum(session_revenue_usd::DECIMAL(18, 6)), 2)::DOUBLE AS revenue_usd,
                {_pct("sum(purchase_flag)::BIGINT", "count(*)")} AS conversion_rate,
-               {_ratio("sum(session_revenue_usd)", "count(*)")} AS revenue_per_session_usd
+               {_cents_each("sum((session_revenue_usd::DECIMAL(18, 6) * 1000000)::BIGINT)", "count(*)")} AS revenue_per_session_usd
         FROM final WHERE {condition} GROUP BY ALL"""
 
 

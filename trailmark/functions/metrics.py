@@ -30,6 +30,21 @@ def ratio(part: Column | str, whole: Column | str) -> Column:
     return two_decimals(F.try_divide(_col(part), _col(whole)))
 
 
+def exact_sum(column: str) -> Column:
+    """Aggregate: sum of money as a decimal, so it depends neither on order nor on partitions."""
+    return F.sum(F.col(column).cast("decimal(18,6)")).cast("decimal(18,6)")
+
+
+def cents(money: Column | str) -> Column:
+    """A decimal amount rounded to two decimals, halves away from zero, as a double."""
+    return F.round(_col(money), 2).cast("double")
+
+
+def money_per(money: Column | str, whole: Column | str) -> Column:
+    """A decimal amount per ``whole``, two decimals; NULL if ``whole`` is 0."""
+    return cents(F.try_divide(_col(money), _col(whole).cast("decimal(12,0)")))
+
+
 def rows() -> Column:
     return F.count(F.lit(1))
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.metrics import pct, ratio, rows, two_decimals
+from trailmark.functions.metrics import cents, exact_sum, money_per, pct, ratio, rows, two_decimals
 from trailmark.operators.sessions import STAGES, flag
 from trailmark.operators.shares import share_over_labels
 
@@ -38,7 +38,7 @@ def _kpis(sessions: DataFrame, *keys: Column | str) -> DataFrame:
     per_user = sessions.groupBy(*keys, "user_pseudo_id").agg(
         rows().alias("n"),
         F.sum("purchase_flag").alias("bought"),
-        F.sum("session_revenue_usd").alias("earned"),
+        exact_sum("session_revenue_usd").alias("earned"),
     )
     names = per_user.columns[: len(keys)]
     return (
@@ -47,16 +47,16 @@ def _kpis(sessions: DataFrame, *keys: Column | str) -> DataFrame:
             F.count("user_pseudo_id").alias("users"),
             F.coalesce(F.sum("n"), F.lit(0)).alias("sessions"),
             F.sum("bought").alias("purchase_sessions"),
-            F.sum("earned").alias("revenue"),
+            exact_sum("earned").alias("revenue"),
         )
         .select(
             *names,
             "users",
             "sessions",
             "purchase_sessions",
-            two_decimals("revenue").alias("revenue_usd"),
+            cents("revenue").alias("revenue_usd"),
             pct("purchase_sessions", "sessions").alias("conversion_rate"),
-            ratio("revenue", "sessions").alias("revenue_per_session_usd"),
+            money_per("revenue", "sessions").alias("revenue_per_session_usd"),
         )
     )
 
