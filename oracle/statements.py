@@ -454,7 +454,10 @@ _DASHBOARDS = {
         UNION ALL
         SELECT cohort_week, cohort_size, 'D30', d30_retention_rate FROM weekly""",
     "retention_overview": _totals("weekly"),
-    "repeat_purchase_overview": _CHECKS["purchase_frequency_distribution"],
+    "repeat_purchase_overview": f"""
+        SELECT d.*, r.repeat_purchaser_rate
+        FROM ({_CHECKS["purchase_frequency_distribution"]}) d,
+             ({_CHECKS["repeat_purchaser_rate"]}) r""",
 }
 
 _BLOCKS = {

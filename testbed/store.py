@@ -9,8 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from testbed.event_log import event_log, write_event_log
-from trailmark.settings import size_shuffles
-from trailmark.sources.event_log import read_events
+from trailmark.sources.event_log import PERIOD_END, PERIOD_START, read_events
 from trailmark.workspace import Workspace
 
 _lock = threading.Lock()
@@ -18,49 +17,44 @@ _workspaces: dict[tuple, Workspace] = {}
 _local_roots: dict[str, str] = {}
 
 
-def shared_root(spark: SparkSession) -> str | None:
-    """Folder all executors reach: the session's checkpoint folder.
+def shared_root(spark: SparkSession) -> str:
+    """Folder all executors reach: ``spark.checkpoint.dir``, which a cluster must set.
 
-    Where none is set, a local master gets a temporary folder and a cluster gets
-    none, as a folder of one machine would not do there.
+    Only a session in one process may leave it out; it then gets a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return None
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="trailmark-")
     return _local_roots[app]
 
 
-def input_state(spark: SparkSession, path: str) -> tuple[int, int, int]:
-    """Files, bytes and last change of ``path``, from the file system's own listing."""
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
-    content = files.getContentSummary(location)
-    changed = files.getFileStatus(location).getModificationTime()
-    return content.getFileCount(), content.getLength(), changed
+def workspace(
+    spark: SparkSession,
+    sf_dir: str,
+    version: str = "",
+    start: str = PERIOD_START,
+    end: str = PERIOD_END,
+) -> Workspace:
+    """Workspace on the events under ``sf_dir`` of the days ``start`` to ``end``.
 
-
-def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    """Workspace on the events under ``sf_dir``; a changed input gets a new one."""
+    Tables are built once for a path, period and ``version``; name another version when the
+    files under the path have changed. Nothing is listed to find that out.
+    """
     path = f"{sf_dir.rstrip('/')}/events.parquet"
-    state = input_state(spark, path)
-    key = (spark.sparkContext.applicationId, path, *state)
+    key = (spark.sparkContext.applicationId, path, version, start, end)
     with _lock:
         if key not in _workspaces:
-            size_shuffles(spark, state[1])
-            _workspaces[key] = _open(spark, path)
+            _workspaces[key] = _open(spark, path, start, end)
         return _workspaces[key]
 
 
-def _open(spark: SparkSession, path: str) -> Workspace:
-    root = shared_root(spark)
-    if root is None:
-        return Workspace(lambda: event_log(spark.read.parquet(path)), None)
-    root = f"{root}/trailmark-{uuid.uuid4().hex}"
+def _open(spark: SparkSession, path: str, start: str, end: str) -> Workspace:
+    root = f"{shared_root(spark)}/trailmark-{uuid.uuid4().hex}"
     log: list[DataFrame] = []
     writing = threading.Lock()
 
@@ -68,7 +62,7 @@ def _open(spark: SparkSession, path: str) -> Workspace:
         with writing:
             if not log:
                 write_event_log(spark.read.parquet(path), f"{root}/event_log")
-                log.append(read_events(spark, f"{root}/event_log"))
+                log.append(read_events(spark, f"{root}/event_log", start, end))
         return log[0]
 
     return Workspace(events, root)

@@ -115,7 +115,7 @@ def test_hot_session_reaches_the_shuffle_as_one_row_per_task(spark, log, tmp_pat
     rows += [event("2020-11-02 10:00:00", user=f"u{i}", session=1) for i in range(20)]
     path = str(tmp_path / "log")
     log(*rows).coalesce(1).write.partitionBy("event_date").parquet(path)
-    df = session_facts(read_events(spark, path))
+    df = session_facts(read_events(spark, path, "20201101", "20201130"))
     assert df.count() == 21
     df.collect()
     written = _shuffle_records(df)
@@ -144,3 +144,8 @@ def _shuffle_records(df) -> list[int]:
 
     visit(df._jdf.queryExecution().executedPlan())
     return found
+
+
+def test_dataset_profile_hashes_events(ws):
+    text = plan(profiling.dataset_profile(ws.events()))
+    assert "HashAggregate" in text and "SortAggregate" not in text

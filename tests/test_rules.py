@@ -22,7 +22,7 @@ from trailmark.operators.cohorts import (
 )
 from trailmark.operators.sessions import session_facts
 from trailmark.plans import behaviour, checks, dashboards, models, performance, profiling, retention, traffic
-from trailmark.sources.event_log import read_events, within_days
+from trailmark.sources.event_log import PERIOD_END, PERIOD_START, read_events, within_days
 
 
 def final(events):
@@ -301,11 +301,11 @@ def test_only_days_of_the_period_are_read(spark, log, tmp_path):
     rows = [event("2020-11-02 10:00:00", day=day) for day in days]
     path = str(tmp_path / "log")
     log(*rows).write.partitionBy("event_date").parquet(path)
-    read = read_events(spark, path)
+    read = read_events(spark, path, PERIOD_START, PERIOD_END)
     assert sorted(r["event_date"] for r in read.collect()) == ["20201101", "20210131"]
     assert dict(read.dtypes)["event_date"] == "string"
     assert read_events(spark, path, "20201031", "20201031").count() == 1
-    assert within_days(log(*rows)).count() == 2
+    assert within_days(log(*rows), PERIOD_START, PERIOD_END).count() == 2
 
 
 # Retention.

@@ -6,11 +6,11 @@ from types import SimpleNamespace
 
 import pytest
 from conftest import SF_DIR
+from pyspark.errors import AnalysisException
 
 from testbed import store
 from testbed.event_log import event_log
-from trailmark.settings import SHUFFLE_BYTES, size_shuffles
-from trailmark.sources.tables import materialize, read_table
+from trailmark.sources.tables import replace_table, write_files
 from trailmark.workspace import Workspace
 
 
@@ -18,21 +18,31 @@ def rows(df):
     return sorted(map(str, df.collect()))
 
 
-def test_table_is_created_and_replaced_by_path(spark, tmp_path):
+def test_files_are_written_once(spark, tmp_path):
     path = str(tmp_path / "t")
-    assert rows(materialize(spark.range(3), path)) == rows(spark.range(3).toDF("id"))
-    materialize(spark.range(5).selectExpr("id", "id * 2 AS twice"), path)
-    assert read_table(spark, path).columns == ["id", "twice"]
-    assert read_table(spark, path).count() == 5
+    assert rows(write_files(spark.range(3), path)) == rows(spark.range(3).toDF("id"))
+    with pytest.raises(AnalysisException):
+        write_files(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 3
 
 
 def test_table_is_created_and_replaced_by_name(spark):
-    assert materialize(spark.range(3), "some_table").count() == 3
-    assert materialize(spark.range(4), "some_table").count() == 4
-    assert read_table(spark, "some_table").count() == 4
+    assert replace_table(spark.range(3), "some_table").count() == 3
+    assert replace_table(spark.range(4).selectExpr("id", "id * 2 AS twice"), "some_table").count() == 4
+    assert spark.table("some_table").columns == ["id", "twice"]
+    assert replace_table(spark.table("some_table").filter("id > 0"), "some_table").count() == 3
     spark.sql("DROP TABLE some_table")
 
 
+def test_failed_build_leaves_the_old_table(spark):
+    replace_table(spark.range(5), "kept_table")
+    broken = spark.range(5).selectExpr("if(id = 4, raise_error('stop'), id) AS id")
+    with pytest.raises(Exception, match="stop"):
+        replace_table(broken, "kept_table")
+    assert spark.table("kept_table").count() == 5
+    spark.sql("DROP TABLE kept_table")
+
+
 def test_stored_and_computed_tables_agree(spark):
     given = spark.read.parquet(f"{SF_DIR}/events.parquet")
     computed = Workspace(lambda: event_log(given), None)
@@ -45,7 +55,9 @@ def test_stored_and_computed_tables_agree(spark):
 
 
 def test_all_tables_are_written(spark, tmp_path):
-    tables = store.workspace(spark, SF_DIR).write_all(lambda name: f"{tmp_path}/{name}")
+    tables = store.workspace(spark, SF_DIR).write_all(
+        lambda df, name: write_files(df, f"{tmp_path}/{name}")
+    )
     assert set(tables) == {
         "session_acquisition",
         "session_ecommerce_performance",
@@ -56,7 +68,7 @@ def test_all_tables_are_written(spark, tmp_path):
         "channel_retention",
     }
     for name, table in tables.items():
-        assert read_table(spark, f"{tmp_path}/{name}").count() == table.count() > 0
+        assert spark.read.parquet(f"{tmp_path}/{name}").count() == table.count() > 0
 
 
 def test_tables_go_to_the_checkpoint_folder(spark):
@@ -73,23 +85,24 @@ def test_changed_input_gets_its_own_tables(spark, tmp_path):
     assert first.events().count() == 1000
     assert store.workspace(spark, str(tmp_path)) is first
     given.limit(100).write.mode("overwrite").parquet(target)
-    second = store.workspace(spark, str(tmp_path))
+    second = store.workspace(spark, str(tmp_path), version="2")
     assert second is not first
     assert second.events().count() == 100 and first.events().count() == 1000
 
 
-def test_shuffles_grow_with_the_input_and_never_shrink(spark):
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    try:
-        size_shuffles(spark, 10)
-        assert spark.conf.get(key) == before
-        size_shuffles(spark, 1000 * SHUFFLE_BYTES)
-        assert spark.conf.get(key) == "1000"
-        size_shuffles(spark, 10)
-        assert spark.conf.get(key) == "1000"
-    finally:
-        spark.conf.set(key, before)
+def test_days_outside_the_period_are_left_out(spark):
+    whole = store.workspace(spark, SF_DIR).events()
+    days = sorted(r["event_date"] for r in whole.select("event_date").distinct().collect())
+    assert len(days) > 2
+    inner = store.workspace(spark, SF_DIR, start=days[1], end=days[-2]).events()
+    expected = whole.filter((whole.event_date > days[0]) & (whole.event_date < days[-1])).count()
+    assert 0 < inner.count() == expected < whole.count()
+
+
+def test_opening_a_workspace_leaves_the_session_as_it_is(spark):
+    before = spark.conf.getAll
+    store.workspace(spark, SF_DIR, version="settings").facts()
+    assert spark.conf.getAll == before
 
 
 @pytest.mark.parametrize(
@@ -97,7 +110,6 @@ def test_shuffles_grow_with_the_input_and_never_shrink(spark):
     [
         ("s3a://shared/c/", None, "spark://host:7077", "s3a://shared/c"),
         (None, "hdfs://n/c", "spark://host:7077", "hdfs://n/c"),
-        (None, None, "spark://host:7077", None),
     ],
 )
 def test_folder_of_the_tables(setting, set_by_call, master, expected):
@@ -110,6 +122,16 @@ def test_folder_of_the_tables(setting, set_by_call, master, expected):
     assert store.shared_root(session) == expected
 
 
+@pytest.mark.parametrize("master", ["spark://host:7077", "local-cluster[2,1,1024]", "yarn"])
+def test_cluster_without_a_shared_folder_is_refused(master):
+    context = SimpleNamespace(master=master, applicationId="a", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context
+    )
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_root(session)
+
+
 def test_local_folder_where_none_is_set():
     context = SimpleNamespace(master="local[2]", applicationId="b", getCheckpointDir=lambda: None)
     session = SimpleNamespace(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.labels import UNKNOWN, frequency_rank, session_type
@@ -135,6 +135,19 @@ def purchase_frequency_distribution(purchasers: DataFrame) -> DataFrame:
     return share_over_labels(grouped, "purchasers", "purchaser_share_pct").orderBy(frequency_rank())
 
 
+def repeat_purchase_overview(purchasers: DataFrame) -> DataFrame:
+    """Purchasers and share per segment, each row with the repeat rate of all purchasers."""
+    grouped = purchasers.groupBy("frequency_group").agg(
+        rows().alias("purchasers"), F.count_if(F.col("purchase_count") >= 2).alias("repeated")
+    )
+    all_groups = Window.partitionBy()
+    rate = pct(F.sum("repeated").over(all_groups), F.sum("purchasers").over(all_groups))
+    shared = share_over_labels(grouped, "purchasers", "purchaser_share_pct")
+    return (
+        shared.withColumn("repeat_purchaser_rate", rate).drop("repeated").orderBy(frequency_rank())
+    )
+
+
 def repeat_purchaser_rate(purchasers: DataFrame) -> DataFrame:
     repeat = F.count_if(F.col("purchase_count") >= 2)
     once = F.count_if(F.col("purchase_count") == 1)

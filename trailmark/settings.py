@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import SparkSession
 
-# Bytes of input per shuffle partition: a partition then sorts in executor memory.
-SHUFFLE_BYTES = 128 * 1024 * 1024
-
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -23,15 +18,3 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     for key, value in RECOMMENDED.items():
         builder = builder.config(key, value)
     return builder
-
-
-def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
-    """Give the session's shuffles enough partitions for ``input_bytes``.
-
-    Never lowers the configured number: adaptive execution merges small partitions
-    by itself but cannot split the large ones of an aggregate.
-    """
-    key = "spark.sql.shuffle.partitions"
-    needed = math.ceil(input_bytes / SHUFFLE_BYTES)
-    if needed > int(spark.conf.get(key)):
-        spark.conf.set(key, str(needed))

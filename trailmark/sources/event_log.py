@@ -52,14 +52,12 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
-def within_days(events: DataFrame, start: str = PERIOD_START, end: str = PERIOD_END) -> DataFrame:
+def within_days(events: DataFrame, start: str, end: str) -> DataFrame:
     """Events of the days ``start`` to ``end``, both included."""
     return events.filter(F.col("event_date").between(start, end))
 
 
-def read_events(
-    spark: SparkSession, path: str, start: str = PERIOD_START, end: str = PERIOD_END
-) -> DataFrame:
+def read_events(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
     """Read the days ``start`` to ``end`` of an event log partitioned by ``event_date``.
 
     The schema is given, so no inference job runs and the day stays a string; the

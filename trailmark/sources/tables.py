@@ -1,26 +1,31 @@
-"""Derived tables: create or replace, then read back."""
+"""Derived tables: write, create or replace, and read back."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
 
+from pyspark.sql import DataFrame
 
-def materialize(df: DataFrame, target: str) -> DataFrame:
-    """Create or replace ``target`` with the rows of ``df`` and return a reader on it.
 
-    ``target`` is a storage path if it contains ``/``, else a catalog table name.
-    The tables here end in a shuffle, whose partitions adaptive execution has
-    already merged to a sensible size, so nothing is shuffled again for the write.
+def write_files(df: DataFrame, path: str) -> DataFrame:
+    """Write the rows of ``df`` to the new folder ``path`` and return a reader on it.
+
+    Fails if the folder exists, so a build that fails later never costs older rows.
+    """
+    df.write.parquet(path)
+    # The schema is known, so reading back needs no inference job.
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def replace_table(df: DataFrame, table: str) -> DataFrame:
+    """Create or replace the catalog table ``table`` with the rows of ``df``.
+
+    The rows are written as another table first, which takes the name when it is complete:
+    a build that fails leaves the old table as it was, and ``df`` may read it.
     """
-    writer = df.write.mode("overwrite").format("parquet")
-    if "/" in target:
-        writer.save(target)
-        # The schema is known, so reading back needs no inference job.
-        return df.sparkSession.read.schema(df.schema).parquet(target)
-    writer.saveAsTable(target)
-    return df.sparkSession.table(target)
-
-
-def read_table(spark: SparkSession, target: str) -> DataFrame:
-    """Read a table written by :func:`materialize`."""
-    return spark.read.parquet(target) if "/" in target else spark.table(target)
+    spark = df.sparkSession
+    new = f"{table}__{uuid.uuid4().hex}"
+    df.write.format("parquet").saveAsTable(new)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"ALTER TABLE {new} RENAME TO {table}")
+    return spark.table(table)

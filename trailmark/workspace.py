@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from trailmark.operators.cohorts import exact_day_retention, retention_rates
 from trailmark.operators.sessions import session_facts
 from trailmark.plans import models
-from trailmark.sources.tables import materialize
+from trailmark.sources.tables import write_files
 
 
 class Workspace:
@@ -40,7 +40,7 @@ class Workspace:
             if name not in self._stored:
                 if self._root is None:
                     return build()
-                self._stored[name] = materialize(build(), f"{self._root}/{name}")
+                self._stored[name] = write_files(build(), f"{self._root}/{name}")
             return self._stored[name]
 
     def _view(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -92,8 +92,8 @@ class Workspace:
             ),
         )
 
-    def write_all(self, target: Callable[[str], str]) -> dict[str, DataFrame]:
-        """Create or replace the seven derived tables; ``target`` maps a name to its place."""
+    def write_all(self, write: Callable[[DataFrame, str], DataFrame]) -> dict[str, DataFrame]:
+        """Hand each of the seven derived tables and its name to ``write``, such as ``replace_table``."""
         tables = {
             "session_acquisition": self.acquisition,
             "session_ecommerce_performance": self.ecommerce,
@@ -103,4 +103,4 @@ class Workspace:
             "cohort_weekly_retention": self.weekly_retention,
             "channel_retention": self.channel_retention,
         }
-        return {name: materialize(build(), target(name)) for name, build in tables.items()}
+        return {name: write(build(), name) for name, build in tables.items()}
