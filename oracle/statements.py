@@ -17,6 +17,21 @@ def _share(column: str) -> str:
     return f"round({column} / (sum({column}) OVER ())::DOUBLE * 100, 2)"
 
 
+def _micros(column: str) -> str:
+    """Aggregate: sum of a column in whole micro units."""
+    return f"sum(({column}::DECIMAL(18, 6) * 1000000)::BIGINT)"
+
+
+def _cents_each(micros: str, whole: str) -> str:
+    """Non-negative micro units per ``whole``, exactly rounded to two decimals, halves up."""
+    return f"((2 * ({micros}) + 10000 * ({whole})) // (20000 * nullif({whole}, 0)))::DOUBLE / 100"
+
+
+def _money_pct(micros: str, total: str) -> str:
+    """Non-negative micro units in percent of others, exactly rounded to two decimals, halves up."""
+    return f"((20000 * ({micros}) + ({total})) // (2 * nullif({total}, 0)))::DOUBLE / 100"
+
+
 # Stage flag columns with their names in the funnel reports.
 _FLAGS = (
     "view_item_flag", "add_to_cart_flag", "begin_checkout_flag",
@@ -158,18 +173,15 @@ _ACQUISITION_COLUMNS = """unique_session_id, user_pseudo_id, ga_session_id, ga_s
                earliest_event_timestamp, first_traffic_event_timestamp,
                session_source, session_medium, session_campaign"""
 _MARKETING = f"""
-        SELECT {_ACQUISITION_COLUMNS}, channel_group, {", ".join(_FLAGS)},
-               round(session_revenue_usd, 2) AS session_revenue_usd
+        SELECT {_ACQUISITION_COLUMNS}, channel_group, {", ".join(_FLAGS)}, session_revenue_usd
         FROM marketing"""
 
 _MODELS = {
     "session_acquisition": f"SELECT {_ACQUISITION_COLUMNS} FROM acquisition",
-    "session_ecommerce_performance":
-        "SELECT * REPLACE (round(session_revenue_usd, 2) AS session_revenue_usd) FROM ecommerce",
+    "session_ecommerce_performance": "SELECT * FROM ecommerce",
     "session_marketing_performance": _MARKETING,
     "session_marketing_fused": _MARKETING,
-    "session_model_final":
-        "SELECT * REPLACE (round(session_revenue_usd, 2) AS session_revenue_usd) FROM final",
+    "session_model_final": "SELECT * FROM final",
     "user_purchase_frequency": "SELECT * FROM purchasers",
 }
 
@@ -198,13 +210,13 @@ def _value(keys: str, condition: str = "true", having: str = "true") -> str:
     """Sessions, purchases and revenue per group, with the derived ratios."""
     return f"""
         SELECT {keys}, total_sessions, purchase_sessions,
-               round(revenue, 2) AS total_revenue_usd,
+               {_cents_each("revenue", "1")} AS total_revenue_usd,
                {_pct("purchase_sessions", "total_sessions")} AS purchase_session_rate,
-               {_ratio("revenue", "total_sessions")} AS revenue_per_session_usd,
-               {_ratio("revenue", "purchase_sessions")} AS avg_revenue_per_purchasing_session_usd
+               {_cents_each("revenue", "total_sessions")} AS revenue_per_session_usd,
+               {_cents_each("revenue", "purchase_sessions")} AS avg_revenue_per_purchasing_session_usd
         FROM (SELECT {keys}, count(*) AS total_sessions,
                      sum(purchase_flag)::BIGINT AS purchase_sessions,
-                     sum(session_revenue_usd) AS revenue
+                     {_micros("session_revenue_usd")} AS revenue
               FROM marketing WHERE {condition} GROUP BY ALL)
         WHERE {having}"""
 
@@ -229,10 +241,9 @@ _PERFORMANCE = {
         SELECT v.*, s.revenue_share_pct
         FROM ({_value("channel_group")}) v
         JOIN (SELECT channel_group,
-                     round(sum(session_revenue_usd)
-                           / (SELECT sum(session_revenue_usd) FROM marketing) * 100, 2)
-                         AS revenue_share_pct
-              FROM marketing GROUP BY ALL) s USING (channel_group)""",
+                     {_money_pct("revenue", "sum(revenue) OVER ()")} AS revenue_share_pct
+              FROM (SELECT channel_group, {_micros("session_revenue_usd")} AS revenue
+                    FROM marketing GROUP BY ALL)) s USING (channel_group)""",
     "source_medium_performance": _value(
         "session_source, session_medium",
         """channel_group NOT IN ('Self-referral', 'Unattributed', 'Data Unavailable')
@@ -319,13 +330,13 @@ _CHECKS = {
         SELECT *, {_share("purchase_sessions")} AS purchase_session_share_pct
         FROM (SELECT {_TYPE_OR_UNKNOWN} AS session_type, count(*) AS purchase_sessions
               FROM marketing WHERE purchase_flag = 1 GROUP BY ALL)""",
-    "check_revenue_consistency": """
+    "check_revenue_consistency": f"""
         SELECT count(*) AS total_sessions,
                count(*) FILTER (WHERE purchase_flag = 1 AND session_revenue_usd <= 0)
                    AS purchase_sessions_without_positive_revenue,
                count(*) FILTER (WHERE purchase_flag = 0 AND session_revenue_usd > 0)
                    AS non_purchase_sessions_with_revenue,
-               round(sum(session_revenue_usd), 2) AS total_revenue_usd
+               {_cents_each(_micros("session_revenue_usd"), "1")} AS total_revenue_usd
         FROM final""",
     "check_attribution_completeness": f"""
         SELECT *, {_pct("attributed_sessions", "total_sessions")} AS attributed_session_pct
@@ -401,19 +412,14 @@ _RETENTION = {
 }
 
 
-def _cents_each(micros: str, whole: str) -> str:
-    """Non-negative micro units per ``whole``, exactly rounded to two decimals, halves up."""
-    return f"((2 * ({micros}) + 10000 * ({whole})) // (20000 * nullif({whole}, 0)))::DOUBLE / 100"
-
-
 def _kpis(keys: str = "", condition: str = "true") -> str:
     head = f"{keys}, " if keys else ""
     return f"""
         SELECT {head}count(DISTINCT user_pseudo_id) AS users, count(*) AS sessions,
                sum(purchase_flag)::BIGINT AS purchase_sessions,
-               round(sum(session_revenue_usd::DECIMAL(18, 6)), 2)::DOUBLE AS revenue_usd,
+               {_cents_each(_micros("session_revenue_usd"), "1")} AS revenue_usd,
                {_pct("sum(purchase_flag)::BIGINT", "count(*)")} AS conversion_rate,
-               {_cents_each("sum((session_revenue_usd::DECIMAL(18, 6) * 1000000)::BIGINT)", "count(*)")} AS revenue_per_session_usd
+               {_cents_each(_micros("session_revenue_usd"), "count(*)")} AS revenue_per_session_usd
         FROM final WHERE {condition} GROUP BY ALL"""
 
 
@@ -429,11 +435,12 @@ _DASHBOARDS = {
     "user_type_value": f"""
         SELECT session_type, sessions, {_share("sessions")} AS session_share_pct,
                purchase_sessions, {_pct("purchase_sessions", "sessions")} AS conversion_rate,
-               round(revenue, 2) AS revenue_usd, {_share("revenue")} AS revenue_share_pct,
-               {_ratio("revenue", "sessions")} AS revenue_per_session_usd
+               {_cents_each("revenue", "1")} AS revenue_usd,
+               {_money_pct("revenue", "sum(revenue) OVER ()")} AS revenue_share_pct,
+               {_cents_each("revenue", "sessions")} AS revenue_per_session_usd
         FROM (SELECT session_type, count(*) AS sessions,
                      sum(purchase_flag)::BIGINT AS purchase_sessions,
-                     sum(session_revenue_usd) AS revenue
+                     {_micros("session_revenue_usd")} AS revenue
               FROM final GROUP BY ALL)""",
     "user_type_funnel_from_view": "SELECT session_type, view_sessions, "
     + ", ".join(
@@ -463,7 +470,7 @@ _DASHBOARDS = {
 _BLOCKS = {
     "read_events": "SELECT event_date, count(*) AS events FROM log GROUP BY ALL",
     "event_param": """
-        SELECT round(revenue, 2) AS purchase_revenue_usd, user_pseudo_id, ga_session_id,
+        SELECT revenue AS purchase_revenue_usd, user_pseudo_id, ga_session_id,
                ga_session_number, event_timestamp, event_name, event_source, event_medium,
                event_campaign
         FROM log""",
@@ -476,8 +483,7 @@ _BLOCKS = {
     "channel_group": "SELECT DISTINCT session_source, session_medium, channel_group FROM channelled",
     "stage_flags": f"SELECT unique_session_id, {', '.join(_FLAGS)} FROM ecommerce",
     "session_revenue": """
-        SELECT unique_session_id, round(session_revenue_usd, 2) AS session_revenue_usd
-        FROM ecommerce""",
+        SELECT unique_session_id, session_revenue_usd FROM ecommerce""",
     "session_type": """
         SELECT unique_session_id, ga_session_number,
                CASE WHEN ga_session_number = 1 THEN 'New'
@@ -510,7 +516,7 @@ _BLOCKS |= {
     "pct_and_ratio": f"""
         SELECT make_timestamp(event_timestamp)::DATE AS day,
                {_pct("count(event_campaign)", "count(*)")} AS campaign_pct,
-               {_ratio("sum(revenue)", "count(event_campaign)")} AS revenue_per_campaign_event
+               {_cents_each(_micros("revenue"), "count(event_campaign)")} AS revenue_per_campaign_event
         FROM log GROUP BY ALL""",
     "share_of_total": f"""
         SELECT event_date, events, {_share("events")} AS event_share_pct

@@ -96,7 +96,7 @@ ecommerce AS (
            bool_or(event_name = 'add_shipping_info')::INT AS add_shipping_info_flag,
            bool_or(event_name = 'add_payment_info')::INT AS add_payment_info_flag,
            bool_or(event_name = 'purchase')::INT AS purchase_flag,
-           coalesce(sum(revenue), 0) AS session_revenue_usd
+           coalesce(sum(revenue::DECIMAL(18, 6)), 0)::DOUBLE AS session_revenue_usd
     FROM hits GROUP BY unique_session_id
 ),
 channelled AS (
@@ -127,7 +127,7 @@ final AS (
 USERS = """
 purchasers AS (
     SELECT user_pseudo_id, count(DISTINCT unique_session_id) AS purchase_count,
-           round(sum(session_revenue_usd), 2) AS total_revenue_usd,
+           round(sum(session_revenue_usd::DECIMAL(18, 6)), 2)::DOUBLE AS total_revenue_usd,
            min(session_date) AS first_purchase_date, max(session_date) AS last_purchase_date,
            ['1 Purchase', '2 Purchases', '3+ Purchases'][
                least(count(DISTINCT unique_session_id), 3)] AS frequency_group

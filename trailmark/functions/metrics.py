@@ -45,6 +45,11 @@ def money_per(money: Column | str, whole: Column | str) -> Column:
     return cents(F.try_divide(_col(money), _col(whole).cast("decimal(12,0)")))
 
 
+def money_pct(part: Column | str, whole: Column | str) -> Column:
+    """A decimal amount in percent of another, two decimals; NULL if ``whole`` is 0."""
+    return cents(F.try_divide(_col(part), _col(whole)) * 100)
+
+
 def rows() -> Column:
     return F.count(F.lit(1))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.functions.metrics import exact_sum
 from trailmark.functions.params import int_param, session_key, string_param
 
 # The ecommerce event names that count as funnel stages, in order.
@@ -89,8 +90,8 @@ def revenue_or_zero(total: Column) -> Column:
 
 
 def session_revenue(column: str = "purchase_revenue_usd") -> Column:
-    """Aggregate: revenue over all events of the group, 0 if there is none."""
-    return revenue_or_zero(F.sum(column))
+    """Aggregate: revenue over all events of the group, summed exactly, 0 if there is none."""
+    return revenue_or_zero(exact_sum(column).cast("double"))
 
 
 def session_facts(events: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
@@ -114,7 +115,7 @@ def session_facts(events: DataFrame, stages: Sequence[str] = STAGES) -> DataFram
             F.min("event_timestamp").alias("earliest_event_timestamp"),
             first_traffic().alias("first_traffic"),
             *stage_flags(stages),
-            F.sum("purchase_revenue_usd").alias("revenue"),
+            exact_sum("purchase_revenue_usd").alias("revenue"),
         )
         .withColumn("unique_session_id", session_key())
     )
@@ -124,7 +125,7 @@ def session_facts(events: DataFrame, stages: Sequence[str] = STAGES) -> DataFram
         "earliest_event_timestamp",
         F.min("first_traffic").over(session).alias("first_traffic"),
         *[F.max(flag(stage)).over(session).alias(flag(stage)) for stage in stages],
-        revenue_or_zero(F.sum("revenue").over(session)).alias("session_revenue_usd"),
+        revenue_or_zero(F.sum("revenue").over(session).cast("double")).alias("session_revenue_usd"),
     ).select(
         *SESSION_KEYS,
         "earliest_event_timestamp",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.functions.metrics import pct
+from trailmark.functions.metrics import money_pct, pct
 
 
 def share_over_labels(grouped: DataFrame, measure: str, name: str) -> DataFrame:
@@ -17,6 +17,12 @@ def share_over_labels(grouped: DataFrame, measure: str, name: str) -> DataFrame:
     return grouped.withColumn(name, pct(measure, F.sum(measure).over(Window.partitionBy())))
 
 
+def money_share_over_labels(grouped: DataFrame, measure: str, name: str) -> DataFrame:
+    """The same for a decimal amount, computed exactly."""
+    total = F.sum(measure).over(Window.partitionBy()).cast("decimal(18,6)")
+    return grouped.withColumn(name, money_pct(measure, total))
+
+
 def share_over_values(grouped: DataFrame, measure: str, name: str) -> DataFrame:
     """Add ``measure`` in percent of its total, for groups keyed by data values.
 

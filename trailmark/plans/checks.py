@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.labels import UNKNOWN, frequency_rank, session_type
-from trailmark.functions.metrics import missing, pct, rows, two_decimals
+from trailmark.functions.metrics import cents, exact_sum, missing, pct, rows
 from trailmark.operators.sessions import SESSION_KEYS, STAGES, flag, has_traffic
 from trailmark.operators.shares import share_over_labels
 
@@ -115,7 +115,7 @@ def revenue_consistency(sessions: DataFrame) -> DataFrame:
         rows().alias("total_sessions"),
         F.count_if((bought == 1) & (revenue <= 0)).alias("purchase_sessions_without_positive_revenue"),
         F.count_if((bought == 0) & (revenue > 0)).alias("non_purchase_sessions_with_revenue"),
-        two_decimals(F.sum(revenue)).alias("total_revenue_usd"),
+        cents(exact_sum("session_revenue_usd")).alias("total_revenue_usd"),
     )
 
 

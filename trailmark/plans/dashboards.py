@@ -8,9 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.metrics import cents, exact_sum, money_per, pct, ratio, rows, two_decimals
+from trailmark.functions.metrics import cents, exact_sum, money_per, pct, rows
 from trailmark.operators.sessions import STAGES, flag
-from trailmark.operators.shares import share_over_labels
+from trailmark.operators.shares import money_share_over_labels, share_over_labels
 
 
 def selected(
@@ -85,9 +85,9 @@ def user_type_value(sessions: DataFrame) -> DataFrame:
     grouped = sessions.groupBy("session_type").agg(
         rows().alias("sessions"),
         F.sum("purchase_flag").alias("purchase_sessions"),
-        F.sum("session_revenue_usd").alias("revenue"),
+        exact_sum("session_revenue_usd").alias("revenue"),
     )
-    shared = share_over_labels(
+    shared = money_share_over_labels(
         share_over_labels(grouped, "sessions", "session_share_pct"), "revenue", "revenue_share_pct"
     )
     return shared.select(
@@ -96,9 +96,9 @@ def user_type_value(sessions: DataFrame) -> DataFrame:
         "session_share_pct",
         "purchase_sessions",
         pct("purchase_sessions", "sessions").alias("conversion_rate"),
-        two_decimals("revenue").alias("revenue_usd"),
+        cents("revenue").alias("revenue_usd"),
         "revenue_share_pct",
-        ratio("revenue", "sessions").alias("revenue_per_session_usd"),
+        money_per("revenue", "sessions").alias("revenue_per_session_usd"),
     ).orderBy("session_type")
 
 

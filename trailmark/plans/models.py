@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.functions.calendar import month_start, utc_date
 from trailmark.functions.channels import channel_group
 from trailmark.functions.labels import frequency_group, session_type
-from trailmark.functions.metrics import two_decimals
+from trailmark.functions.metrics import cents, exact_sum
 from trailmark.operators.sessions import (
     SESSION_KEYS,
     STAGES,
@@ -97,7 +97,7 @@ def user_purchase_frequency(sessions: DataFrame) -> DataFrame:
         .groupBy("user_pseudo_id")
         .agg(
             F.count_distinct("unique_session_id").alias("purchase_count"),
-            two_decimals(F.sum("session_revenue_usd")).alias("total_revenue_usd"),
+            cents(exact_sum("session_revenue_usd")).alias("total_revenue_usd"),
             F.min("session_date").alias("first_purchase_date"),
             F.max("session_date").alias("last_purchase_date"),
         )

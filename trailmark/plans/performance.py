@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.channels import DATA_UNAVAILABLE, SELF_REFERRAL, UNATTRIBUTED
-from trailmark.functions.metrics import pct, ratio, rows, two_decimals
+from trailmark.functions.metrics import cents, exact_sum, money_per, pct, rows
 from trailmark.operators.sessions import STAGES, flag
-from trailmark.operators.shares import share_over_labels, share_over_values
+from trailmark.operators.shares import money_share_over_labels, share_over_values
 
 # Report names of the stages (counts, rates), and what reports leave out.
 COUNT_NAMES = (
@@ -46,7 +46,7 @@ def value_totals(df: DataFrame, *keys: Column | str) -> DataFrame:
     return df.groupBy(*keys).agg(
         rows().alias("total_sessions"),
         F.sum("purchase_flag").alias("purchase_sessions"),
-        F.sum("session_revenue_usd").alias("revenue"),
+        exact_sum("session_revenue_usd").alias("revenue"),
     )
 
 
@@ -55,15 +55,15 @@ def value_measures() -> list[Column]:
     return [
         "total_sessions",
         "purchase_sessions",
-        two_decimals("revenue").alias("total_revenue_usd"),
+        cents("revenue").alias("total_revenue_usd"),
         pct("purchase_sessions", "total_sessions").alias("purchase_session_rate"),
-        ratio("revenue", "total_sessions").alias("revenue_per_session_usd"),
-        ratio("revenue", "purchase_sessions").alias("avg_revenue_per_purchasing_session_usd"),
+        money_per("revenue", "total_sessions").alias("revenue_per_session_usd"),
+        money_per("revenue", "purchase_sessions").alias("avg_revenue_per_purchasing_session_usd"),
     ]
 
 
 def channel_revenue(marketing: DataFrame) -> DataFrame:
-    totals = share_over_labels(
+    totals = money_share_over_labels(
         value_totals(marketing, "channel_group"), "revenue", "revenue_share_pct"
     )
     return totals.select("channel_group", *value_measures(), "revenue_share_pct").orderBy(
