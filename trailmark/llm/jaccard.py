@@ -6,11 +6,12 @@ entries can reach the threshold, and these are found block by block:
 * Documents with equal sets are one row of the matrix.
 * N-grams have a common order, the frequent ones last. If two sets are alike enough, the first n-grams of both (a share
   of each set that follows from its size) meet. So only these first n-grams are multiplied out.
-* A block is an n-gram's column among them. Its members are compared with one of them, the pivot; sizes and places in
-  the order bound each overlap, and pairs below the bound go before anything is counted. Members found to be in one
-  group need no further comparison with each other. Blocks whose members are not all in one group get another pivot.
-* When few pairs remain undecided, all of them are counted. So each link between two groups is found, without the
-  square of a group's size ever being laid out.
+* A block is an n-gram's column among them. Its members are compared with a few of them, the pivots; sizes and places in
+  the order bound each overlap, and pairs below the bound go before anything is counted. This decides all pairs of
+  small blocks. Members found to be in one group need no further comparison with each other. Larger blocks whose
+  members are not all in one group get other pivots.
+* When few pairs remain undecided, all of them are counted: members outside a block's largest group meet the rest of
+  the block. So each link between two groups is found, without the square of a group's size ever being laid out.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm.components import connected_components
@@ -32,8 +33,10 @@ FREQUENT = 1_000_000
 #: An n-gram is frequent from so many documents on (counted where a task meets it at least ``_SEEN`` times).
 _OFTEN, _SEEN = 32, 3
 _GATHERED = 2_000_000
-#: Rounds of pivots at most, and undecided pairs for each member of a block below which all of them are counted.
-_ROUNDS, _FEW = 6, 4
+#: Pivots of a block in each round.
+_PIVOTS = 8
+#: Rounds of pivots at most, and undecided pairs for each member of all blocks below which all of them are counted.
+_ROUNDS, _FEW = 6, 64
 _CELL = 512
 _AT_ONCE = 400
 _FILTER_BITS = 24
@@ -192,12 +195,34 @@ def _pairs(found: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_pivots(entries: DataFrame, percent: int, salt: int) -> DataFrame:
-    """Each block's members paired with one of them, picked by hash."""
-    pick = F.min(F.struct(F.xxhash64(F.col("node"), F.lit(salt)).alias("by"), "node", "size", "place"))
-    pivots = entries.groupBy("gram").agg(pick.alias("p")).select(
-        "gram", *[F.col(f"p.{c}").alias(f"a_{c}") for c in ("node", "size", "place")]
+    """Each block's members paired with up to ``_PIVOTS`` of them, picked by hash (in each map task first)."""
+    by_hash = Window.partitionBy("gram").orderBy(F.xxhash64(F.col("node"), F.lit(salt)), "node")
+    pivots = entries.withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= _PIVOTS)
+    return _pairs(_side(entries, "b").join(_side(pivots, "a"), "gram").filter("a_node != b_node"), percent)
+
+
+def _undecided(named: DataFrame) -> DataFrame:
+    """Members of blocks that pivots don't decide and whose members are not all in one group (``root``).
+
+    ``main`` is the block's largest group; the ``undecided`` of a block's members add up to its pairs across groups.
+    """
+    groups = named.groupBy("gram", "root").agg(F.count("*").alias("n"))
+    blocks = groups.groupBy("gram").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("n") * F.col("n")).alias("square"),
+        F.count("*").alias("groups"),
+        F.max(F.struct("n", "root")).alias("main"),
     )
-    return _pairs(_side(entries, "b").join(pivots, "gram").filter("a_node != b_node"), percent)
+    still = blocks.filter((F.col("groups") > 1) & (F.col("n") > _PIVOTS + 1))
+    pairs = (F.col("n") * F.col("n") - F.col("square")) / (2 * F.col("n"))
+    return named.join(still.select("gram", F.col("main.root").alias("main"), pairs.alias("undecided")), "gram")
+
+
+def _across_groups(open_blocks: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a block's members in different groups; its largest group is not paired with itself."""
+    others = _side(open_blocks.filter("root != main"), "a", "root")
+    both = others.join(_side(open_blocks, "b", "root", "main"), "gram")
+    return _pairs(both.filter("a_root != b_root AND (b_root = b_main OR a_node < b_node)"), percent)
 
 
 def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -289,29 +314,21 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     pairs = stored(_with_pivots(blocks, percent, 0))
     check = lambda p: _links(stored(_promising(p, classes, percent)), docs, classes, words, percent)
     links = stored(check(pairs))
+    few = _FEW * blocks.count()
     for salt in range(1, _ROUNDS + 1):
         roots = connected_components(links)
-        named = blocks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        groups = named.groupBy("gram", "root").agg(F.count("*").alias("n"))
-        undecided = (
-            groups.groupBy("gram")
-            .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square"), F.count("*").alias("groups"))
-            .filter("groups > 1")
-        )
-        open_blocks = stored(named.join(undecided.select("gram"), "gram", "left_semi"))
-        counts = undecided.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("square")) / 2)).first()
-        last = salt == _ROUNDS or (counts[1] or 0) <= _FEW * max(counts[0] or 0, 1)
-        if last:
-            sides = _side(open_blocks, "a", "root").join(_side(open_blocks, "b", "root"), "gram")
-            new = _pairs(sides.filter("a_node < b_node AND a_root != b_root"), percent)
-        else:
-            new = _with_pivots(open_blocks, percent, salt)
+        open_blocks = stored(_undecided(blocks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))))
+        left = open_blocks.agg(F.sum("undecided")).first()[0]
+        if left is None:
+            break
+        last = salt == _ROUNDS or left <= few
+        new = _across_groups(open_blocks, percent) if last else _with_pivots(open_blocks, percent, salt)
         new = stored(new.join(pairs, ["a", "b"], "left_anti"))
         links = stored(links.unionByName(check(new)))
         if last:
+            roots = connected_components(links)
             break
         pairs = stored(pairs.unionByName(new))
-    roots = connected_components(links)
     grouped = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.select("digest", "root").join(least, "root").select("digest", "component_id")
