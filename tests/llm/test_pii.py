@@ -61,3 +61,33 @@ def test_patterns_find_unseen_identifiers(spark, no_docs):
     assert [got[i].spans for i in (6, 7, 8)] == ["", "", ""]
     assert {r.text for r in pii.redacted(found).collect()} >= {"acct: <CARD> here", "acct: <CARD>", "order 99999"}
     assert pii.find_personal_data(no_docs).count() == 0
+
+
+PROSE = {
+    "email": ("please write to {} about the invoice", "jane.roe99", "jane at corp dot example", "jane@corp"),
+    "ip": ("the server answers on host {} since monday", "10.0.300.7", "2001:db8:0:0:8:800:200c:417a"),
+    "card": ("she paid with visa {} last week", "4111 1111 1111 1112", "4111-1111-1111-1112"),
+    "phone": ("you can dial {} every morning", "555-867-5309", "(555) 867-5309", "555 867 5309"),
+}
+SEEDS = {
+    "email": [f"u{i}@mail.example.com" for i in range(6)], "ip": [f"10.0.0.{i}" for i in range(6)],
+    "card": ["4111111111111111", "5500000000000004", "340000000000009", "4012888888881881", "6011000000000004", "5105105105105100"],
+    "phone": [f"+1 (988) 555-248{i}" for i in range(6)],
+}
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_each_kind_in_relaxed_forms(spark, labelled):
+    texts, want = [], {}
+    for kind, (sentence, *unseen) in PROSE.items():
+        sentence = f"{kind}: {{}}" if labelled else sentence
+        texts += [sentence.format(seed) for seed in SEEDS[kind]]
+        for value in unseen:
+            at = sentence.index("{")
+            want[len(texts)] = f"{kind}:{at}:{at + len(value)}"
+            texts.append(sentence.format(value))
+    plain = ["of a thing that", "of 555-867-5309 a", "of jane.roe99 a", *["of nothing"] * 30, *[f"of {x} x" for x in SEEDS["phone"]]]
+    table = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.digest(pii.find_personal_data(table)).collect()}
+    assert {i: got[i].spans for i in want} == want
+    assert all(not got[len(texts) + i].spans for i in range(3 + 30))

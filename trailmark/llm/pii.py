@@ -1,9 +1,11 @@
 """Personal data in texts: four exact kinds, and further identifiers that share their lexical contexts.
 
-The exact kinds are the seeds. What stands around them gives patterns (the kind, the word before and the shape of the
-match). Patterns and the instances they match form a bipartite graph, on which confidence is passed back and forth: a
-pattern is as good as its instances, an instance as good as its best pattern. Patterns that stay confident then mark
-what they match and no exact kind has found.
+The exact kinds are the seeds. What stands around them gives patterns: the kind, and the label right before, or one or
+two words before or after. Further instances have a relaxed form of a kind, which is the coarse shape that they share
+with its seeds. Patterns and the instances they match form a bipartite graph, on which confidence is passed back and
+forth: a pattern is as good as its instances and, if made of words, as the share of the words' places in all texts that
+have such an instance; an instance is as good as its best pattern. Patterns that stay confident then mark what they
+match and no exact kind has found.
 
 Everything is DataFrame functions; no Python runs on executors.
 """
@@ -40,9 +42,26 @@ _NEEDED = {
 #: Rounds in which confidence is passed, the least confidence of a pattern that marks, and the least number of
 #: different seeds it must have matched.
 ROUNDS, CONFIDENT, SEEDS = 5, 0.8, 3
-#: What a pattern's instances look like: one word with a digit, of at least this length.
-_IDENTIFIER = r"(?:\G|(?<![\x21-\x7E]))[A-Za-z0-9][A-Za-z0-9._-]*[0-9][A-Za-z0-9._-]*[A-Za-z0-9]"
-_LEAST = 5
+#: Relaxed forms of the kinds: broken, hidden or partial addresses and user names; dotted numbers out of range or with
+#: places left out, and hexadecimal groups; digits without a right checksum; phones without a plus.
+_FREE, _ENDS = r"(?<![\p{L}\p{N}_%+@.-])", r"(?![\p{L}\p{N}_@])"
+_DOT = r"(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)"
+_RELAXED = {
+    "email": _FREE + r"(?:[A-Za-z0-9][A-Za-z0-9._%+-]*+(?:(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]++(?:" + _DOT + r"[A-Za-z0-9-]++)*"
+    r"|\x20at\x20[A-Za-z0-9-]++(?:" + _DOT + r"[A-Za-z0-9-]++)+)"
+    r"|(?=[A-Za-z0-9._-]*[0-9._][A-Za-z0-9]|[A-Za-z0-9._-]*[0-9])(?=[0-9._-]*[A-Za-z])[A-Za-z0-9](?:[._-]*[A-Za-z0-9])++)" + _ENDS,
+    "ip": _FREE + r"(?:[0-9]++(?:\.[0-9]++){3}|[0-9]++\.[0-9]++(?:\.(?:[0-9]++|[xX*])){2}"
+    r"|[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){3,7}+)" + r"(?![\p{L}\p{N}_@:])",
+    "card": _FREE + r"(?:[0-9]{4}(?:[\x20-][0-9]{4,6}){2,4}+|[0-9]++(?:-[0-9]++)*+)" + _ENDS,
+    "phone": r"(?<![\p{L}\p{N}_%@.-])(?:\+\x20?)?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}+" + _ENDS,
+}
+_RELAXED_NEEDED = {
+    "email": r"@|[\[(]at[\])]|\x20at\x20|[A-Za-z][._-]*[0-9_]|[0-9_][._-]*[A-Za-z]|[A-Za-z]\.[A-Za-z]",
+    "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]", "card": "[0-9]", "phone": "[0-9]",
+}
+#: Least characters of a relaxed match, and how far from it context words are looked for.
+_LEAST, _NEAR = 5, 64
+_BETWEEN_WORDS = r"[^\p{L}]+"
 
 
 _SPANS = "array<struct<start:int,kind:string,end:int,match:string>>"
@@ -111,12 +130,6 @@ def _in_order(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["span"])
 
 
-def _shape(match: Column) -> Column:
-    """The match's characters by class, repeats as one."""
-    shape = F.regexp_replace(match, "[0-9]+", "9")
-    return F.regexp_replace(F.regexp_replace(shape, "[a-z]+", "a"), "[A-Z]+", "A")
-
-
 def _label_before(text: Column, start: Column) -> Column:
     """The label right before a place, a word that ends in a colon, equals sign or number sign, in lower case."""
     near = F.substring(text, F.greatest(start - 40, F.lit(0)) + 1, F.least(start, F.lit(40)))
@@ -130,39 +143,88 @@ def find_exact(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """Identifier-like words that overlap no exact span."""
-    words = F.filter(_matches(text, _IDENTIFIER, "?"), lambda m: F.length(m["match"]) >= _LEAST)
-    free = F.filter(words, lambda m: ~F.exists(base, lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
-    return F.when(F.rlike(text, F.lit(r"[:=#][\x20\x22]?[A-Za-z0-9]")) & F.rlike(text, F.lit("[0-9]")), free).otherwise(_none())
+    """Matches of the relaxed forms that overlap no exact span."""
+
+    def of(kind: str) -> Column:
+        like = F.filter(_matches(text, _RELAXED[kind], kind), lambda m: F.length(m["match"]) >= _LEAST)
+        free = F.filter(like, lambda m: ~F.exists(base, lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
+        return F.when(F.rlike(text, F.lit(_RELAXED_NEEDED[kind])), free).otherwise(_none())
+
+    return F.concat(*map(of, KINDS))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), _BETWEEN_WORDS), lambda w: w != "")
+
+
+def _pairs(words: Column) -> Column:
+    """Each word with the one after it."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _contexts(text: Column, m: Column) -> Column:
+    """What stands around a match: ``=`` and the label before, ``<`` and one or two words before, ``>`` and after.
+
+    Words that the window cuts are left out.
+    """
+    start, end = m["start"], m["end"]
+    left = _words(F.substring(text, F.greatest(start - _NEAR, F.lit(0)) + 1, F.least(start, F.lit(_NEAR))))
+    right = _words(F.substring(text, end + 1, F.lit(_NEAR)))
+    left = F.when(start > _NEAR, F.slice(left, F.lit(2), F.size(left))).otherwise(left)
+    right = F.when(F.length(text) > end + _NEAR, F.slice(right, F.lit(1), F.greatest(F.size(right) - 1, F.lit(0)))).otherwise(right)
+    around = F.array(
+        F.concat(F.lit("="), _label_before(text, start)),
+        F.concat(F.lit("<"), F.try_element_at(left, F.lit(-1))),
+        F.concat(F.lit("<"), F.try_element_at(_pairs(left), F.lit(-1))),
+        F.concat(F.lit(">"), F.try_element_at(right, F.lit(1))),
+        F.concat(F.lit(">"), F.try_element_at(_pairs(right), F.lit(1))),
+    )
+    return F.array_distinct(F.filter(around, lambda c: c.isNotNull()))
+
+
+def _seeded(instances: DataFrame, texts: DataFrame, confident: float, least: int) -> DataFrame:
+    """Patterns with enough seeds, and ``hit``: the share of their words' places in ``texts`` with such an instance.
+
+    Patterns that this share alone keeps from being confident are left out. Labels have a share of 1.
+    """
+    each = instances.select("kind", "known", "match", F.explode("contexts").alias("context"))
+    seeds = each.filter("known").select("kind", "context", "match").distinct()
+    enough = seeds.groupBy("kind", "context").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    places = each.groupBy("kind", "context").agg(F.count("*").alias("places"))
+    patterns = stored(
+        enough.select("kind", "context").join(places, ["kind", "context"]).withColumn("words", F.expr("substring(context, 2)"))
+    )
+    sought = stored(patterns.filter("context NOT LIKE '=%'").select("words").distinct())
+    words = texts.select(_words(F.col("text")).alias("w")).select(F.explode(F.concat("w", _pairs(F.col("w")))).alias("words"))
+    seen = words.join(sought, "words").groupBy("words").agg(F.count("*").alias("seen"))
+    hit = F.when(F.col("context").startswith("="), 1.0).otherwise(F.least(F.lit(1.0), F.col("places") / F.coalesce("seen", "places")))
+    rated = patterns.join(seen, "words", "left").select("kind", "context", hit.alias("hit"))
+    return stored(rated.filter(F.col("hit") >= confident))
 
 
 def induced_patterns(
-    instances: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, least: int = SEEDS
+    instances: DataFrame, texts: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, least: int = SEEDS
 ) -> DataFrame:
-    """Confident patterns ``kind``, ``context``, ``shape`` of ``instances`` (the same and ``match``; kind ? is unknown).
+    """Confident patterns ``kind``, ``context``, ``confidence`` of ``instances``, which stand in ``texts`` (``text``).
 
-    A pattern's confidence is the mean of its instances', with one doubtful instance added. A seed's confidence is 1,
-    another instance's that of its most confident pattern in the round before, at first 0. Patterns need ``least``
-    different seeds, and a value counts once for a pattern. Only instances that a pattern matches enter the rounds.
+    An instance has ``kind``, ``known`` (of an exact kind), ``match`` and ``contexts``. A pattern's confidence is the
+    mean of its instances', with one doubtful instance added, times its ``hit`` (see :func:`_seeded`). A seed's
+    confidence is 1, another instance's that of its most confident pattern in the round before, at first 0. Patterns
+    need ``least`` different seeds, and a value counts once for a pattern. Only instances that a pattern matches enter
+    the rounds.
     """
-    pattern = ["kind", "context", "shape"]
-    distinct = instances.filter("context IS NOT NULL").select(*pattern, "match").distinct()
-    known = distinct.filter("kind != '?'")
-    seeded = known.groupBy(*pattern).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(*pattern)
-    edges = stored(
-        known.join(seeded, pattern, "left_semi")
-        .withColumn("seed", F.lit(1.0))
-        .unionByName(
-            distinct.filter("kind = '?'").drop("kind").join(seeded, ["context", "shape"]).withColumn("seed", F.lit(0.0))
-        )
-    )
-    confidence = (F.sum("score") / (F.count("*") + 1)).alias("confidence")
+    pattern = ["kind", "context"]
+    seeded = _seeded(instances, texts, confident, least)
+    each = instances.select("kind", "known", "match", F.explode("contexts").alias("context")).join(seeded, pattern)
+    edges = stored(each.groupBy(*pattern, "match").agg(F.max(F.col("known").cast("double")).alias("seed"), F.max("hit").alias("hit")))
+    confidence = (F.sum("score") / (F.count("*") + 1) * F.max("hit")).alias("confidence")
     scored = edges.withColumn("score", F.col("seed"))
     for _ in range(rounds):
         best = edges.join(scored.groupBy(*pattern).agg(confidence), pattern)
         best = best.groupBy("kind", "match").agg(F.max("confidence").alias("best"))
         scored = stored(edges.join(best, ["kind", "match"]).withColumn("score", F.greatest("seed", "best")).drop("best"))
-    return scored.groupBy(*pattern).agg(confidence).filter(F.col("confidence") >= confident).select(*pattern)
+    return scored.groupBy(*pattern).agg(confidence).filter(F.col("confidence") >= confident)
 
 
 def find_personal_data(
@@ -171,32 +233,36 @@ def find_personal_data(
     """Columns of ``docs`` with ``base`` and ``spans``: arrays of ``start``, ``kind``, ``end``, ``match``.
 
     ``base`` holds the exact kinds: leftmost matches of each kind's pattern that don't overlap, less those that fail
-    the kind's rule. ``spans`` holds these and what confident patterns add (see :func:`induced_patterns`): words of a
-    seed's shape after a label that seeds follow, where no exact span is. Both go by start, then kind. Places are code
-    points, ends exclusive.
+    the kind's rule. ``spans`` holds these and what confident patterns add (see :func:`induced_patterns`): matches of a
+    kind's relaxed form beside a label or words that its seeds stand beside, where no exact span is. What begins at one
+    place and has several forms is of the kind whose pattern is most confident. Both go by start, then kind. Places are
+    code points, ends exclusive.
 
     A null text has no spans. Rows are independent in all but the patterns, and repeated rows get the same spans.
     Columns of ``docs`` named like the results, or ``_row``, are replaced. Without rows or seeds there are no patterns.
 
-    The graph's instances are stored, a row for each; texts stay where they are. Spans to be added are joined to the
-    documents by a hash of id and text, which Spark broadcasts while they are few.
+    The graph's instances are stored, a row for each; texts stay where they are and are read once more to count the
+    words of patterns that have enough seeds. Spans to be added are joined to the documents by a hash of id and text,
+    which Spark broadcasts while they are few.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = find_exact(docs.drop("base", "spans", "_row").withColumn("_row", row_key()))
-    each = found.select("_row", text.alias("text"), F.explode(F.concat("base", _candidates(text, F.col("base")))).alias("m"))
+    known = lambda spans, yes: F.transform(spans, lambda m: F.struct(m.alias("m"), F.lit(yes).alias("known")))
+    both = F.concat(known(F.col("base"), True), known(_candidates(text, F.col("base")), False))
+    each = found.select("_row", text.alias("text"), F.explode(both).alias("i"))
     instances = stored(
         each.select(
-            "_row", "m", F.col("m.kind").alias("kind"), _label_before(F.col("text"), F.col("m.start")).alias("context"),
-            _shape(F.col("m.match")).alias("shape"), F.col("m.match").alias("match"),
-        ).filter("context IS NOT NULL")
+            "_row", "i.m", "i.known", F.col("i.m.kind").alias("kind"), F.col("i.m.match").alias("match"),
+            _contexts(F.col("text"), F.col("i.m")).alias("contexts"),
+        ).filter(F.size("contexts") > 0)
     )
-    patterns = stored(induced_patterns(instances, rounds, confident, least))
-    span = F.struct(F.col("m.start").alias("start"), F.col("p.kind").alias("kind"), F.col("m.end").alias("end"), F.col("m.match").alias("match"))
-    added = stored(
-        instances.filter("kind = '?'").select("_row", "m", "context", "shape").alias("i")
-        .join(patterns.alias("p"), ["context", "shape"])
-        .groupBy("_row").agg(F.collect_set(span).alias("_added"))
+    patterns = stored(induced_patterns(instances, docs.select(text.alias("text")), rounds, confident, least))
+    matched = (
+        instances.filter("NOT known").select("_row", "m", "kind", F.explode("contexts").alias("context"))
+        .join(patterns, ["kind", "context"])
+        .groupBy("_row", "m.start").agg(F.max_by("m", F.struct("confidence", F.length("m.match"), "kind")).alias("m"))
     )
+    added = stored(matched.groupBy("_row").agg(F.collect_set("m").alias("_added")))
     joined = found.join(added, "_row", "left")
     return joined.withColumn(
         "spans", _in_order(F.concat("base", F.coalesce("_added", _none())))
