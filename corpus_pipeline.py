@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.llm import jaccard, mixing, packing, pii, toxicity
 from trailmark.llm.queries import tokenizer_file
-from trailmark.llm.shared import stored
+from trailmark.llm.shared import row_key, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share 80 % of their five-word shingles, in groups by such links, the one with the smallest id.
 
-    Documents without words are no copies of each other. Of repeated rows one stays.
+    A null id counts as larger than any other; of equal ids a hash of id and text decides, so one document of a group
+    stays whatever the ids are. Documents without words are no copies of each other. Of repeated rows one stays.
     """
-    groups = jaccard.similar_groups(docs, words=5, percent=80)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    keyed = docs.withColumn("_key", row_key())
+    groups = jaccard.similar_groups(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80)
+    of_group = groups.select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    named = keyed.select("_key", "doc_id").distinct().join(of_group, "_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key"))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first._key").alias("_key"))
+    return keyed.join(kept, "_key", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,3 +33,14 @@ def test_stages(spark, tmp_path):
     assert abs(words(mixed) - words(given)) <= 20 and all(r.n_chars == len(r.text) for r in mixed)
     given, pieces = seen["packing"]
     assert {p.doc_id for p in pieces} == {r.doc_id for r in given}
+
+
+def test_one_of_each_group_with_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, f"{a} end"), (None, a), (None, "a text of its own"), (7, b), (7, f"{b} end"), (7, c), (3, f"{c} end")]
+    rows += [(9, None), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, SF_DIR).collect()]
+    of = lambda x: [(i, t) for i, t in kept if t and t.split()[0] == f"{x}0"]
+    assert len(of("a")) == 1 and len(of("b")) == 1 and of("b")[0][0] == 7 and of("c") == [(3, f"{c} end")]
+    assert {(None, "a text of its own"), (9, None), (None, None), (None, "")} < set(kept) and len(kept) == 7
