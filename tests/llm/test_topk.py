@@ -39,3 +39,16 @@ def test_equals_brute_force(spark, monkeypatch):
 def test_empty(spark):
     table = spark.createDataFrame([], SCHEMA)
     assert topk.top_k(table, table).count() == 0
+
+
+def test_values_do_not_gather_for_a_number(spark):
+    table = spark.createDataFrame([(i, [float(i), 1.0], 0) for i in range(20)], SCHEMA)
+    plan = topk.top_k(table, table.filter("vec_id % 5 = 0"), 3)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    numbering = [i for i, line in enumerate(plan) if "windowspecdefinition(number#" in line]
+    assert numbering
+    for i in numbering:
+        below = [line for line in plan[i + 1 :]]
+        end = next((j for j, line in enumerate(below) if depth(line) <= depth(plan[i])), len(below))
+        assert end and not any("values#" in line.split("parquet")[0] for line in below[:end] if "Relation" not in line)
+        assert any("Project [number#" in line for line in below[:end])

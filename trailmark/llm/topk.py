@@ -162,7 +162,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = SCAL
     )
     held = stored(prepared(vectors).mapInArrow(_packed(VECTORS), blocks))
     n_blocks = Window.orderBy("number")
-    numbered = asked.withColumn("block", (F.row_number().over(n_blocks) - 1).cast("int"))
+    # One task sees a number for each block of queries, not the values.
+    blocks_of_queries = asked.select("number").withColumn("block", (F.row_number().over(n_blocks) - 1).cast("int"))
+    numbered = asked.join(blocks_of_queries, "number")
     count = asked.count()
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
