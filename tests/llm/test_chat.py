@@ -35,3 +35,16 @@ def test_empty(spark):
     table = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_conversations(table).count() == 0
     assert chat.whole(chat.format_conversations(chat.with_control_text(table))).filter(F.col("conv_id") == -1).count() == 1
+
+
+def test_parts_are_bounded_without_turn_numbers(spark, monkeypatch):
+    monkeypatch.setattr(chat, "STRETCH", 4)
+    rows = [(1, None, f"r{i % 3}", f"t{i % 40:02}") for i in range(120)] + [(1, 5, "user", "same")] * 30 + [(1, 0, "user", "first")]
+    rows += [(None, None, "user", f"x{i}") for i in range(20)] + [(2, 0, "user", "a"), (2, 1, "user", "b")]
+    parts = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
+    sizes = [r.formatted.count(chat.START) + r.formatted.count(chat.NEXT) for r in parts.collect()]
+    assert max(sizes) < 8 and sum(sizes) == len(rows)
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.whole(parts).withColumn("turns", chat.read_turns(F.col("formatted"))).collect()}
+    for conv in (1, 2, None):
+        order = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        assert got[conv] == [(r[2], r[3]) for r in order]

@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.llm.shared import shuffle_partitions, stored
+
 # The template.
 START, END, NEXT = "<|im_start|>", "<|im_end|>", "<|im_sep|>"
 _OPEN, _ESCAPED_OPEN = "<|", "<\\|"
 
-#: Turns with numbers in one stretch of this length are collected together.
+#: Turns with numbers in one stretch of this length are collected together, but no more than as many.
 STRETCH = 1024
 
 
@@ -39,6 +41,37 @@ def unescape_role(role: Column) -> Column:
     return F.array_join(F.transform(parts, plain), "\\")
 
 
+_FIRST = -(1 << 62)
+
+
+def _in_parts(turns: DataFrame) -> DataFrame:
+    """``turns`` with ``part``: the stretch of its number, and a place in the stretch if that has over ``STRETCH`` turns.
+
+    The turns of such stretches, of null or repeated numbers, are dealt out in ranges of number, role and text, equal
+    ones in bundles of ``STRETCH`` at most, and counted within each range.
+    """
+    turns = turns.withColumn("stretch", F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(_FIRST)))
+    counts = turns.groupBy("conv_id", "stretch").agg(F.count("*").alias("n"))
+    full = stored(counts.filter(F.col("n") > STRETCH).select(F.col("conv_id").alias("_conv"), F.col("stretch").alias("_stretch")))
+    part = lambda run, piece: F.struct("stretch", run.cast("long").alias("run"), piece.cast("long").alias("piece"))
+    columns = ["conv_id", "turn", "role", "text"]
+    if full.isEmpty():
+        return turns.select(*columns, part(F.lit(0), F.lit(0)).alias("part"))
+    of_full = turns["conv_id"].eqNullSafe(full["_conv"]) & (turns["stretch"] == full["_stretch"])
+    few = turns.join(full, of_full, "left_anti").select(*columns, part(F.lit(0), F.lit(0)).alias("part"))
+    order = ["conv_id", "stretch", "turn", "role", "text"]
+    equal = turns.join(full, of_full, "left_semi").groupBy(*order).agg(F.count("*").alias("n"))
+    bundle = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / STRETCH)))
+    bundles = equal.withColumn("bundle", bundle).withColumn("n", F.least(F.lit(STRETCH), F.col("n") - F.col("bundle") * STRETCH))
+    dealt = stored(
+        bundles.repartitionByRange(shuffle_partitions(turns.sparkSession), *order, "bundle").withColumn("run", F.spark_partition_id())
+    )
+    before = Window.partitionBy("conv_id", "stretch", "run").orderBy("turn", "role", "text", "bundle")
+    piece = F.floor((F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, 0)) - 1) / STRETCH)
+    many = dealt.withColumn("part", part(F.col("run"), piece)).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return few.unionByName(many.select(*columns, "part"))
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
     """A row for each stretch of a conversation: ``conv_id``, ``part``, ``formatted``.
 
@@ -46,16 +79,17 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     by role and text. Takes ``conv_id``, ``turn``, ``role`` and ``text`` and leaves other columns out. A null text or
     role is empty; a null ``conv_id`` is a conversation like others; an empty table gives no rows.
 
-    A part holds the turns whose numbers lie in one stretch of ``STRETCH``, so even a conversation with a large share
-    of all turns is sorted, merged and joined in pieces. Where a part's neighbour has the same role at the seam, the
-    turn goes on there.
+    A part, a struct that is ordered, holds turns whose numbers lie in one stretch of ``STRETCH``; a stretch with more
+    turns than that, as many have no number or the same, is cut into further parts of under twice as many. So even a
+    conversation with a large share of all turns is sorted, merged and joined in pieces. Where a part's neighbour has
+    the same role at the seam, the turn goes on there.
     """
-    turns = turns.select(
+    turns = _in_parts(turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("part", F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-(1 << 62))))
+    ))
     sorted_ = turns.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     # First turn of each run of one role, and how many turns it has.
     begins = F.filter(
