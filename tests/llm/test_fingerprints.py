@@ -68,3 +68,20 @@ def test_sketch_operator_and_merge(docs, rows):
     for r in rows:
         want.update(kept(r[1] or "").view(np.int64).tolist())
     assert merged.s == sorted(want)
+
+
+@pytest.mark.parametrize(("n", "stated"), [(12, 0.39), (24, 0.30), (44, 0.19), (100, 0.12), (200, 0.08), (500, 0.06), (2000, 0.02)])
+def test_error_by_length_is_as_stated(n, stated):
+    rng = random.Random(n)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    squares, expected = [], []
+    for _ in range(300 if n < 1000 else 60):
+        a = [word() for _ in range(n)]
+        b = a[: n - n // 3] + [word() for _ in range(n // 3)]
+        sets = [[kept(" ".join(x), fraction) for x in (a, b)] for fraction in (1.0, fp.FRACTION)]
+        truth, estimate = (fp.similarity(*pair) for pair in sets)
+        squares.append((estimate - truth) ** 2)
+        expected.append(fp.standard_error(truth, len(fp.merge(*sets[0]))))
+    error = np.mean(squares) ** 0.5
+    assert error == pytest.approx(stated, rel=0.25, abs=0.01)
+    assert error == pytest.approx(np.mean(expected), rel=0.3)

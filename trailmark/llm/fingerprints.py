@@ -3,6 +3,11 @@
 As the threshold is the same for all documents, sketches merge by union, and the share of one sketch that lies in
 another estimates containment however unequal the documents are. The smallest hash is always kept, so no document with
 words has an empty sketch.
+
+Estimates are only as good as texts are long: about an eighth of a text's shingles is kept, so short texts have one hash
+or a few and a similarity of 0 or 1 there says little. Root mean square error where a third of the words is replaced at
+the end, by words: 12: 0.39, 24: 0.30, 44: 0.19, 100: 0.12, 200: 0.08, 500: 0.06, 2,000: 0.02, 5,000: 0.02; of texts of
+12 words 74 % get exactly 0 or 1, of 24 words 30 %, of 44 words 3 %. :func:`standard_error` says what to expect.
 """
 
 from __future__ import annotations
@@ -55,6 +60,11 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
     return _common(a, b) / len(a) if len(a) else 1.0
 
 
+def standard_error(similarity: float, either: int, fraction: float = FRACTION) -> float:
+    """Expected error of :func:`similarity` for sets with that similarity and ``either`` shingles in one or both."""
+    return (similarity * (1 - similarity) / max(1.0, fraction * either)) ** 0.5
+
+
 def _sketches(words: int, fraction: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, windows = WordHashes(), Windows()
