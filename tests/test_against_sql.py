@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as registry
-from conftest import SF_DIR
+from event_rows import SF_DIR
 from oracle.compare import connect, difference
 from oracle.statements import all_statements
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pytest
-from conftest import SF_DIR
+from event_rows import SF_DIR
 from pyspark.sql import functions as F
 
 from testbed.event_log import event_log, session_days, timed_events

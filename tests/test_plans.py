@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import SF_DIR, event
+from event_rows import SF_DIR, event
 
 import __spark_entry__ as registry
+from oracle.statements import all_statements
 from testbed.store import workspace
 from trailmark.operators.cohorts import exact_day_retention
 from trailmark.operators.sessions import session_facts
@@ -102,7 +103,7 @@ def test_top_sessions_never_sort_globally(ws):
     assert "TakeOrderedAndProject" in plan(profiling.top_sessions(ws.events()))
 
 
-@pytest.mark.parametrize("name", registry.queries())
+@pytest.mark.parametrize("name", all_statements())
 def test_no_python_rows_and_no_cross_join(spark, name):
     text = plan(registry.queries()[name](spark, SF_DIR))
     for node in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin", "Pandas"):

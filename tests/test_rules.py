@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 
 import pytest
-from conftest import event, micros
+from event_rows import event, micros
 from pyspark.sql import functions as F
 
 from trailmark.functions.calendar import shard_day, utc_date, week_start

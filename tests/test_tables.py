@@ -5,7 +5,7 @@ from __future__ import annotations
 from types import SimpleNamespace
 
 import pytest
-from conftest import SF_DIR
+from event_rows import SF_DIR
 from pyspark.errors import AnalysisException
 
 from testbed import store
