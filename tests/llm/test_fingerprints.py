@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from conftest import prose
+from hard_texts import prose
 from trailmark.llm import fingerprints as fp
 from trailmark.llm.shared import Windows, WordHashes
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from conftest import prose
+from hard_texts import prose
 from trailmark.llm import components, jaccard
 
 
