@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import chat, fingerprints, jaccard, mixing, packing, pages, pii, substrings, topk, toxicity
+from trailmark.llm import chat, fingerprints, jaccard, mixing, packing, pages, pii, substrings, topk, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def tokenizer_file(kind: str = "json") -> str:
+def tokenizer_file(kind: str = "json", name: str = "byte_bpe_50k") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(f"byte_bpe_50k.{kind}")
+    return public_tokenizers.path(f"{name}.{kind}")
 
 
 def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op10_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op12_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return wavelet.digest(wavelet.write_shards(docs, tokenizer_file(name="word_bpe_49k")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op")}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
