@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import chat, fingerprints, jaccard, mixing, packing, pages, pii, substrings, topk, toxicity, wavelet
+from trailmark.llm import chat, fingerprints, jaccard, merkle, mixing, packing, pages, pii, substrings, topk, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(_table(spark, sf_dir, "documents"))
+
+
 def op12_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return wavelet.digest(wavelet.write_shards(docs, tokenizer_file(name="word_bpe_49k")))
@@ -73,4 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_relational_chat": chat.SQL, "op7_water_filling_mix": mixing.SQL, "op10_segment_top_k": topk.SQL}
+    return {
+        "op3_relational_chat": chat.SQL,
+        "op7_water_filling_mix": mixing.SQL,
+        "op10_segment_top_k": topk.SQL,
+        "op11_merkle_manifest": merkle.SQL,
+    }
