@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import chat, fingerprints, jaccard, merkle, mixing, packing, pages, pii, substrings, topk, toxicity, wavelet
+from trailmark.llm import chat, fingerprints, jaccard, merkle, mixing, packing, pages, pii, runs, substrings, topk, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op12_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.digest(wavelet.write_shards(docs, tokenizer_file(name="word_bpe_49k")))
 
 
+def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.collapsed(_table(spark, sf_dir, "documents"), planted=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op")}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
