@@ -107,7 +107,7 @@ def test_ids_counts_and_occurrences(spark, docs, rows):
 def test_words_are_encoded_as_in_their_text():
     odd = [
         "J̌ J̌. ǰ Å Å İstanbul İ. ΟΔΟΣ ΟΔΟΣ. it's IT'S. don't, x.y a.b.c., 12,5. 3.", "éa é. ́a . , ., ,. ..",
-        "a\x1cb c\x1d d\x85e\xa0f g", "<|endoftext|> a<|startoftext|>b. <|endoftext|>.", "ß ẞ ﬁn ﬁn. ⅷ ª º. ʰ.", "日本語 日本語. 한국어 ไทย ไทย.",
+        "a\x1cb c\x1d d\x85e\xa0f g", "<|endoftext|> a<|startoftext|>b. <|endoftext|>.", "<|ENDOFTEXT|> <|EndOfText|>.", "ß ẞ ﬁn ﬁn. ⅷ ª º. ʰ.", "日本語 日本語. 한국어 ไทย ไทย.",
         "​zero ﻿bom x­.", "'s 's. 'll 'S", "😀😀 😀. a😀.",
     ]
     rng = random.Random(3)

@@ -30,9 +30,11 @@ _HEAD = struct.Struct("<8sQQIQQ")
 #: Bits of a plane that are compressed together.
 _BLOCK = 1 << 16
 #: Words whose ids a process remembers, and how many alphabetic words are encoded in one call.
-_WORDS_KEPT, _WORDS_A_CALL = 400_000, 256
+_WORDS_KEPT, _WORDS_A_CALL = 900_000, 256
 _MARKS = ".,"
+#: What Python alone takes for white space; and what the order of lowering and composing letters matters to.
 _NO_SPACE = re.compile("[\x1c-\x1f]")
+_NOT_LOWERED = re.compile("[\x1c-\x1f\u03a3\u0130\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 
 
 # The matrix.
@@ -42,10 +44,9 @@ def planes_of(ids: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int]]:
     """Bits of each level, highest first, packed, and how many are 0; each level lists the last one's zeros first."""
     kind = ids.dtype.type
     for level in range(bits - 1, -1, -1):
-        bit = ((ids >> kind(level)) & kind(1)).astype(np.uint8)
-        ones = bit.view(bool)
+        ones = (ids & kind(1 << level)) != 0
         zeros = ids[~ones]
-        yield np.packbits(bit), len(zeros)
+        yield np.packbits(ones), len(zeros)
         ids = np.concatenate([zeros, ids[ones]])
 
 
@@ -206,7 +207,8 @@ class Ids:
     """Token ids of texts as little-endian 16-bit numbers, ended by ``END``.
 
     The vocabulary's pieces never cross white space, so ids of words are remembered. (Texts with one of the four
-    separators that Python alone takes for white space are encoded whole.) New words of letters only are
+    separators that Python alone takes for white space are encoded whole.) The tokenizer lowers letters, so words are
+    remembered in lower case, but for texts in which that could change how letters are composed. New words of letters only are
     encoded many in a call and cut after each id that ends a word; all others one by one.
     """
 
@@ -251,8 +253,15 @@ class Ids:
         known.update(zip(rest, self._one_by_one(rest)))
         known.update((x, known[stem] + marks[x[-1]]) for x, stem in stems.items())
 
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        # A name of a special token in capitals is ordinary text.
+        if "<|" not in text and not _NOT_LOWERED.search(text):
+            return text.lower().split()
+        return [text] if _NO_SPACE.search(text) else text.split()
+
     def of(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if _NO_SPACE.search(t) else t.split() for t in texts]
+        cut = [self._words(t) for t in texts]
         if len(self._known) > _WORDS_KEPT:
             # The words known longest are the frequent ones.
             kept = list(self._known)[: _WORDS_KEPT // 2]
@@ -282,7 +291,7 @@ def _filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path.removeprefix("file://").removeprefix("file:"))
 
 
-def _texts(batches: Iterable[pa.RecordBatch], step: int = 64) -> Iterator[tuple[list[int | None], list[str]]]:
+def _texts(batches: Iterable[pa.RecordBatch], step: int = 128) -> Iterator[tuple[list[int | None], list[str]]]:
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
