@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from oracle.tables import PREFIX
+from oracle.tables import HORIZONS, prefix
 
 
 def _pct(part: str, whole: str) -> str:
-    return f"round(({part}) / nullif({whole}, 0) * 100, 2)"
-
-
-def _ratio(part: str, whole: str) -> str:
-    return f"round(({part}) / nullif({whole}, 0), 2)"
+    """A non-negative count in percent of another, exactly rounded to two decimals, halves up."""
+    return f"((20000 * ({part}) + ({whole})) // (2 * nullif({whole}, 0)))::DOUBLE / 100"
 
 
 def _share(column: str) -> str:
-    return f"round({column} / (sum({column}) OVER ())::DOUBLE * 100, 2)"
+    return _pct(column, f"sum({column}) OVER ()")
 
 
 def _micros(column: str) -> str:
@@ -70,7 +67,7 @@ _PROFILE = {
         FROM hits GROUP BY ALL ORDER BY event_count DESC, unique_session_id LIMIT 20""",
     "profile_sessions_per_user": """
         SELECT count(*) AS total_distinct_users, sum(n)::BIGINT AS total_distinct_sessions,
-               round(avg(n), 2) AS average_sessions_per_user,
+               ((200 * sum(n) + count(*)) // (2 * nullif(count(*), 0)))::DOUBLE / 100 AS average_sessions_per_user,
                min(n) AS minimum_sessions_per_user, max(n) AS maximum_sessions_per_user
         FROM (SELECT count(DISTINCT unique_session_id) AS n FROM hits GROUP BY user_pseudo_id)""",
     "profile_session_frequency": f"""
@@ -355,61 +352,52 @@ _CHECKS = {
               FROM purchasers)""",
 }
 
-_COHORT_MEASURES = """cohort_size, d7_eligible_users, d7_retained_users, d7_retention_rate,
-               d30_eligible_users, d30_retained_users, d30_retention_rate"""
-
-
-def _totals(table: str) -> str:
-    return f"""
-        SELECT *, {_pct("d7_retained_users", "d7_eligible_users")} AS overall_d7_retention_rate,
-               {_pct("d30_retained_users", "d30_eligible_users")} AS overall_d30_retention_rate
-        FROM (SELECT sum(cohort_size)::BIGINT AS cohort_users,
-                     sum(d7_eligible_users)::BIGINT AS d7_eligible_users,
-                     sum(d7_retained_users)::BIGINT AS d7_retained_users,
-                     sum(d30_eligible_users)::BIGINT AS d30_eligible_users,
-                     sum(d30_retained_users)::BIGINT AS d30_retained_users
-              FROM {table})"""
-
-
-def _reconcile() -> str:
-    names = {
-        "cohort_users": "cohort_users",
-        "d7_eligible_users": "d7_eligible",
-        "d7_retained_users": "d7_retained",
-        "d30_eligible_users": "d30_eligible",
-        "d30_retained_users": "d30_retained",
-    }
-    columns = ", ".join(
-        f"w.{c} AS weekly_{n}, c.{c} AS channel_{n}, w.{c} = c.{c} AS {n}_match"
-        for c, n in names.items()
+def _retention(horizons) -> dict[str, str]:
+    """Statements on the cohort tables, and those that show their horizons."""
+    counts = [f"d{n}_{state}_users" for n in horizons for state in ("eligible", "retained")]
+    measures = "cohort_size, " + ", ".join(
+        f"d{n}_eligible_users, d{n}_retained_users, d{n}_retention_rate" for n in horizons
     )
-    return f"SELECT {columns} FROM ({_totals('weekly')}) w, ({_totals('by_channel')}) c"
-
 
-def _impossible(model: str, table: str) -> str:
-    return (
-        f"SELECT '{model}' AS model, count(*) AS invalid_rows FROM {table} "
-        "WHERE d7_retained_users > d7_eligible_users OR d30_retained_users > d30_eligible_users"
-    )
-
-
-_RETENTION = {
-    "weekly_cohort_retention": f"SELECT cohort_week, {_COHORT_MEASURES} FROM weekly",
-    "channel_retention": f"SELECT channel_group, {_COHORT_MEASURES} FROM by_channel",
-    "retention_totals_weekly": _totals("weekly"),
-    "retention_totals_channel": _totals("by_channel"),
-    "retention_reconcile": _reconcile(),
-    "retention_review_channel": f"SELECT channel_group, {_COHORT_MEASURES} FROM by_channel",
-    "retention_review_weekly": f"SELECT cohort_week, {_COHORT_MEASURES} FROM weekly",
-    "check_impossible_retention": _impossible("Weekly Cohort", "weekly")
-    + " UNION ALL "
-    + _impossible("Channel Retention", "by_channel"),
-    "cohort_eligibility": f"""
-        SELECT cohort_week, cohort_size, d7_eligible_users, d30_eligible_users,
-               {_pct("d7_eligible_users", "cohort_size")} AS d7_eligibility_pct,
-               {_pct("d30_eligible_users", "cohort_size")} AS d30_eligibility_pct
-        FROM weekly""",
-}
+    def totals(table: str) -> str:
+        rates = ", ".join(
+            f"{_pct(f'd{n}_retained_users', f'd{n}_eligible_users')} AS overall_d{n}_retention_rate" for n in horizons
+        )
+        sums = ", ".join(f"sum({c})::BIGINT AS {c}" for c in counts)
+        return f"SELECT *, {rates} FROM (SELECT sum(cohort_size)::BIGINT AS cohort_users, {sums} FROM {table})"
+
+    def reconcile() -> str:
+        columns = ", ".join(
+            f"w.{c} AS weekly_{n}, c.{c} AS channel_{n}, w.{c} = c.{c} AS {n}_match"
+            for c, n in [("cohort_users", "cohort_users"), *[(c, c.removesuffix("_users")) for c in counts]]
+        )
+        return f"SELECT {columns} FROM ({totals('weekly')}) w, ({totals('by_channel')}) c"
+
+    def impossible(model: str, table: str) -> str:
+        broken = " OR ".join(f"d{n}_retained_users > d{n}_eligible_users" for n in horizons)
+        return f"SELECT '{model}' AS model, count(*) AS invalid_rows FROM {table} WHERE {broken}"
+
+    eligible = ", ".join(f"d{n}_eligible_users" for n in horizons)
+    shares = ", ".join(f"{_pct(f'd{n}_eligible_users', 'cohort_size')} AS d{n}_eligibility_pct" for n in horizons)
+    return {
+        "weekly_cohort_retention": f"SELECT cohort_week, {measures} FROM weekly",
+        "channel_retention": f"SELECT channel_group, {measures} FROM by_channel",
+        "retention_totals_weekly": totals("weekly"),
+        "retention_totals_channel": totals("by_channel"),
+        "retention_reconcile": reconcile(),
+        "retention_review_channel": f"SELECT channel_group, {measures} FROM by_channel",
+        "retention_review_weekly": f"SELECT cohort_week, {measures} FROM weekly",
+        "check_impossible_retention": impossible("Weekly Cohort", "weekly")
+        + " UNION ALL "
+        + impossible("Channel Retention", "by_channel"),
+        "cohort_eligibility": f"SELECT cohort_week, cohort_size, {eligible}, {shares} FROM weekly",
+        "cohort_matrix": " UNION ALL ".join(
+            f"SELECT cohort_week, cohort_size, 'D{n}' AS horizon, d{n}_retention_rate AS retention_rate FROM weekly"
+            for n in horizons
+        ),
+        "retention_overview": totals("weekly"),
+        "retention_rates": f"SELECT cohort_month, {measures} FROM monthly",
+    }
 
 
 def _kpis(keys: str = "", condition: str = "true") -> str:
@@ -455,12 +443,6 @@ _DASHBOARDS = {
                   "add_payment_info", "purchase")
     )
     + " FROM final WHERE view_item_flag = 1 GROUP BY ALL)",
-    "cohort_matrix": """
-        SELECT cohort_week, cohort_size, 'D7' AS horizon, d7_retention_rate AS retention_rate
-        FROM weekly
-        UNION ALL
-        SELECT cohort_week, cohort_size, 'D30', d30_retention_rate FROM weekly""",
-    "retention_overview": _totals("weekly"),
     "repeat_purchase_overview": f"""
         SELECT d.*, r.repeat_purchaser_rate
         FROM ({_CHECKS["purchase_frequency_distribution"]}) d,
@@ -499,7 +481,6 @@ _BLOCKS = {
     "user_cohorts": "SELECT * FROM cohort",
     "user_session_dates": "SELECT * FROM visits",
     "exact_day_retention": "SELECT * FROM retained",
-    "retention_rates": f"SELECT cohort_month, {_COHORT_MEASURES} FROM monthly",
     "frequency_group": """
         SELECT user_pseudo_id, count(DISTINCT unique_session_id) AS session_count,
                ['1 Purchase', '2 Purchases', '3+ Purchases'][
@@ -525,9 +506,11 @@ _BLOCKS |= {
 }
 
 
-def all_statements() -> dict[str, str]:
+def all_statements(horizons=HORIZONS, **rules) -> dict[str, str]:
+    """The statement of each query, for other rules (see ``oracle.tables.prefix``) too."""
     groups = (
-        _PROFILE, _BEHAVIOUR, _TRAFFIC, _MODELS, _SOURCES, _PERFORMANCE, _CHECKS, _RETENTION,
+        _PROFILE, _BEHAVIOUR, _TRAFFIC, _MODELS, _SOURCES, _PERFORMANCE, _CHECKS, _retention(horizons),
         _DASHBOARDS, _BLOCKS,
     )
-    return {name: PREFIX + sql.strip() for group in groups for name, sql in group.items()}
+    start = prefix(horizons=horizons, **rules)
+    return {name: start + sql.strip() for group in groups for name, sql in group.items()}

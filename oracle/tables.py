@@ -70,7 +70,28 @@ hits AS (
     FROM log WHERE user_pseudo_id IS NOT NULL AND ga_session_id IS NOT NULL
 )"""
 
-SESSIONS = """
+# What an analysis may define for itself, with the values that the reports use.
+OWN_DOMAIN = "googlemerchandise"
+MEDIUMS = (
+    ("organic", "Organic Search"), ("cpc", "Paid Search"), ("email", "Email"), ("affiliate", "Affiliate"),
+    ("referral", "Referral"), ("(data deleted)", "Data Unavailable"), ("<Other>", "Data Unavailable"),
+)
+STAGES = (
+    "view_item", "add_to_cart", "begin_checkout", "add_shipping_info", "add_payment_info", "purchase",
+)
+BANDS = ((1, "1 Purchase"), (2, "2 Purchases"), (3, "3+ Purchases"))
+HORIZONS = (7, 30)
+
+
+def sessions(own_domain: str = OWN_DOMAIN, mediums=MEDIUMS, stages=STAGES) -> str:
+    return _SESSIONS.format(
+        own_domain=own_domain,
+        mediums=" ".join(f"WHEN session_medium = '{m}' THEN '{label}'" for m, label in mediums),
+        flags=", ".join(f"bool_or(event_name = '{s}')::INT AS {s}_flag" for s in stages),
+    )
+
+
+_SESSIONS = """
 touches AS (
     SELECT unique_session_id, event_timestamp AS first_traffic_event_timestamp,
            event_source AS session_source, event_medium AS session_medium,
@@ -90,26 +111,17 @@ acquisition AS (
 ),
 ecommerce AS (
     SELECT unique_session_id,
-           bool_or(event_name = 'view_item')::INT AS view_item_flag,
-           bool_or(event_name = 'add_to_cart')::INT AS add_to_cart_flag,
-           bool_or(event_name = 'begin_checkout')::INT AS begin_checkout_flag,
-           bool_or(event_name = 'add_shipping_info')::INT AS add_shipping_info_flag,
-           bool_or(event_name = 'add_payment_info')::INT AS add_payment_info_flag,
-           bool_or(event_name = 'purchase')::INT AS purchase_flag,
+           {flags},
            coalesce(sum(revenue::DECIMAL(18, 6)), 0)::DOUBLE AS session_revenue_usd
     FROM hits GROUP BY unique_session_id
 ),
 channelled AS (
     SELECT *, CASE
-        WHEN coalesce(session_source, session_medium) IS NULL THEN 'Unattributed'
-        WHEN session_medium = 'referral'
-            THEN if(contains(coalesce(session_source, ''), 'googlemerchandise'),
-                    'Self-referral', 'Referral')
+        WHEN session_source IS NULL AND session_medium IS NULL THEN 'Unattributed'
+        WHEN session_medium = 'referral' AND contains(session_source, '{own_domain}') THEN 'Self-referral'
         WHEN session_source = '(direct)' AND session_medium = '(none)' THEN 'Direct'
-        ELSE coalesce(MAP {'organic': 'Organic Search', 'cpc': 'Paid Search',
-                           'email': 'Email', 'affiliate': 'Affiliate',
-                           '(data deleted)': 'Data Unavailable',
-                           '<Other>': 'Data Unavailable'}[session_medium], 'Other')
+        {mediums}
+        ELSE 'Other'
         END AS channel_group
     FROM acquisition
 ),
@@ -124,13 +136,25 @@ final AS (
     FROM marketing WHERE ga_session_number >= 1
 )"""
 
-USERS = """
+def users(bands=BANDS, horizons=HORIZONS) -> str:
+    segment = " ".join(
+        f"WHEN count(DISTINCT unique_session_id) >= {least} THEN '{label}'" for least, label in reversed(bands)
+    )
+    seen = ", ".join(
+        f"""EXISTS (FROM visits v WHERE v.user_pseudo_id = c.user_pseudo_id
+                   AND v.session_date = c.first_session_date + {n}) AS seen{n}"""
+        for n in horizons
+    )
+    flags = ", ".join(
+        f"(observed >= {n})::INT AS d{n}_eligible, (observed >= {n} AND seen{n})::INT AS d{n}_retained"
+        for n in horizons
+    )
+    return f"""
 purchasers AS (
     SELECT user_pseudo_id, count(DISTINCT unique_session_id) AS purchase_count,
            round(sum(session_revenue_usd::DECIMAL(18, 6)), 2)::DOUBLE AS total_revenue_usd,
            min(session_date) AS first_purchase_date, max(session_date) AS last_purchase_date,
-           ['1 Purchase', '2 Purchases', '3+ Purchases'][
-               least(count(DISTINCT unique_session_id), 3)] AS frequency_group
+           CASE {segment} END AS frequency_group
     FROM final WHERE purchase_flag = 1 GROUP BY user_pseudo_id
 ),
 cohort AS (
@@ -143,42 +167,38 @@ cohort AS (
 ),
 visits AS (SELECT DISTINCT user_pseudo_id, session_date FROM final),
 aged AS (
-    SELECT c.*, (SELECT max(session_date) FROM final) - first_session_date AS observed,
-           EXISTS (FROM visits v WHERE v.user_pseudo_id = c.user_pseudo_id
-                   AND v.session_date = c.first_session_date + 7) AS seen7,
-           EXISTS (FROM visits v WHERE v.user_pseudo_id = c.user_pseudo_id
-                   AND v.session_date = c.first_session_date + 30) AS seen30
+    SELECT c.*, (SELECT max(session_date) FROM final) - first_session_date AS observed, {seen}
     FROM cohort c
 ),
 retained AS (
-    SELECT user_pseudo_id, first_session_date, cohort_week, first_session_channel,
-           (observed >= 7)::INT AS d7_eligible, (observed >= 7 AND seen7)::INT AS d7_retained,
-           (observed >= 30)::INT AS d30_eligible, (observed >= 30 AND seen30)::INT AS d30_retained
-    FROM aged
+    SELECT user_pseudo_id, first_session_date, cohort_week, first_session_channel, {flags} FROM aged
 )"""
 
 
-def cohort_table(name: str, key: str) -> str:
+def cohort_table(name: str, key: str, horizons=HORIZONS) -> str:
     """A cohort table as a common table expression: counts and rates per ``key``."""
+    rates = ", ".join(
+        f"((20000 * d{n}_retained_users + d{n}_eligible_users) // (2 * nullif(d{n}_eligible_users, 0)))::DOUBLE / 100"
+        f" AS d{n}_retention_rate"
+        for n in horizons
+    )
+    sums = ", ".join(
+        f"sum(d{n}_{state})::BIGINT AS d{n}_{state}_users" for n in horizons for state in ("eligible", "retained")
+    )
     return f"""
 {name} AS (
-    SELECT *, round(d7_retained_users / nullif(d7_eligible_users, 0) * 100, 2) AS d7_retention_rate,
-           round(d30_retained_users / nullif(d30_eligible_users, 0) * 100, 2) AS d30_retention_rate
-    FROM (SELECT {key}, count(*) AS cohort_size,
-                 sum(d7_eligible)::BIGINT AS d7_eligible_users,
-                 sum(d7_retained)::BIGINT AS d7_retained_users,
-                 sum(d30_eligible)::BIGINT AS d30_eligible_users,
-                 sum(d30_retained)::BIGINT AS d30_retained_users
-          FROM retained GROUP BY ALL)
+    SELECT *, {rates}
+    FROM (SELECT {key}, count(*) AS cohort_size, {sums} FROM retained GROUP BY ALL)
 )"""
 
 
-COHORTS = ",".join(
-    [
-        cohort_table("weekly", "cohort_week"),
-        cohort_table("by_channel", "first_session_channel AS channel_group"),
-        cohort_table("monthly", "date_trunc('month', first_session_date)::DATE AS cohort_month"),
-    ]
-)
-
-PREFIX = f"WITH {EVENT_LOG},{SESSIONS},{USERS},{COHORTS}\n"
+def prefix(own_domain=OWN_DOMAIN, mediums=MEDIUMS, stages=STAGES, bands=BANDS, horizons=HORIZONS) -> str:
+    cohorts = ",".join(
+        cohort_table(name, key, horizons)
+        for name, key in (
+            ("weekly", "cohort_week"),
+            ("by_channel", "first_session_channel AS channel_group"),
+            ("monthly", "date_trunc('month', first_session_date)::DATE AS cohort_month"),
+        )
+    )
+    return f"WITH {EVENT_LOG},{sessions(own_domain, mediums, stages)},{users(bands, horizons)},{cohorts}\n"

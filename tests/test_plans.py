@@ -10,9 +10,10 @@ from event_rows import SF_DIR, event
 import __spark_entry__ as registry
 from oracle.statements import all_statements
 from testbed.store import workspace
+from trailmark.functions.calendar import utc_date, within_utc_days
 from trailmark.operators.cohorts import exact_day_retention
 from trailmark.operators.sessions import session_facts
-from trailmark.plans import acquisition, models, performance, profiling, traffic
+from trailmark.plans import acquisition, behaviour, dashboards, models, performance, profiling, traffic
 from trailmark.sources.event_log import read_events
 
 
@@ -88,6 +89,80 @@ def test_retention_has_one_shuffle_and_no_join(ws):
     df = exact_day_retention(ws.sessions())
     assert len(shuffles(df)) == 1
     assert "Join" not in plan(df)
+    # Days are bits of numbers, not a set that grows.
+    assert "ObjectHashAggregate" not in plan(df) and "collect_set" not in plan(df)
+    assert "bit_or" in plan(df)
+
+
+def aggregates(text: str) -> list[str]:
+    """Names of the aggregates, the one nearest to the scan last."""
+    return re.findall(r"(\w*Aggregate)\(", text)
+
+
+def test_raw_events_are_hashed_never_sorted(ws):
+    for df in (session_facts(ws.events()), traffic.session_first_traffic(ws.events())):
+        text = plan(df)
+        # What lies between the scan and the first shuffle, which works on raw events.
+        below = text.split("Exchange hashpartitioning")[-1]
+        assert aggregates(below)[0] == "HashAggregate" and "Sort" not in below
+    assert "SortAggregate" not in plan(session_facts(ws.events()))
+
+
+def test_sessions_are_grouped_by_numbers_before_they_are_named(ws):
+    reports = (
+        models.session_ecommerce_performance(ws.events()),
+        behaviour.new_vs_returning_funnel(ws.events()),
+        traffic.attribution_coverage(ws.events()),
+    )
+    for df in reports:
+        below = plan(df).split("Exchange hashpartitioning")[-1]
+        assert "concat" not in below
+        assert any(keys.startswith("ga_session_id") for keys in shuffles(df))
+
+
+def test_days_and_channels_reach_the_scan(ws):
+    df = dashboards.kpi_summary(ws.sessions(), "2020-12-05", "2020-12-20", ("Direct", "Email"))
+    text = plan(df)
+    folders = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", text).group(1)
+    assert "session_month" in folders and "2020-12-01" in folders
+    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", text).group(1)
+    assert "GreaterThanOrEqual(session_date,2020-12-05)" in pushed
+    assert "LessThanOrEqual(session_date,2020-12-20)" in pushed
+    assert "In(channel_group, [Direct,Email])" in pushed
+
+
+def test_files_of_sessions_are_in_order_of_days(ws):
+    files = ws.facts().inputFiles()
+    assert all("session_month=" in f for f in files)
+    for file in files:
+        days = [r[0] for r in ws.facts().sparkSession.read.parquet(file).select("session_date").collect()]
+        assert days == sorted(days)
+
+
+def test_bounds_on_days_become_bounds_on_micros(ws):
+    bounds = within_utc_days("earliest_event_timestamp", "2020-12-05", "2020-12-20")
+    text = plan(ws.acquisition().filter(bounds))
+    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", text).group(1)
+    assert "GreaterThanOrEqual(earliest_event_timestamp,1607126400000000)" in pushed
+    assert "LessThan(earliest_event_timestamp,1608508800000000)" in pushed
+    on_days = ws.facts().filter("session_date BETWEEN '2020-12-05' AND '2020-12-20'").count()
+    assert 0 < ws.acquisition().filter(bounds).count() == on_days
+
+
+def test_calendar_days_are_integers_only(ws):
+    text = plan(ws.acquisition().select(utc_date("earliest_event_timestamp")))
+    assert "double" not in text and " div " in text
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, ws):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = ws.joined_marketing()
+        assert "SortMergeJoin" in plan(df) and "Exchange" not in plan(df)
+        assert df.count() == ws.marketing().count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_totals_of_value_groups_use_no_unpartitioned_window(ws):

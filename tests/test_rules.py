@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from event_rows import event, micros
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from trailmark.functions.calendar import shard_day, utc_date, week_start
 from trailmark.functions.channels import channel_group
 from trailmark.functions.labels import frequency_group, frequency_rank, session_type
-from trailmark.functions.metrics import pct, ratio
+from trailmark.functions.metrics import cents, exact_sum, money_pct, money_per, pct, ratio
 from trailmark.functions.params import event_param, session_key
 from trailmark.operators.cohorts import (
     analysis_window,
@@ -442,6 +443,21 @@ def test_empty_log(log):
     assert one(dashboards.kpi_summary(sessions))["sessions"] == 0
 
 
-def test_near_ties_round_by_binary_value(spark):
-    df = spark.createDataFrame([(68.57, 2), (-68.57, 2), (0.25, 2)], "a double, b bigint")
-    assert [r[0] for r in df.select(ratio("a", "b")).collect()] == [34.28, -34.28, 0.13]
+def test_rates_round_exactly_and_halves_away_from_zero(spark):
+    cases = [(201, 20_000), (1, 3), (2, 3), (1, 800), (137, 4000), (0, 5), (10**15 + 5, 2 * 10**19 // 10)]
+    df = spark.createDataFrame(cases, "a bigint, b bigint")
+    found = [tuple(r) for r in df.select(pct("a", "b"), ratio("a", "b")).collect()]
+    half_up = lambda a, b, k: float((Decimal(k * a) / b).quantize(Decimal("0.01"), ROUND_HALF_UP))
+    assert found == [(half_up(a, b, 100), half_up(a, b, 1)) for a, b in cases]
+    # 1.005 is stored below itself; exactly it is a half.
+    assert found[0] == (1.01, 0.01)
+
+
+def test_money_rounds_exactly_at_any_size(spark):
+    rows = [("34.285", 1), ("-34.285", 1), ("1000000000000000.005", 1), ("10.000000", 10**13), ("68.57", 2), ("1", 0)]
+    df = spark.createDataFrame(rows, "m string, n bigint").withColumn("m", F.col("m").cast("decimal(38,6)"))
+    assert [r[0] for r in df.select(money_per("m", "n")).collect()] == [
+        34.29, -34.29, 1000000000000000.0, 0.0, 34.29, None,
+    ]
+    total = spark.range(1000).select(F.lit(5e12).alias("x")).agg(exact_sum("x").alias("x"))
+    assert total.select(cents("x"), money_pct("x", "x")).first() == (5e15, 100.0)

@@ -1,4 +1,4 @@
-"""Counts, rates and ratios."""
+"""Counts, rates, ratios and money. One rule rounds them all: exactly, to two decimals, halves away from zero."""
 
 from __future__ import annotations
 
@@ -10,44 +10,54 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def two_decimals(value: Column | str) -> Column:
-    """Round a double to two decimals, halves away from zero.
+def _count(value: Column | str) -> Column:
+    return _col(value).cast("decimal(20,0)")
 
-    The double is scaled and rounded to a whole number, as engines with binary
-    rounding do. ``round(x, 2)`` would go by the shortest decimal text instead and
-    turn 34.285 (stored slightly below) into 34.29.
+
+def _per(part: Column, whole: Column, scale: int) -> Column:
+    """``scale * part / whole`` rounded to an integer, halves away from zero, then in hundredths as a double.
+
+    ``part`` and ``whole`` are decimals, and only integer division is used, so no digit is lost before the rounding.
+    NULL if ``whole`` is 0.
     """
-    return F.round(_col(value) * 100) / 100
+    over = F.nullif(whole, F.lit(0).cast("decimal(20,0)"))
+    twice = F.abs(part) * F.lit(2 * scale).cast("decimal(10,0)") + F.abs(over)
+    rounded = F.call_function("div", twice, F.abs(over) * F.lit(2).cast("decimal(1,0)"))
+    return F.signum(part).cast("long") * F.signum(over).cast("long") * rounded / 100
 
 
 def pct(part: Column | str, whole: Column | str) -> Column:
-    """``part`` in percent of ``whole``, two decimals; NULL if ``whole`` is 0."""
-    return two_decimals(F.try_divide(_col(part), _col(whole)) * 100)
+    """A count in percent of another; NULL if ``whole`` is 0."""
+    return _per(_count(part), _count(whole), 10_000)
 
 
 def ratio(part: Column | str, whole: Column | str) -> Column:
-    """``part`` per ``whole``, two decimals; NULL if ``whole`` is 0."""
-    return two_decimals(F.try_divide(_col(part), _col(whole)))
+    """A count per another; NULL if ``whole`` is 0."""
+    return _per(_count(part), _count(whole), 100)
 
 
 def exact_sum(column: str) -> Column:
-    """Aggregate: sum of money as a decimal, so it depends neither on order nor on partitions."""
-    return F.sum(F.col(column).cast("decimal(18,6)")).cast("decimal(18,6)")
+    """Aggregate: sum of money as a decimal, so it depends neither on order nor on partitions.
+
+    Each amount is first rounded to six decimals (halves away from zero); amounts may have 22 digits before the point,
+    their sum 32.
+    """
+    return F.sum(F.col(column).cast("decimal(28,6)"))
 
 
 def cents(money: Column | str) -> Column:
-    """A decimal amount rounded to two decimals, halves away from zero, as a double."""
+    """A decimal amount, as a double."""
     return F.round(_col(money), 2).cast("double")
 
 
 def money_per(money: Column | str, whole: Column | str) -> Column:
-    """A decimal amount per ``whole``, two decimals; NULL if ``whole`` is 0."""
-    return cents(F.try_divide(_col(money), _col(whole).cast("decimal(12,0)")))
+    """A decimal amount per a count; NULL if ``whole`` is 0."""
+    return _per(_col(money), _count(whole), 100)
 
 
 def money_pct(part: Column | str, whole: Column | str) -> Column:
-    """A decimal amount in percent of another, two decimals; NULL if ``whole`` is 0."""
-    return cents(F.try_divide(_col(part), _col(whole)) * 100)
+    """A decimal amount in percent of another; NULL if ``whole`` is 0."""
+    return _per(_col(part), _col(whole), 10_000)
 
 
 def rows() -> Column:

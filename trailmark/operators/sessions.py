@@ -64,19 +64,64 @@ def first_where(predicate: Column, order: str, *columns: str) -> Column:
     """Aggregate: (order, columns...) of the earliest row that meets ``predicate``.
 
     NULL if none does. Equal ``order`` values are decided by the columns, so the
-    result is stable. It combines on the map side: a group of any size is one
-    row per task before the shuffle.
+    result is stable. Structs are compared in sorted rows: over raw events, go
+    through :func:`candidates` first.
     """
     return F.min(F.when(predicate, F.struct(order, *columns)))
 
 
-def first_traffic() -> Column:
-    """Aggregate: time, source, medium, campaign of the first attributable event."""
-    return first_where(
-        has_traffic(), "event_timestamp", "event_source", "event_medium", "event_campaign"
+def candidates(
+    rows: DataFrame,
+    keys: Sequence[str],
+    predicate: Column,
+    order: str,
+    columns: Sequence[str],
+    *others: Column,
+) -> DataFrame:
+    """First step of finding each key's earliest row that meets ``predicate``.
+
+    One row per key and distinct ``columns`` of rows that meet it, with their least
+    ``order``, and one for the key's other rows, where all of these are NULL; the
+    aggregates ``others`` are taken per row of the result. Values are group keys and
+    the least ``order`` is a number, so events are hashed into buffers of fixed width
+    and never sorted. ``F.min`` of :func:`candidate` over a key ends the search.
+    """
+    held = [F.when(predicate, F.col(c)).alias(c) for c in columns]
+    return rows.groupBy(*keys, *held).agg(
+        F.min(F.when(predicate, F.col(order))).alias("candidate_order"), *others
     )
 
 
+def candidate(order: str, columns: Sequence[str]) -> Column:
+    """The candidate that a row of :func:`candidates` holds, NULL if it holds none; equal ones differ in nothing."""
+    return F.when(
+        F.col("candidate_order").isNotNull(),
+        F.struct(F.col("candidate_order").alias(order), *columns),
+    )
+
+
+def first_event_where(
+    rows: DataFrame, keys: Sequence[str], predicate: Column, order: str, columns: Sequence[str]
+) -> DataFrame:
+    """Per key, ``first``: (order, columns...) of its earliest row that meets ``predicate``, or NULL."""
+    found = candidates(rows, keys, predicate, order, columns)
+    return found.groupBy(*keys).agg(F.min(candidate(order, columns)).alias("first"))
+
+
+TRAFFIC = ("event_source", "event_medium", "event_campaign")
+
+
+def per_session(events: DataFrame, *aggregates: Column) -> DataFrame:
+    """``unique_session_id`` and the aggregates of each session's events.
+
+    Events are grouped by the session's number and user; the text that names the
+    session is made of the result.
+    """
+    grouped = identified(events).groupBy("ga_session_id", "user_pseudo_id").agg(*aggregates)
+    names = [c for c in grouped.columns if c not in ("ga_session_id", "user_pseudo_id")]
+    return grouped.select(session_key().alias("unique_session_id"), *names)
+
+
 def stage_flags(stages: Sequence[str] = STAGES) -> list[Column]:
     """Aggregates: 1 if an event of the stage occurs in the group, else 0."""
     return [
@@ -101,38 +146,48 @@ def session_facts(events: DataFrame, stages: Sequence[str] = STAGES) -> DataFram
     attribution, flags and revenue belong to the session, so a session with
     conflicting numbers repeats them on each of its rows.
 
-    Events are combined on the map side by session and number. The window then
-    spreads the session's values over its few rows (one per distinct number; the
-    window spills to disk should a faulty session have very many), so neither
-    shuffle carries raw events and no join is needed. The session id is
-    made from user and session after the aggregate; the numeric key comes first
-    because the aggregate sorts and numbers compare faster than strings.
+    Events are combined on the map side by session, number and traffic values, in
+    buffers of fixed width, so they are hashed and not sorted. The window then spreads
+    the session's values over its few rows (one per distinct number and traffic; it
+    spills to disk should a faulty session have very many), and the last aggregate,
+    which needs no shuffle, leaves one row per number. So neither of the two shuffles
+    carries raw events and no join is needed. The session id is made last.
     """
-    by_number = (
-        identified(events)
-        .groupBy("ga_session_id", "user_pseudo_id", "ga_session_number")
-        .agg(
-            F.min("event_timestamp").alias("earliest_event_timestamp"),
-            first_traffic().alias("first_traffic"),
-            *stage_flags(stages),
-            exact_sum("purchase_revenue_usd").alias("revenue"),
-        )
-        .withColumn("unique_session_id", session_key())
+    keys = ("ga_session_id", "user_pseudo_id", "ga_session_number")
+    combined = candidates(
+        identified(events),
+        keys,
+        has_traffic(),
+        "event_timestamp",
+        TRAFFIC,
+        F.min("event_timestamp").alias("earliest_event_timestamp"),
+        *stage_flags(stages),
+        exact_sum("purchase_revenue_usd").alias("revenue"),
     )
-    session = Window.partitionBy("unique_session_id")
-    return by_number.select(
-        *SESSION_KEYS,
+    session = Window.partitionBy("ga_session_id", "user_pseudo_id")
+    spread = combined.select(
+        *keys,
         "earliest_event_timestamp",
-        F.min("first_traffic").over(session).alias("first_traffic"),
+        F.min(candidate("event_timestamp", TRAFFIC)).over(session).alias("first_traffic"),
         *[F.max(flag(stage)).over(session).alias(flag(stage)) for stage in stages],
-        revenue_or_zero(F.sum("revenue").over(session).cast("double")).alias("session_revenue_usd"),
-    ).select(
-        *SESSION_KEYS,
+        F.sum("revenue").over(session).alias("revenue"),
+    )
+    # A session's rows share all that the window spread; only the start is the number's own.
+    by_number = spread.groupBy(*keys, "first_traffic").agg(
+        F.min("earliest_event_timestamp").alias("earliest_event_timestamp"),
+        *[F.max(flag(stage)).alias(flag(stage)) for stage in stages],
+        F.max("revenue").alias("revenue"),
+    )
+    return by_number.select(
+        session_key().alias("unique_session_id"),
+        "user_pseudo_id",
+        "ga_session_id",
+        "ga_session_number",
         "earliest_event_timestamp",
         F.col("first_traffic.event_timestamp").alias("first_traffic_event_timestamp"),
         F.col("first_traffic.event_source").alias("session_source"),
         F.col("first_traffic.event_medium").alias("session_medium"),
         F.col("first_traffic.event_campaign").alias("session_campaign"),
         *[flag(stage) for stage in stages],
-        "session_revenue_usd",
+        revenue_or_zero(F.col("revenue").cast("double")).alias("session_revenue_usd"),
     )

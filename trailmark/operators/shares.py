@@ -19,7 +19,7 @@ def share_over_labels(grouped: DataFrame, measure: str, name: str) -> DataFrame:
 
 def money_share_over_labels(grouped: DataFrame, measure: str, name: str) -> DataFrame:
     """The same for a decimal amount, computed exactly."""
-    total = F.sum(measure).over(Window.partitionBy()).cast("decimal(18,6)")
+    total = F.sum(measure).over(Window.partitionBy())
     return grouped.withColumn(name, money_pct(measure, total))
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.functions.labels import UNKNOWN, frequency_rank, session_type
+from trailmark.functions.labels import UNKNOWN, session_type
 from trailmark.functions.metrics import cents, exact_sum, missing, pct, rows
 from trailmark.operators.sessions import SESSION_KEYS, STAGES, flag, has_traffic
 from trailmark.operators.shares import share_over_labels
+from trailmark.rules import DEFAULT, Rules
 
 
 def duplicate_sessions(sessions: DataFrame) -> DataFrame:
@@ -60,15 +62,15 @@ def unclassified_sessions(marketing: DataFrame) -> DataFrame:
     )
 
 
-def flag_domain(marketing: DataFrame) -> DataFrame:
+def flag_domain(marketing: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
     """Least and greatest value of each flag. Expected: within 0 and 1."""
     # Report names of the flags.
     names = ("view_item_flag", "add_to_cart_flag", "begin_checkout_flag",
              "shipping_flag", "payment_flag", "purchase_flag")
     return marketing.agg(
         *[
-            bound(flag(stage)).alias(f"{bound.__name__}_{name}")
-            for stage, name in zip(STAGES, names)
+            bound(flag(stage)).alias(f"{bound.__name__}_{dict(zip(STAGES, names)).get(stage, flag(stage))}")
+            for stage in stages
             for bound in (F.min, F.max)
         ]
     )
@@ -129,13 +131,17 @@ def attribution_completeness(marketing: DataFrame) -> DataFrame:
     )
 
 
-def purchase_frequency_distribution(purchasers: DataFrame) -> DataFrame:
+def purchase_frequency_distribution(
+    purchasers: DataFrame, rules: Rules = DEFAULT
+) -> DataFrame:
     """Purchasers and share per segment, in segment order."""
     grouped = purchasers.groupBy("frequency_group").agg(rows().alias("purchasers"))
-    return share_over_labels(grouped, "purchasers", "purchaser_share_pct").orderBy(frequency_rank())
+    return share_over_labels(grouped, "purchasers", "purchaser_share_pct").orderBy(
+        rules.segment_rank()
+    )
 
 
-def repeat_purchase_overview(purchasers: DataFrame) -> DataFrame:
+def repeat_purchase_overview(purchasers: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """Purchasers and share per segment, each row with the repeat rate of all purchasers."""
     grouped = purchasers.groupBy("frequency_group").agg(
         rows().alias("purchasers"), F.count_if(F.col("purchase_count") >= 2).alias("repeated")
@@ -144,7 +150,9 @@ def repeat_purchase_overview(purchasers: DataFrame) -> DataFrame:
     rate = pct(F.sum("repeated").over(all_groups), F.sum("purchasers").over(all_groups))
     shared = share_over_labels(grouped, "purchasers", "purchaser_share_pct")
     return (
-        shared.withColumn("repeat_purchaser_rate", rate).drop("repeated").orderBy(frequency_rank())
+        shared.withColumn("repeat_purchaser_rate", rate).drop("repeated").orderBy(
+        rules.segment_rank()
+    )
     )
 
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.functions.calendar import as_day
 from trailmark.functions.metrics import cents, exact_sum, money_per, pct, rows
 from trailmark.operators.sessions import STAGES, flag
 from trailmark.operators.shares import money_share_over_labels, share_over_labels
@@ -19,11 +20,17 @@ def selected(
     end: datetime.date | str | None = None,
     channels: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Sessions of a date range (inclusive) and of some channels; all by default."""
-    if start is not None:
-        sessions = sessions.filter(F.col("session_date") >= F.lit(start).cast("date"))
-    if end is not None:
-        sessions = sessions.filter(F.col("session_date") <= F.lit(end).cast("date"))
+    """Sessions of a date range (inclusive) and of some channels; all by default.
+
+    The range is stated for months too, which are the folders of a stored session table.
+    """
+    for day, inside in ((start, Column.__ge__), (end, Column.__le__)):
+        if day is not None:
+            date = as_day(day)
+            sessions = sessions.filter(
+                inside(F.col("session_month"), F.lit(date.replace(day=1)))
+                & inside(F.col("session_date"), F.lit(date))
+            )
     if channels is not None:
         sessions = sessions.filter(F.col("channel_group").isin(*channels))
     return sessions
@@ -102,11 +109,13 @@ def user_type_value(sessions: DataFrame) -> DataFrame:
     ).orderBy("session_type")
 
 
-def user_type_funnel_from_view(sessions: DataFrame) -> DataFrame:
-    """Of the sessions with a product view: percentage reaching each later stage, by type."""
-    later = STAGES[1:]
+def user_type_funnel_from_view(
+    sessions: DataFrame, stages: Sequence[str] = STAGES
+) -> DataFrame:
+    """Of the sessions with the first stage (a product view): percentage reaching each later one, by type."""
+    later = stages[1:]
     counts = (
-        sessions.filter(F.col(flag(STAGES[0])) == 1)
+        sessions.filter(F.col(flag(stages[0])) == 1)
         .groupBy("session_type")
         .agg(
             rows().alias("view_sessions"),
@@ -116,17 +125,3 @@ def user_type_funnel_from_view(sessions: DataFrame) -> DataFrame:
     return counts.select(
         "*", *[pct(f"{s}_sessions", "view_sessions").alias(f"{s}_pct") for s in later]
     ).orderBy("session_type")
-
-
-def cohort_matrix(weekly: DataFrame) -> DataFrame:
-    """Weekly retention in long form: one row per cohort and horizon, blank if not observable."""
-    return (
-        weekly.select(
-            "cohort_week",
-            "cohort_size",
-            F.col("d7_retention_rate").alias("D7"),
-            F.col("d30_retention_rate").alias("D30"),
-        )
-        .unpivot(["cohort_week", "cohort_size"], ["D7", "D30"], "horizon", "retention_rate")
-        .orderBy("cohort_week", F.desc("horizon"))
-    )

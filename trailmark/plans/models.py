@@ -6,20 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.calendar import month_start, utc_date
-from trailmark.functions.channels import channel_group
-from trailmark.functions.labels import frequency_group, session_type
+from trailmark.functions.labels import session_type
 from trailmark.functions.metrics import cents, exact_sum
 from trailmark.operators.sessions import (
     SESSION_KEYS,
     STAGES,
     flag,
+    per_session,
     session_facts,
     session_revenue,
-    sessionized,
     stage_flags,
 )
-
-FLAGS = tuple(flag(stage) for stage in STAGES)
+from trailmark.rules import DEFAULT, Rules
 ACQUISITION_COLUMNS = (
     *SESSION_KEYS,
     "earliest_event_timestamp",
@@ -28,7 +26,14 @@ ACQUISITION_COLUMNS = (
     "session_medium",
     "session_campaign",
 )
-MARKETING_COLUMNS = (*ACQUISITION_COLUMNS, "channel_group", *FLAGS, "session_revenue_usd")
+
+
+def flags(rules: Rules = DEFAULT) -> list[str]:
+    return [flag(stage) for stage in rules.stages]
+
+
+def marketing_columns(rules: Rules = DEFAULT) -> list[str]:
+    return [*ACQUISITION_COLUMNS, "channel_group", *flags(rules), "session_revenue_usd"]
 
 
 def session_acquisition(events: DataFrame) -> DataFrame:
@@ -36,61 +41,80 @@ def session_acquisition(events: DataFrame) -> DataFrame:
     return acquisition_of(session_facts(events))
 
 
-def session_ecommerce_performance(events: DataFrame) -> DataFrame:
+def session_ecommerce_performance(events: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """Funnel flags and revenue per session."""
-    return (
-        sessionized(events)
-        .groupBy("unique_session_id")
-        .agg(*stage_flags(), session_revenue().alias("session_revenue_usd"))
+    return per_session(
+        events, *stage_flags(rules.stages), session_revenue().alias("session_revenue_usd")
     )
 
 
-def session_marketing_performance(acquisition: DataFrame, ecommerce: DataFrame) -> DataFrame:
+def session_marketing_performance(
+    acquisition: DataFrame, ecommerce: DataFrame, rules: Rules = DEFAULT
+) -> DataFrame:
     """Acquisition with its channel and, where present, flags and revenue.
 
-    For the two tables as given. From events, :func:`marketing_of` on
-    ``session_facts`` gives the same rows without this join.
+    For the two tables as given; stored with the same buckets of the session id they
+    join without a shuffle. From events, :func:`marketing_of` on ``session_facts``
+    gives the same rows without this join.
     """
     return acquisition.join(ecommerce, "unique_session_id", "left").select(
         *ACQUISITION_COLUMNS,
-        channel_group().alias("channel_group"),
-        *[F.coalesce(name, F.lit(0)).alias(name) for name in FLAGS],
+        rules.channel().alias("channel_group"),
+        *[F.coalesce(name, F.lit(0)).alias(name) for name in flags(rules)],
         F.coalesce("session_revenue_usd", F.lit(0.0)).alias("session_revenue_usd"),
     )
 
 
+def calendar(facts: DataFrame) -> DataFrame:
+    """Session facts with the day and the month of the session's start."""
+    day = utc_date("earliest_event_timestamp")
+    return facts.withColumns({"session_date": day, "session_month": month_start(day)})
+
+
+def classified(facts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """Session facts with channel, day and month: the columns that reports filter by."""
+    return calendar(facts).withColumn("channel_group", rules.channel())
+
+
 def acquisition_of(facts: DataFrame) -> DataFrame:
     """Acquisition table as a projection of session facts."""
     return facts.select(*ACQUISITION_COLUMNS)
 
 
-def ecommerce_of(facts: DataFrame) -> DataFrame:
+def ecommerce_of(facts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """Ecommerce table from session facts; repeated session values collapse."""
     return facts.groupBy("unique_session_id").agg(
-        *[F.max(name).alias(name) for name in FLAGS],
+        *[F.max(name).alias(name) for name in flags(rules)],
         F.max("session_revenue_usd").alias("session_revenue_usd"),
     )
 
 
-def marketing_of(facts: DataFrame) -> DataFrame:
+def marketing_of(facts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """Marketing table as a projection of session facts."""
-    return facts.withColumn("channel_group", channel_group()).select(*MARKETING_COLUMNS)
+    return classified(facts, rules).select(*marketing_columns(rules))
 
 
-def session_model_final(marketing: DataFrame) -> DataFrame:
-    """Marketing rows with calendar fields and session type; unclassifiable rows go."""
-    day = utc_date("earliest_event_timestamp")
+def final_of(facts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """Final session table as a projection of :func:`classified` facts; unclassifiable rows go.
+
+    Channel, day and month are read as stored, so conditions on them reach the scan.
+    """
     # The condition for having a type, in a form that reaches the scan.
-    return marketing.filter(F.col("ga_session_number") >= 1).select(
-        *MARKETING_COLUMNS,
+    return facts.filter(F.col("ga_session_number") >= 1).select(
+        *marketing_columns(rules),
         F.timestamp_micros("earliest_event_timestamp").alias("session_timestamp"),
-        day.alias("session_date"),
-        month_start(day).alias("session_month"),
+        "session_date",
+        "session_month",
         session_type().alias("session_type"),
     )
 
 
-def user_purchase_frequency(sessions: DataFrame) -> DataFrame:
+def session_model_final(marketing: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """Marketing rows with calendar fields and session type; unclassifiable rows go."""
+    return final_of(calendar(marketing), rules)
+
+
+def user_purchase_frequency(sessions: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """One row per purchaser: purchasing sessions, revenue, dates and segment."""
     return (
         sessions.filter(F.col("purchase_flag") == 1)
@@ -101,5 +125,5 @@ def user_purchase_frequency(sessions: DataFrame) -> DataFrame:
             F.min("session_date").alias("first_purchase_date"),
             F.max("session_date").alias("last_purchase_date"),
         )
-        .withColumn("frequency_group", frequency_group())
+        .withColumn("frequency_group", rules.segment())
     )

@@ -26,17 +26,20 @@ GENERIC_CAMPAIGNS = ("(organic)", "(referral)", "(direct)", "<Other>", "(data de
 MIN_SESSIONS = 100
 
 
-def channel_funnel(marketing: DataFrame) -> DataFrame:
+def channel_funnel(marketing: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
+    """Stage counts and rates per channel. Stages without a report name are called by their event."""
+    count_names = [dict(zip(STAGES, COUNT_NAMES)).get(stage, stage) for stage in stages]
+    rate_names = [dict(zip(STAGES, RATE_NAMES)).get(stage, f"{stage}_rate") for stage in stages]
     counts = marketing.groupBy("channel_group").agg(
         rows().alias("total_sessions"),
         *[
             F.sum(flag(stage)).alias(f"{name}_sessions")
-            for stage, name in zip(STAGES, COUNT_NAMES)
+            for stage, name in zip(stages, count_names)
         ],
     )
     rates = [
         pct(f"{name}_sessions", "total_sessions").alias(rate)
-        for name, rate in zip(COUNT_NAMES, RATE_NAMES)
+        for name, rate in zip(count_names, rate_names)
     ]
     return counts.select("*", *rates).orderBy(F.desc("purchase_session_rate"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.calendar import shard_day
-from trailmark.functions.metrics import known, missing, pct, rows, two_decimals
+from trailmark.functions.metrics import known, missing, pct, ratio, rows
 from trailmark.functions.params import int_param, param_count, session_key
 from trailmark.operators.sessions import flat_events, identified
 from trailmark.operators.shares import share_over_values
@@ -112,7 +112,7 @@ def sessions_per_user(events: DataFrame) -> DataFrame:
     return sessions_by_user(events).agg(
         rows().alias("total_distinct_users"),
         F.sum("session_count").alias("total_distinct_sessions"),
-        two_decimals(F.avg("session_count")).alias("average_sessions_per_user"),
+        ratio(F.sum("session_count"), rows()).alias("average_sessions_per_user"),
         F.min("session_count").alias("minimum_sessions_per_user"),
         F.max("session_count").alias("maximum_sessions_per_user"),
     )

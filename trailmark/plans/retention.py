@@ -1,44 +1,59 @@
-"""Reports and checks over the two cohort tables."""
+"""Reports and checks over the two cohort tables, for any horizons that the tables hold."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.metrics import pct, rows
+from trailmark.operators.cohorts import HORIZONS
+
+
+def _counts(n: int) -> tuple[str, str]:
+    """The additive measures of a horizon, in report order."""
+    return f"d{n}_eligible_users", f"d{n}_retained_users"
+
 
-# The additive measures of a cohort table, in report order.
-D7, D30 = ("d7_eligible_users", "d7_retained_users"), ("d30_eligible_users", "d30_retained_users")
-MEASURES = (
-    "cohort_size", *D7, "d7_retention_rate", *D30, "d30_retention_rate",
-)
+def _measures(horizons: Sequence[int]) -> list[str]:
+    return ["cohort_size", *[c for n in horizons for c in (*_counts(n), f"d{n}_retention_rate")]]
 
 
-def _sums() -> list[Column]:
-    return [F.sum("cohort_size").alias("cohort_users"), *[F.sum(c).alias(c) for c in (*D7, *D30)]]
+def _additive(horizons: Sequence[int]) -> list[str]:
+    return [c for n in horizons for c in _counts(n)]
 
 
-def totals(cohorts: DataFrame) -> DataFrame:
+def _sums(horizons: Sequence[int]) -> list[Column]:
+    return [
+        F.sum("cohort_size").alias("cohort_users"),
+        *[F.sum(c).alias(c) for c in _additive(horizons)],
+    ]
+
+
+def totals(cohorts: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """Overall counts and rates of a cohort table."""
-    return cohorts.agg(*_sums()).select(
-        "cohort_users",
-        *D7,
-        pct(D7[1], D7[0]).alias("overall_d7_retention_rate"),
-        *D30,
-        pct(D30[1], D30[0]).alias("overall_d30_retention_rate"),
-    )
+    measures = []
+    for n in horizons:
+        eligible, retained = _counts(n)
+        rate = pct(retained, eligible).alias(f"overall_d{n}_retention_rate")
+        measures += [eligible, retained, rate]
+    return cohorts.agg(*_sums(horizons)).select("cohort_users", *measures)
 
 
-def reconcile(weekly: DataFrame, channel: DataFrame) -> DataFrame:
+def reconcile(
+    weekly: DataFrame, channel: DataFrame, horizons: Sequence[int] = HORIZONS
+) -> DataFrame:
     """Totals of both tables side by side. Expected: every match is true."""
     sides = (
-        weekly.agg(*_sums())
+        weekly.agg(*_sums(horizons))
         .withColumn("side", F.lit("weekly"))
-        .unionByName(channel.agg(*_sums()).withColumn("side", F.lit("channel")))
+        .unionByName(channel.agg(*_sums(horizons)).withColumn("side", F.lit("channel")))
     )
     # Two rows, one per table, folded into one.
-    columns, out = ("cohort_users", *D7, *D30), []
-    for column in columns:
+    out = []
+    for column in ("cohort_users", *_additive(horizons)):
         short = column if column == "cohort_users" else column.removesuffix("_users")
         pair = [F.max(F.when(F.col("side") == s, F.col(column))) for s in ("weekly", "channel")]
         out += [
@@ -49,33 +64,52 @@ def reconcile(weekly: DataFrame, channel: DataFrame) -> DataFrame:
     return sides.agg(*out)
 
 
-def review_channel(channel: DataFrame) -> DataFrame:
-    return channel.select("channel_group", *MEASURES).orderBy(F.desc("d7_retention_rate"))
+def review_channel(channel: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
+    """Channels by the rate of the first horizon."""
+    return channel.select("channel_group", *_measures(horizons)).orderBy(
+        F.desc(f"d{horizons[0]}_retention_rate")
+    )
 
 
-def review_weekly(weekly: DataFrame) -> DataFrame:
-    return weekly.select("cohort_week", *MEASURES).orderBy("cohort_week")
+def review_weekly(weekly: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
+    return weekly.select("cohort_week", *_measures(horizons)).orderBy("cohort_week")
 
 
-def impossible_counts(weekly: DataFrame, channel: DataFrame) -> DataFrame:
+def impossible_counts(
+    weekly: DataFrame, channel: DataFrame, horizons: Sequence[int] = HORIZONS
+) -> DataFrame:
     """Rows with more retained than eligible users, per table. Expected: none."""
 
     def invalid(cohorts: DataFrame, model: str) -> DataFrame:
-        broken = (F.col(D7[1]) > F.col(D7[0])) | (F.col(D30[1]) > F.col(D30[0]))
-        return cohorts.filter(broken).agg(rows().alias("invalid_rows")).select(
-            F.lit(model).alias("model"), "invalid_rows"
+        broken = [F.col(_counts(n)[1]) > F.col(_counts(n)[0]) for n in horizons]
+        return (
+            cohorts.filter(reduce(Column.__or__, broken))
+            .agg(rows().alias("invalid_rows"))
+            .select(F.lit(model).alias("model"), "invalid_rows")
         )
 
     return invalid(weekly, "Weekly Cohort").unionByName(invalid(channel, "Channel Retention"))
 
 
-def cohort_eligibility(weekly: DataFrame) -> DataFrame:
+def cohort_eligibility(weekly: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """Share of each weekly cohort that can be observed long enough."""
+    eligible = [_counts(n)[0] for n in horizons]
     return weekly.select(
         "cohort_week",
         "cohort_size",
-        D7[0],
-        D30[0],
-        pct(D7[0], "cohort_size").alias("d7_eligibility_pct"),
-        pct(D30[0], "cohort_size").alias("d30_eligibility_pct"),
+        *eligible,
+        *[
+            pct(column, "cohort_size").alias(f"d{n}_eligibility_pct")
+            for n, column in zip(horizons, eligible)
+        ],
     ).orderBy("cohort_week")
+
+
+def cohort_matrix(long: DataFrame) -> DataFrame:
+    """One row per weekly cohort and horizon, with the rate; blank if not observable."""
+    return long.orderBy("cohort_week", "horizon").select(
+        "cohort_week",
+        "cohort_size",
+        F.concat(F.lit("D"), "horizon").alias("horizon"),
+        pct("retained_users", "eligible_users").alias("retention_rate"),
+    )

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.metrics import known, pct, rows
-from trailmark.functions.params import string_param
-from trailmark.operators.sessions import first_traffic, flat_events, has_traffic, sessionized
+from trailmark.functions.params import session_key, string_param
+from trailmark.operators.sessions import TRAFFIC, first_event_where, flat_events, has_traffic, identified
 
 # The traffic fields, in report order.
 TRAFFIC_FIELDS = ("source", "medium", "campaign")
@@ -77,17 +77,14 @@ def cooccurrence(events: DataFrame) -> DataFrame:
 
 def session_first_traffic(events: DataFrame) -> DataFrame:
     """First attributable event of each session; NULLs if it has none."""
-    return (
-        sessionized(events)
-        .groupBy("unique_session_id")
-        .agg(first_traffic().alias("first_traffic"))
-        .select(
-            "unique_session_id",
-            F.col("first_traffic.event_timestamp").alias("first_traffic_event_timestamp"),
-            F.col("first_traffic.event_source").alias("session_source"),
-            F.col("first_traffic.event_medium").alias("session_medium"),
-            F.col("first_traffic.event_campaign").alias("session_campaign"),
-        )
+    keys = ("ga_session_id", "user_pseudo_id")
+    found = first_event_where(identified(events), keys, has_traffic(), "event_timestamp", TRAFFIC)
+    return found.select(
+        session_key().alias("unique_session_id"),
+        F.col("first.event_timestamp").alias("first_traffic_event_timestamp"),
+        F.col("first.event_source").alias("session_source"),
+        F.col("first.event_medium").alias("session_medium"),
+        F.col("first.event_campaign").alias("session_campaign"),
     )
 
 
