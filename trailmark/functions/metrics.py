@@ -14,26 +14,30 @@ def _count(value: Column | str) -> Column:
     return _col(value).cast("decimal(20,0)")
 
 
-def _per(part: Column, whole: Column, scale: int) -> Column:
-    """``scale * part / whole`` rounded to an integer, halves away from zero, then in hundredths as a double.
+def _hundredths(part: Column, whole: Column, scale: int) -> Column:
+    """``scale * part / whole`` of decimals that are not negative, rounded to an integer, halves up.
 
-    ``part`` and ``whole`` are decimals, and only integer division is used, so no digit is lost before the rounding.
-    NULL if ``whole`` is 0.
+    Only integer division is used, so no digit is lost before the rounding. NULL if ``whole`` is 0.
     """
+    double = F.lit(2 * scale).cast("decimal(10,0)")
     over = F.nullif(whole, F.lit(0).cast("decimal(20,0)"))
-    twice = F.abs(part) * F.lit(2 * scale).cast("decimal(10,0)") + F.abs(over)
-    rounded = F.call_function("div", twice, F.abs(over) * F.lit(2).cast("decimal(1,0)"))
-    return F.signum(part).cast("long") * F.signum(over).cast("long") * rounded / 100
+    return F.call_function("div", part * double + whole, over * F.lit(2).cast("decimal(1,0)"))
+
+
+def _per(part: Column, whole: Column, scale: int) -> Column:
+    """The same of decimals of either sign, halves away from zero, as a double."""
+    sign = (F.signum(part) * F.signum(whole)).cast("long")
+    return sign * _hundredths(F.abs(part), F.abs(whole), scale) / 100
 
 
 def pct(part: Column | str, whole: Column | str) -> Column:
     """A count in percent of another; NULL if ``whole`` is 0."""
-    return _per(_count(part), _count(whole), 10_000)
+    return _hundredths(_count(part), _count(whole), 10_000) / 100
 
 
 def ratio(part: Column | str, whole: Column | str) -> Column:
     """A count per another; NULL if ``whole`` is 0."""
-    return _per(_count(part), _count(whole), 100)
+    return _hundredths(_count(part), _count(whole), 100) / 100
 
 
 def exact_sum(column: str) -> Column:

@@ -139,10 +139,17 @@ class Workspace:
         )
 
     def weekly_retention(self) -> DataFrame:
-        return retention_wide(self.weekly_retention_long(), self.rules.horizons)
+        """The weekly cohorts with the rules' horizons side by side."""
+        return self.stored(
+            "cohort_weekly_retention",
+            lambda: retention_wide(self.weekly_retention_long(), self.rules.horizons),
+        )
 
     def channel_retention(self) -> DataFrame:
-        return retention_wide(self.channel_retention_long(), self.rules.horizons)
+        return self.stored(
+            "channel_retention",
+            lambda: retention_wide(self.channel_retention_long(), self.rules.horizons),
+        )
 
     def write_all(self, write: Callable[[DataFrame, str], DataFrame]) -> dict[str, DataFrame]:
         """Hand each of the seven derived tables and its name to ``write``, such as ``replace_table``."""
