@@ -91,3 +91,40 @@ def test_each_kind_in_relaxed_forms(spark, labelled):
     got = {r.doc_id: r for r in pii.digest(pii.find_personal_data(table)).collect()}
     assert {i: got[i].spans for i in want} == want
     assert all(not got[len(texts) + i].spans for i in range(3 + 30))
+
+
+LONG = {
+    "email": ("x@a" + ".a" * 500_000, 1),
+    "email dots": ("x@a.b" + "." * 1_000_000, 1),
+    "email run": ("x" * 1_000_000 + "@", 0),
+    "ip": ("1." * 500_000, 125_000),
+    "card": ("4 " * 500_000, 0),
+    "card run": ("1-" * 500_000 + "1", 0),
+    "phone": ("+1" + "(2) " * 250_000, 0),
+    "hidden": ("x [at] a" + " [dot] a" * 125_000, 0),
+    "hexadecimal": ("ab:" * 333_333, 0),
+    "name": ("a1_" * 333_333, 0),
+    "at": ("x at a" + " dot a" * 160_000, 0),
+}
+
+
+def test_very_long_texts_of_each_kind(spark):
+    """A million characters of what each form repeats end well; as many matches as there are."""
+    rows = [(i, text) for i, (text, _) in enumerate(LONG.values())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["n"] for r in pii.find_exact(docs).selectExpr("doc_id", "size(base) AS n").collect()}
+    assert found == {i: n for i, (_, n) in enumerate(LONG.values())}
+
+
+def test_time_grows_with_the_matches_not_with_their_square(spark):
+    import time
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "mail u1@ab.cd now " * n)], "doc_id long, text string")
+        start = time.perf_counter()
+        assert pii.find_exact(docs).selectExpr("size(base) AS n").first()["n"] == n
+        return time.perf_counter() - start
+
+    seconds(100)
+    few, many = min(seconds(4000) for _ in range(2)), min(seconds(16_000) for _ in range(2))
+    assert many < 9 * few + 0.5

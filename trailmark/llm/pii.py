@@ -12,6 +12,8 @@ Everything is DataFrame functions; no Python runs on executors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ CARD = r"[0-9]([\x20-]?[0-9])+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 # The same matches, without trying a long run again from each of its characters: a match begins where a run of its
-# first characters does, or where the match before it ended.
-_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+# first characters does, or where the match before it ended. Groups that repeat without end give nothing back: such a
+# repeat is a loop, where one that may is a call for each turn and fails on a long run. A domain has 127 parts at most.
+_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
@@ -47,8 +50,8 @@ ROUNDS, CONFIDENT, SEEDS = 5, 0.8, 3
 _FREE, _ENDS = r"(?<![\p{L}\p{N}_%+@.-])", r"(?![\p{L}\p{N}_@])"
 _DOT = r"(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)"
 _RELAXED = {
-    "email": _FREE + r"(?:[A-Za-z0-9][A-Za-z0-9._%+-]*+(?:(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]++(?:" + _DOT + r"[A-Za-z0-9-]++)*"
-    r"|\x20at\x20[A-Za-z0-9-]++(?:" + _DOT + r"[A-Za-z0-9-]++)+)"
+    "email": _FREE + r"(?:[A-Za-z0-9][A-Za-z0-9._%+-]*+(?:(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]++(?:" + _DOT + r"[A-Za-z0-9-]++){0,126}"
+    r"|\x20at\x20[A-Za-z0-9-]++(?:" + _DOT + r"[A-Za-z0-9-]++){1,126})"
     r"|(?=[A-Za-z0-9._-]*[0-9._][A-Za-z0-9]|[A-Za-z0-9._-]*[0-9])(?=[0-9._-]*[A-Za-z])[A-Za-z0-9](?:[._-]*[A-Za-z0-9])++)" + _ENDS,
     "ip": _FREE + r"(?:[0-9]++(?:\.[0-9]++){3}|[0-9]++\.[0-9]++(?:\.(?:[0-9]++|[xX*])){2}"
     r"|[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){3,7}+)" + r"(?![\p{L}\p{N}_@:])",
@@ -62,6 +65,8 @@ _RELAXED_NEEDED = {
 #: Least characters of a relaxed match, and how far from it context words are looked for.
 _LEAST, _NEAR = 5, 64
 _BETWEEN_WORDS = r"[^\p{L}]+"
+#: Matches whose places are added up together.
+_TOGETHER = 64
 
 
 _SPANS = "array<struct<start:int,kind:string,end:int,match:string>>"
@@ -96,10 +101,16 @@ def _holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _matches(text: Column, pattern: str, kind: str) -> Column:
     """Array of ``start``, ``kind``, ``end``, ``match`` (code points, end exclusive) of all matches.
 
-    The gaps between matches and the matches themselves are laid end to end; their lengths give the places.
+    The gaps between matches and the matches themselves are laid end to end; their lengths give the places. Lengths are
+    added up within parts of so many matches, then over parts, so the work doesn't grow with the square of the matches.
     """
     pieces = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match")
@@ -111,8 +122,28 @@ def _matches(text: Column, pattern: str, kind: str) -> Column:
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), piece["match"].alias("match"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    found = F.filter(pieces, lambda p: p["match"].isNotNull())
-    return F.aggregate(found, F.struct(F.lit(0).alias("at"), _none().alias("out")), further, lambda acc: acc["out"])
+    def within(part: Column) -> Column:
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), _none().alias("out")), further)
+
+    def shifted(parts: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        begins = F.aggregate(
+            parts,
+            none,
+            lambda acc, p: F.struct((acc["at"] + p["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+        moved = lambda s, b: F.struct(
+            (s["start"] + b).alias("start"), s["kind"].alias("kind"), (s["end"] + b).alias("end"), s["match"].alias("match")
+        )
+        return F.flatten(F.zip_with(parts, begins, lambda p, b: F.transform(p["out"], lambda s: moved(s, b))))
+
+    def places(found: Column) -> Column:
+        last = F.floor((F.size(found) - 1) / F.lit(_TOGETHER)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: within(F.slice(found, i * _TOGETHER + 1, F.lit(_TOGETHER))))
+        return F.when(F.size(found) > 0, _let(parts, shifted)).otherwise(_none())
+
+    return _let(F.filter(pieces, lambda p: p["match"].isNotNull()), places)
 
 
 def _exact(text: Column) -> Column:
