@@ -22,6 +22,8 @@ def read(text):
 
 def test_edited_texts_and_neighbours(docs, rows):
     order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1] or ""))
+    whole = lambda text: fp.shingles(WordHashes().of(text.encode().lower().split()), 5, Windows())
+    kept = lambda text: fp.fingerprint(whole(text), fp.FRACTION)
     want = []
     for row, after in zip(order, [*order[1:], order[0]]):
         text, following = row[1] or "", after[1] or ""
@@ -29,7 +31,7 @@ def test_edited_texts_and_neighbours(docs, rows):
         a, b, c = kept(text), kept(edited), kept(following)
         want.append(
             (row[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), a.tolist(), b.tolist(),
-             fp.similarity(a, b), fp.similarity(a, c))
+             fp.likeness(a, b), fp.likeness(a, c))
         )
     got = [
         (r.doc_id, r.n_chars, r.edited_sha256, read(r.fingerprint).tolist(), read(r.edited_fingerprint).tolist(),
@@ -60,6 +62,36 @@ def test_estimates_come_near_the_truth():
     assert np.array_equal(fp.merge(a, kept(large)), np.union1d(a, kept(large)))
 
 
+def test_only_hashes_below_the_threshold_so_sketches_merge():
+    rng = random.Random(4)
+    limit = np.uint64(int(fp.FRACTION * (1 << 64)))
+    text = prose(rng, 5000)
+    whole, words = kept(text), text.split()
+    estimates, unbiased = [], []
+    for _ in range(490):
+        i = rng.randrange(4990)
+        part = kept(" ".join(words[i : i + 8]))
+        merged = fp.merge(whole, part)
+        assert np.array_equal(merged, whole) and (merged < limit).all()
+        estimates.append(fp.containment(part, whole))
+        unbiased.append(fp.containment(part, kept(prose(rng, 5000))))
+    # Contained wherever the part has a hash; without one nothing is said.
+    known = [x for x in estimates if x == x]
+    assert set(known) == {1.0} and 0.2 < len(known) / 490 < 0.8
+    assert {x for x in unbiased if x == x} <= {0.0, 1 / 2, 1 / 3, 1.0}
+    # Documents whose shingles are disjoint: the sketch of both is the union.
+    a, b = kept("a1 a2 a3 a4 a5 a6 a7"), kept("b1 b2 b3 b4 b5 b6 b7")
+    shingles = [fp.shingles(WordHashes().of(x.encode().split()), 5, Windows()) for x in ("a1 a2 a3 a4 a5 a6 a7", "b1 b2 b3 b4 b5 b6 b7")]
+    assert np.array_equal(fp.merge(a, b), fp.below(np.union1d(*shingles), fp.FRACTION))
+
+
+def test_equal_and_unequal_short_texts():
+    of = lambda text: fp.fingerprint(fp.shingles(WordHashes().of(text.split()), 5, Windows()), fp.FRACTION)
+    assert fp.likeness(of(b"a b c"), of(b"a b c")) == 1.0
+    assert fp.likeness(of(b"a b c"), of(b"a b d")) == 0.0
+    assert fp.likeness(of(b""), of(b"")) == 1.0 and fp.likeness(of(b""), of(b"a")) == 0.0
+
+
 def test_sketch_operator_and_merge(docs, rows):
     sketches = fp.sketch_documents(docs)
     assert sketches.count() == len(rows)
