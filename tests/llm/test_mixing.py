@@ -44,6 +44,25 @@ def test_mixture(docs, rows, no_docs):
     assert mixing.mixture(no_docs).count() == 0
 
 
+HELPERS = ("_key", "_hash", "_cell", "_whole", "_rest", "_begin", "_edge", "_part", "_time", "row", "time", "level", "a.b", "Size", "taken")
+
+
+def test_columns_of_any_name(docs):
+    """Names that the operator uses inside are kept as they are, or replaced if it adds them."""
+    wide = docs
+    for name in HELPERS:
+        wide = wide.withColumn(name, docs.lang)
+    plain = sorted(str((r.doc_id, r.size, r.taken)) for r in mixing.mixture(docs).collect())
+    mixed = mixing.mixture(wide)
+    found = mixed.collect()
+    assert sorted(str((r.doc_id, r.size, r.taken)) for r in found) == plain
+    kept = [name for name in HELPERS if name not in ("Size", "taken")]
+    assert [c for c in mixed.columns if c in HELPERS] == [*kept, "taken"]
+    assert all(r[name] == r.lang for r in found for name in kept)
+    copies = mixing.repeated(mixed).collect()
+    assert copies and all(r[name] == r.lang for r in copies for name in kept)
+
+
 def test_repeats_hold_the_words_taken(docs):
     mixed = mixing.mixture(docs).cache()
     copies = mixing.repeated(mixed)

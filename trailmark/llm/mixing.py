@@ -74,9 +74,11 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = E
     whole, and only documents of the one cell of each source that is not are put in order. The plan has a row for each
     source; Spark broadcasts it while it is small.
     """
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    names = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
+    # The row travels as one struct, so its columns may have any names.
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     sized = docs.select(
-        *names, word_count().alias("size"), _key().alias("_key"), _hash(seed).alias("_hash")
+        row, "source", word_count().alias("size"), _key().alias("_key"), _hash(seed).alias("_hash")
     ).withColumn("_cell", F.substring("_hash", 1, _CELL))
     cells = stored(sized.groupBy("_key", "source", "_cell").agg(F.sum("size").alias("cell_size")))
     sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
@@ -97,7 +99,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = E
         .filter("_begin <= _rest AND _rest < _begin + cell_size")
         .select("_key", F.col("_cell").alias("_edge"), "_begin")
     )
-    planned = sized.join(stored(plan.join(edge, "_key", "left")), "_key")
+    planned = sized.drop("source").join(stored(plan.join(edge, "_key", "left")), "_key")
     at_edge = F.coalesce(F.col("_cell") == F.col("_edge"), F.lit(False))
     own = F.col("size")
     # Without such a cell the rest is nothing, or all there is.
@@ -105,7 +107,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = E
     order = Window.partitionBy("_key").orderBy("_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     missing = F.col("_rest") - F.col("_begin") - F.coalesce(F.sum("size").over(order), F.lit(0))
     part = F.greatest(F.lit(0), F.least(own, missing))
-    out = [*names, "size", "source_size", "target"]
+    out = [*[F.col(f"row.`{c}`").alias(c) for c in names], "size", "source_size", "target"]
     taken = lambda extra: (F.col("_whole") * own + extra).cast("long").alias("taken")
     return planned.filter(~at_edge).select(*out, taken(more)).unionByName(
         planned.filter(at_edge).withColumn("_part", part).select(*out, taken(F.col("_part")))
@@ -117,12 +119,14 @@ def repeated(mixed: DataFrame) -> DataFrame:
 
     ``text`` of a cut row keeps its first words, up to the last one taken, with the white space between them.
     """
+    size, text = F.col("row.size"), F.col("row.text")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    rows = mixed.filter("taken > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), times)))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("_time") - 1) * F.col("size"))
-    parts = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.slice(parts, F.lit(1), words.cast("int")), "")
-    return rows.withColumn("text", F.when(words == F.col("size"), F.col("text")).otherwise(cut)).drop("_time")
+    row = F.struct(*[F.col(f"`{c}`") for c in mixed.columns]).alias("row")
+    rows = mixed.filter("taken > 0").select(row, F.explode(F.sequence(F.lit(1), times)).alias("time"))
+    words = F.least(size, F.col("row.taken") - (F.col("time") - 1) * size)
+    parts = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(words == size, text).otherwise(F.array_join(F.slice(parts, F.lit(1), words.cast("int")), ""))
+    return rows.select(*[(cut if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in mixed.columns])
 
 
 def digest(mixed: DataFrame) -> DataFrame:
