@@ -36,6 +36,25 @@ def test_equals_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute_force(rows, 7)
 
 
+def test_scores_of_any_size(spark):
+    """Products around 2 ** 53, 2 ** 63 and beyond are exact, or end where a long does."""
+    ends = (-(1 << 63), (1 << 63) - 1)
+    rng = random.Random(8)
+    for size in (1e3, 2.0**20, 2.0**21, 2.0**25, 2.0**26, 2.0**40, 1e200):
+        rows = [(i, [rng.uniform(-size, size) for _ in range(6)]) for i in range(40)]
+        rows += [(40 + i, [rows[i][1][0] + 1 / 64, *rows[i][1][1:]]) for i in range(8)]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+        want = []
+        for q, a in good:
+            if q % 5 == 0:
+                clipped = lambda b: min(max(sum(x * y for x, y in zip(a, b)), ends[0]), ends[1])  # noqa: B023, E731
+                scored = sorted((-clipped(b), i) for i, b in good if i != q)
+                want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:4])]
+        got = topk.top_k(table, table.filter("vec_id % 5 = 0"), 4).collect()
+        assert sorted(map(tuple, got)) == sorted(want), size
+
+
 def test_empty(spark):
     table = spark.createDataFrame([], SCHEMA)
     assert topk.top_k(table, table).count() == 0

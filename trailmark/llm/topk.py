@@ -28,10 +28,18 @@ _FIELDS = "block int, is_query boolean, ids binary, values binary"
 
 
 def integers(vector: Column, scale: int = SCALE) -> Column:
-    """``floor(scale * x)`` of every component; null unless all are finite."""
+    """``floor(scale * x)`` of every component, as doubles; null unless all are finite."""
     numbers = F.transform(vector, lambda x: x.cast("double"))
+    # Doubles from 2 ** 53 on are whole numbers; a long could not hold them all.
+    whole = lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
     finite = F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(finite & (F.size(vector) > 0), F.transform(numbers, lambda x: F.floor(x * scale).cast("long")))
+    return F.when(finite & (F.size(vector) > 0), F.transform(numbers, lambda x: whole(x * scale)))
+
+
+def _lengths(values: np.ndarray) -> np.ndarray:
+    """Lengths of rows, a little too large rather than too small."""
+    most = np.abs(values).max(1, initial=1.0)
+    return most * np.sqrt(((values / most[:, None]) ** 2).sum(1)) * (1 + 1e-12)
 
 
 def segment_statistics(values: np.ndarray, segments: int) -> np.ndarray:
@@ -42,43 +50,67 @@ def segment_statistics(values: np.ndarray, segments: int) -> np.ndarray:
     return np.stack([*means, *deviations], 1)
 
 
+def _products(a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Integer products of rows that hold whole numbers; ``lengths`` bounds them.
+
+    Doubles hold them below 2 ** 53, long integers below 2 ** 63; beyond, Python's integers do, and what a long can't
+    hold counts as the nearest it can.
+    """
+    most = lengths.max(initial=0.0)
+    if most < 1 << 52:
+        return (a @ b.T).astype(np.int64)
+    if most < 1 << 62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = [[[int(x) for x in row] for row in side] for side in (a, b)]
+    ends = np.iinfo(np.int64)
+    return np.array(
+        [[min(max(sum(map(int.__mul__, x, y)), ends.min), ends.max) for y in whole[1]] for x in whole[0]], np.int64
+    ).reshape(len(a), len(b))
+
+
 class _Best:
     """The ``k`` best of each query so far: highest score, then smallest id."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray, k: int) -> None:
         self.ids, self.values, self.k = ids, values, k
         self.levels = [segment_statistics(values, n) for n in LEVELS]
-        self.lengths = np.sqrt((values**2).sum(1))
+        self.lengths = _lengths(values)
+        self.least = np.full(len(ids), np.iinfo(np.int64).min)
         self.found_ids: list[np.ndarray] = [np.empty(0, np.int64)] * len(ids)
         self.found: list[np.ndarray] = [np.empty(0, np.int64)] * len(ids)
         self.bar = np.full(len(ids), -np.inf)
 
     def meet(self, ids: np.ndarray, values: np.ndarray) -> None:
-        for at in range(0, len(ids), _SLICE):
-            self._meet(ids[at : at + _SLICE], values[at : at + _SLICE])
+        with np.errstate(over="ignore", invalid="ignore"):
+            for at in range(0, len(ids), _SLICE):
+                self._meet(ids[at : at + _SLICE], values[at : at + _SLICE])
 
     def _meet(self, ids: np.ndarray, values: np.ndarray) -> None:
         open_ = self.ids[:, None] != ids[None, :]
-        slack = 1e-9 * self.lengths[:, None] * np.sqrt((values**2).sum(1))[None, :] + 1e-6  # for rounding
+        lengths = self.lengths[:, None] * _lengths(values)[None, :]
+        slack = 1e-9 * lengths + 1e-6  # for rounding
         for own, n in zip(self.levels, LEVELS):
             if not np.isneginf(self.bar).all():
-                open_ &= own @ segment_statistics(values, n).T + slack >= self.bar[:, None]
+                # A bound that doubles can't hold excludes nothing.
+                open_ &= ~(own @ segment_statistics(values, n).T + slack < self.bar[:, None])
         rows = np.flatnonzero(open_.any(1))
         columns = np.flatnonzero(open_.any(0))
         if not len(rows):
             return
-        # Products of whole numbers below 2 ** 53 are exact.
-        scores = np.where(open_[np.ix_(rows, columns)], self.values[rows] @ values[columns].T, -np.inf)
-        for q, line in zip(rows.tolist(), scores):
-            good = np.flatnonzero((line >= self.bar[q]) & (line > -np.inf))
+        wanted = open_[np.ix_(rows, columns)]
+        scores = _products(self.values[rows], values[columns], lengths[np.ix_(rows, columns)])
+        for q, line, may in zip(rows.tolist(), scores, wanted):
+            good = np.flatnonzero(may & (line >= self.least[q]))
             if not len(good):
                 continue
-            score = np.concatenate([self.found[q], line[good].astype(np.int64)])
+            score = np.concatenate([self.found[q], line[good]])
             name = np.concatenate([self.found_ids[q], ids[columns[good]]])
-            order = np.lexsort((name, -score))[: self.k]
+            order = np.lexsort((name, ~score))[: self.k]
             self.found[q], self.found_ids[q] = score[order], name[order]
             if len(order) == self.k:
-                self.bar[q] = float(self.found[q][-1])
+                self.least[q] = self.found[q][-1]
+                # As a double, not above the score.
+                self.bar[q] = np.nextafter(float(self.found[q][-1]), -np.inf)
 
 
 def _packed(rows: int) -> Callable:
@@ -142,7 +174,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = SCAL
     Both tables have ``vec_id`` (long) and ``embedding`` (array of numbers), of which :func:`integers` makes whole
     numbers; other columns are left out. Vectors that are null, empty, or hold null or non-finite components take no
     part, nor do rows without id; vectors of different lengths don't meet. Returns ``query_id``, ``rank`` from 1,
-    ``vec_id`` and ``score``; equal scores go to the smaller id. A query gets fewer rows if there are fewer vectors;
+    ``vec_id`` and ``score``; equal scores go to the smaller id. Scores are exact; those that a long can't hold count
+    as the nearest that it can. A query gets fewer rows if there are fewer vectors;
     rows that repeat an id are candidates each. Empty tables give no rows.
 
     All queries meet all vectors, in blocks: a block of vectors goes once to each block of queries, which keeps only
