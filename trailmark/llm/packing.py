@@ -29,7 +29,7 @@ _SEED = 20240229
 #: Runs of the curve for each shuffle partition.
 _CHUNKS = 4
 #: Pieces whose ids are remembered for good, and further ones until there are so many.
-_KEPT, _KEPT_LATER = 250_000, 60_000
+_KEPT, _KEPT_LATER = 600_000, 150_000
 _MARKS = ",."
 
 # A single space between two other characters always begins a piece of its own in byte-level BPE.
