@@ -209,7 +209,8 @@ def fit(
     share = min(1.0, rows / max(known.count(), 1))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(rows + rows // 10)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = stored(texts.join(F.broadcast(chosen), "doc_id"))
+    # Rows that repeat an id are different texts or copies of one; either way the bound is one of rows.
+    sample = stored(texts.join(F.broadcast(chosen), "doc_id").limit(rows + rows // 10))
     totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     toxic_rows, other_rows = totals.toxic, totals.n - totals.toxic
     counts = sample.mapInArrow(_counted, "feature string, others long, toxic long").groupBy("feature").agg(
