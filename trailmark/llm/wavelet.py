@@ -30,7 +30,7 @@ _HEAD = struct.Struct("<8sQQIQQ")
 #: Bits of a plane that are compressed together.
 _BLOCK = 1 << 16
 #: Words whose ids a process remembers, and how many alphabetic words are encoded in one call.
-_WORDS_KEPT, _WORDS_A_CALL = 900_000, 256
+_WORDS_KEPT, _WORDS_A_CALL = 1_400_000, 256
 _MARKS = ".,"
 #: What Python alone takes for white space; and what the order of lowering and composing letters matters to.
 _NO_SPACE = re.compile("[\x1c-\x1f]")
@@ -291,7 +291,7 @@ def _filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path.removeprefix("file://").removeprefix("file:"))
 
 
-def _texts(batches: Iterable[pa.RecordBatch], step: int = 128) -> Iterator[tuple[list[int | None], list[str]]]:
+def _texts(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[tuple[list[int | None], list[str]]]:
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
