@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from hard_texts import prose
@@ -63,12 +64,33 @@ def near_copies(seed):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_copies_around_the_threshold(spark, seed, monkeypatch):
-    monkeypatch.setattr(jaccard, "_FEW", seed - 1)  # once with and once without further rounds
+    monkeypatch.setattr(jaccard, "_CELL", [512, 7][seed - 1])  # one cell a block, and many
     rows = near_copies(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert got(jaccard.similar_groups(df, 4, 85)) == brute_force(rows, 4, 85)
 
 
+def test_rows_without_ids(spark):
+    """Short texts, most without an id, some copies of each other: every row meets its own text only."""
+    rng = random.Random(3)
+    rows = [(None if i % 3 else i, prose(rng, 12)) for i in range(300)]
+    rows += [(None, t) for _, t in rows[:40]] + [(5, t + " end") for _, t in rows[:20]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(jaccard.similar_groups(df, 4, 85)) == brute_force(rows, 4, 85)
+
+
+@pytest.mark.parametrize("left", [0, 3, 12])
+def test_common_counts(left):
+    rng = random.Random(left)
+    sets = [np.unique(np.array([rng.randrange(40) for _ in range(rng.randrange(1, 30))], np.int64)) for _ in range(12)]
+    owner = np.repeat(np.arange(12), [len(s) for s in sets])
+    counts = jaccard._common_counts(owner, np.concatenate(sets), left, 12)
+    assert counts.shape == (left, 12)
+    for a in range(left):
+        for b in range(a + 1, 12):
+            assert counts[a, b] == len(np.intersect1d(sets[a], sets[b]))
+
+
 def test_empty_table(no_docs):
     assert jaccard.similar_groups(no_docs).count() == 0
 

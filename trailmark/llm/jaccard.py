@@ -1,17 +1,20 @@
 """Documents whose sets of word n-grams are alike, and the groups they form.
 
 The product of the document by n-gram incidence matrix with its transpose counts what documents share. Only few of its
-entries can reach the threshold, and these are found block by block:
+entries can reach the threshold, so the product is taken in blocks, and pairs that sizes rule out are dropped on the way:
 
 * Documents with equal sets are one row of the matrix.
 * N-grams have a common order, the frequent ones last. If two sets are alike enough, the first n-grams of both (a share
-  of each set that follows from its size) meet. So only these first n-grams are multiplied out.
-* A block is an n-gram's column among them. Its members are compared with a few of them, the pivots; sizes and places in
-  the order bound each overlap, and pairs below the bound go before anything is counted. This decides all pairs of
-  small blocks. Members found to be in one group need no further comparison with each other. Larger blocks whose
-  members are not all in one group get other pivots.
-* When few pairs remain undecided, all of them are counted: members outside a block's largest group meet the rest of
-  the block. So each link between two groups is found, without the square of a group's size ever being laid out.
+  of each set that follows from its size) meet. Columns of these first n-grams that have the same documents are one.
+* Each column is named by a document that many of its members share first n-grams with, the pivot. Columns of one pivot
+  make up a block of rows. Members that can reach the threshold with their pivot are compared with it; those that do
+  are tied together.
+* A block's members that are not tied yet are multiplied out in cells of bounded size: members outside the block's
+  largest group against each other and against that group. Cells of first n-grams come first; a member none of whose
+  counts, with all that may follow, reaches the size bound goes. Cells of whole sets then give exact counts.
+
+So each link between two groups is found. A cell returns members, or ties of its groups: as many rows as it has members
+at most, never its pairs. A block whose members outside its largest group number n is read about n / 512 times.
 """
 
 from __future__ import annotations
@@ -22,22 +25,21 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.components import connected_components
-from trailmark.llm.shared import U64, Windows, WordHashes, as_bytes, shingles, shuffle_partitions, signed, stored
+from trailmark.llm.shared import U64, Windows, WordHashes, as_bytes, row_key, shingles, shuffle_partitions, signed, stored
 
 #: Frequent n-grams that are put last in the order: 8 MB in every task. The order only affects speed.
 FREQUENT = 1_000_000
 #: An n-gram is frequent from so many documents on (counted where a task meets it at least ``_SEEN`` times).
 _OFTEN, _SEEN = 32, 3
 _GATHERED = 2_000_000
-#: Pivots of a block in each round.
-_PIVOTS = 8
-#: Rounds of pivots at most, and undecided pairs for each member of all blocks below which all of them are counted.
-_ROUNDS, _FEW = 6, 64
-_CELL = 512
+#: Members on a side of a cell, and n-grams of theirs, on average at most.
+_CELL, _CELL_GRAMS = 512, 2_000_000
+#: Columns multiplied at a time, and members up to which a column's pairs are counted one by one.
+_COLUMNS, _SPARSE = 4096, 8
 _AT_ONCE = 400
 _FILTER_BITS = 24
 
@@ -99,36 +101,32 @@ def _summaries(words: int, percent: int, frequent) -> Callable:
         by_hash = np.argsort(rare_first)
         names = rare_first[by_hash]
 
-        def first(grams: np.ndarray) -> tuple[np.ndarray, int]:
+        def first(grams: np.ndarray) -> np.ndarray:
             at = np.minimum(np.searchsorted(names, grams), max(len(names) - 1, 0))
             last = names[at] == grams if len(names) else np.zeros(len(grams), bool)
             late = np.sort(by_hash[at[last]]) if last.any() else np.empty(0, int)
-            k = first_grams(len(grams), percent)
-            return signed(np.concatenate([grams[~last], rare_first[late]])[:k]), min(k, int((~last).sum()))
+            return signed(np.concatenate([grams[~last], rare_first[late]])[: first_grams(len(grams), percent)])
 
         for batch, sets in _sets(batches, words):
-            heads = [first(s) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("key"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_digest(s) for s in sets], pa.binary()),
-                    pa.array([h for h, _ in heads], pa.list_(pa.int64())),
-                    pa.array([n for _, n in heads], pa.int32()),
+                    pa.array([first(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "size", "digest", "first", "rare"],
+                names=["doc_id", "key", "size", "digest", "first"],
             )
 
     return run
 
 
-def _sets_by_cell(words: int) -> Callable:
+def _sets_by_cell(words: int, cell: pa.StructType) -> Callable:
     """The set of a row's text, once for each cell in which it is compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [("a", pa.int64()), ("cell", pa.int32()), ("is_pivot", pa.bool_()), ("node", pa.int64()), ("grams", pa.binary())]
-        )
+        schema = pa.schema([*cell, ("node", pa.int64()), ("grams", pa.binary())])
         for batch, sets in _sets(batches, words):
             out = []
             columns = [batch.column(c).to_pylist() for c in ("node", "digest", "cells")]
@@ -166,63 +164,176 @@ def _compared(percent: int) -> Callable:
     return run
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """Bitmap of ``2 ** _FILTER_BITS`` bits with a bit set for every ``doc_id``: 2 MB, whatever the number of ids."""
-    bits = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FILTER_BITS)).cast("int").alias("bit")).distinct()
+def _bit() -> Column:
+    return F.pmod("key", F.lit(1 << _FILTER_BITS)).cast("int")
+
+
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """Bitmap of ``2 ** _FILTER_BITS`` bits with a bit set for every ``key``: 2 MB, whatever the number of keys."""
+    bits = keys.select(_bit().alias("bit")).distinct()
     seen = np.zeros(1 << _FILTER_BITS, bool)
     seen[bits.toArrow().column("bit").to_numpy()] = True
     return np.packbits(seen)
 
 
-def _can_link(percent: int) -> Column:
-    """Bounds of the overlap of two sets that meet first at this n-gram, from their sizes and its places."""
-    rest = 1 + F.least(F.col("a_size") - F.col("a_place") - 1, F.col("b_size") - F.col("b_place") - 1)
-    both = F.col("a_size") + F.col("b_size")
-    sizes = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
-    return sizes & ((100 + percent) * rest >= percent * both)
+def _common_counts(owner: np.ndarray, grams: np.ndarray, left: int, members: int) -> np.ndarray:
+    """N-grams that each of the first ``left`` members shares with each member; ``owner`` ascends."""
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.empty(0, int)
+    many = np.diff(np.r_[starts, len(grams)])
+    column = np.repeat(np.arange(len(starts)), many)
+    common = np.zeros(left * members, np.int64)
+    few = np.repeat((many > 1) & (many <= _SPARSE), many)
+    at, who = column[few], owner[few]
+    for d in range(1, _SPARSE):
+        same = (at[d:] == at[:-d]) & (who[:-d] < left)
+        common += np.bincount(who[:-d][same] * members + who[d:][same], minlength=len(common))
+    common = common.reshape(left, members)
+    dense = np.repeat(many > _SPARSE, many)
+    at, who = np.unique(column[dense], return_inverse=True)[1], owner[dense]
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, _COLUMNS):
+        here = slice(*np.searchsorted(at, (first, first + _COLUMNS)))
+        block = np.zeros((members, _COLUMNS), np.float32)
+        block[who[here], at[here] - first] = 1
+        common += (block[:left] @ block.T).astype(np.int64)
+    return common
+
+
+def _ties(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> Iterator[int]:
+    """Places of those links ``a``, ``b`` that tie groups not tied by an earlier one."""
+    names, group = np.unique(root, return_inverse=True)
+    _, once = np.unique(group[a] * len(names) + group[b], return_index=True)
+    up = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for i in once.tolist():
+        x, y = top(int(group[a[i]])), top(int(group[b[i]]))
+        if x != y:
+            up[x] = y
+            yield i
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """Numbers of each row of a column of lists or of bytes."""
+    if pa.types.is_binary(column.type):
+        return [np.frombuffer(x, np.int64) for x in column.to_pylist()]
+    numbers, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [numbers[a:b].copy() for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _multiplied(percent: int, whole: bool) -> Callable:
+    """Of cells: with first n-grams, members that may be linked to another group; with whole sets, links that tie groups.
+
+    A cell's left members meet those on the right, in the cell -1 each other too.
+    """
 
+    def product(cell: tuple, rows: dict[int, tuple]) -> pa.RecordBatch:
+        inside = sorted(rows.items(), key=lambda x: not x[1][0])
+        left = sum(is_left for _, (is_left, *_) in inside)
+        node = np.array([n for n, _ in inside], np.int64)
+        root, size = (np.array([r[k] for _, r in inside], np.int64) for k in (1, 2))
+        sets = [r[3] for _, r in inside]
+        held = np.array([len(s) for s in sets], np.int64)
+        common = _common_counts(np.repeat(np.arange(len(sets)), held), np.concatenate(sets), left, len(sets))
+        both = size[:left, None] + size
+        if whole:
+            good = 100 * common >= percent * (both - common)
+        else:
+            rest = np.maximum((size - held)[:left, None], size - held)
+            good = (common > 0) & ((100 + percent) * (common + rest) >= percent * both)
+        good &= root[:left, None] != root
+        good &= np.arange(left)[:, None] < np.arange(len(sets)) if cell[2] == -1 else np.arange(len(sets)) >= left
+        a, b = np.nonzero(good)
+        if whole:
+            ties = list(_ties(a, b, root))
+            return pa.RecordBatch.from_arrays([pa.array(node[a[ties]]), pa.array(node[b[ties]])], names=["a", "b"])
+        hopeful = node[np.unique(np.r_[a, b])]
+        label = np.full(len(hopeful), cell[0], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(label), pa.array(hopeful)], names=["label", "node"])
 
-def _side(entries: DataFrame, name: str, *more: str) -> DataFrame:
-    return entries.select("gram", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "size", "place", *more)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, {}
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("label", "i", "j", "is_left", "node", "root", "size")]
+            for label, i, j, is_left, node, root, size, grams in zip(*columns, _arrays(batch.column("grams"))):
+                if (label, i, j) != now:
+                    if rows:
+                        yield product(now, rows)
+                    now, rows = (label, i, j), {}
+                rows.setdefault(node, (is_left, root, size, grams))
+        if rows:
+            yield product(now, rows)
 
+    return run
 
-def _pairs(found: DataFrame, percent: int) -> DataFrame:
-    return (
-        found.filter(_can_link(percent))
-        .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
-        .distinct()
-    )
 
+def _blocks(entries: DataFrame) -> DataFrame:
+    """``label``, ``node``: members of each block. Two nodes of one column are in one block at least.
 
-def _with_pivots(entries: DataFrame, percent: int, salt: int) -> DataFrame:
-    """Each block's members paired with up to ``_PIVOTS`` of them, picked by hash (in each map task first)."""
-    by_hash = Window.partitionBy("gram").orderBy(F.xxhash64(F.col("node"), F.lit(salt)), "node")
-    pivots = entries.withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= _PIVOTS)
-    return _pairs(_side(entries, "b").join(_side(pivots, "a"), "gram").filter("a_node != b_node"), percent)
+    A column's pivot is the one that most of its members favour, and a node favours the smallest node of most of its
+    columns: so columns of one cluster have one pivot or few.
+    """
+    columns = entries.groupBy("gram").agg(
+        F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("node")).alias("one"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("other"),
+        F.min("node").alias("least"),
+    )
+    kept = columns.filter("n > 1").groupBy("n", "one", "other").agg(F.min("gram").alias("gram"), F.min("least").alias("least"))
+    members = stored(entries.join(kept.select("gram", "least"), "gram"))
+    votes = members.groupBy("node", "least").agg(F.count("*").alias("n"))
+    favourites = votes.groupBy("node").agg(F.max_by("least", "n").alias("favourite"))
+    of_columns = members.join(favourites, "node").groupBy("gram", "favourite").agg(F.count("*").alias("n"))
+    labels = of_columns.groupBy("gram").agg(F.max_by("favourite", "n").alias("label"))
+    return stored(members.join(labels, "gram").select("label", "node").distinct())
 
 
-def _undecided(named: DataFrame) -> DataFrame:
-    """Members of blocks that pivots don't decide and whose members are not all in one group (``root``).
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members (``label``, ``node``, ``root``, ``size``) of blocks with several groups, with their ``cells``.
 
-    ``main`` is the block's largest group; the ``undecided`` of a block's members add up to its pairs across groups.
+    Members of a block's largest group are on the right only. The cells of a side follow from members and sizes.
     """
-    groups = named.groupBy("gram", "root").agg(F.count("*").alias("n"))
-    blocks = groups.groupBy("gram").agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("n") * F.col("n")).alias("square"),
+    groups = members.groupBy("label", "root").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
+    blocks = groups.groupBy("label").agg(
         F.count("*").alias("groups"),
-        F.max(F.struct("n", "root")).alias("main"),
+        F.sum("n").alias("n"),
+        F.sum("grams").alias("grams"),
+        F.max(F.struct("n", "grams", "root")).alias("main"),
+    )
+    cells = lambda n, grams: F.ceil(F.greatest(n / _CELL, grams / _CELL_GRAMS)).cast("int")
+    sides = blocks.filter("groups > 1").select(
+        "label",
+        F.col("main.root").alias("main"),
+        cells(F.col("main.n"), F.col("main.grams")).alias("mains"),
+        cells(F.col("n") - F.col("main.n"), F.col("grams") - F.col("main.grams")).alias("others"),
+    )
+    is_main = F.col("root") == F.col("main")
+    own = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    cell = lambda i, j, is_left: F.struct(i.alias("i"), j.alias("j"), is_left.alias("is_left"))
+    me, zero = F.col("own"), F.lit(0)
+    upto = lambda n: F.sequence(zero, n - 1)
+    with_mains = F.transform(upto(F.col("mains")), lambda x: cell(me, -1 - x, F.lit(True)))
+    with_others = F.transform(
+        F.filter(upto(F.col("others")), lambda x: x != me), lambda x: cell(F.least(me, x), F.greatest(me, x), me < x)
+    )
+    of_others = F.concat(with_mains, with_others)
+    of_main = F.transform(upto(F.col("others")), lambda x: cell(x, -1 - me, F.lit(False)))
+    return (
+        members.join(sides, "label")
+        .withColumn("own", own)
+        .select("label", "node", "root", "size", F.when(is_main, of_main).otherwise(of_others).alias("cells"))
     )
-    still = blocks.filter((F.col("groups") > 1) & (F.col("n") > _PIVOTS + 1))
-    pairs = (F.col("n") * F.col("n") - F.col("square")) / (2 * F.col("n"))
-    return named.join(still.select("gram", F.col("main.root").alias("main"), pairs.alias("undecided")), "gram")
 
 
-def _across_groups(open_blocks: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a block's members in different groups; its largest group is not paired with itself."""
-    others = _side(open_blocks.filter("root != main"), "a", "root")
-    both = others.join(_side(open_blocks, "b", "root", "main"), "gram")
-    return _pairs(both.filter("a_root != b_root AND (b_root = b_main OR a_node < b_node)"), percent)
+def _in_cells(rows: DataFrame) -> DataFrame:
+    """Rows of a cell in one task, one cell after another."""
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "label", "i", "j")
+    return dealt.sortWithinPartitions("label", "i", "j").select("label", "i", "j", "is_left", "node", "root", "size", "grams")
 
 
 def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -240,22 +351,27 @@ def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.filter((100 + percent) * (shared + rest) >= percent * (F.col("a_size") + F.col("b_size"))).select("a", "b")
 
 
-def _towards_busier(pairs: DataFrame) -> DataFrame:
-    """The same pairs, with the node that has more of them first."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-    side = lambda name: ends.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    turn = F.col("b_n") > F.col("a_n")
-    return both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
+def _texts_of(cells: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """A text of each node of ``cells`` (``node``, ``cells``).
+
+    Only texts that may be wanted are shuffled; a filter of fixed size tells.
+    """
+    wanted = stored(classes.select("node", "digest", "key").join(cells, "node"))
+    seen = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+
+    @F.pandas_udf("boolean")
+    def may_be_wanted(bit):
+        bit = bit.to_numpy()
+        return pd.Series((seen.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1)
+
+    return docs.filter(may_be_wanted(_bit())).join(wanted, "key").select("node", "digest", "cells", "text")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of ``pairs``, those whose overlap reaches the threshold, counted on the whole sets.
+    """Of ``pairs`` of a pivot ``a`` and a member ``b``, those whose overlap reaches the threshold on the whole sets.
 
-    A member's set goes to each cell of its pairs. A pivot of many pairs has many cells of ``_CELL`` members or so.
-    Only texts that may be in a pair are shuffled; a filter of fixed size tells.
+    A pivot of many pairs has many cells of ``_CELL`` members or so.
     """
-    pairs = _towards_busier(pairs)
     pivots = pairs.groupBy("a").agg(F.ceil(F.count("*") / _CELL).cast("int").alias("cells"))
     at = F.pmod(F.xxhash64("b"), F.col("cells")).cast("int")
     of_members = pairs.join(pivots, "a").select(F.col("b").alias("node"), "a", at.alias("cell"), F.lit(False).alias("is_pivot"))
@@ -263,23 +379,35 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, pe
         F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("is_pivot")
     )
     cells = of_members.unionByName(of_pivots).groupBy("node").agg(F.collect_list(F.struct("a", "cell", "is_pivot")).alias("cells"))
-    wanted = stored(classes.select("node", "digest", F.col("least").alias("doc_id")).join(cells, "node"))
-    seen = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
-
-    @F.pandas_udf("boolean")
-    def may_be_wanted(bit):
-        bit = bit.to_numpy()
-        return pd.Series((seen.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1)
-
-    some = docs.filter(may_be_wanted(F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FILTER_BITS)).cast("int")))
-    # A null id stands for the class of a null id only.
-    matched = some.join(wanted, some["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "digest", "cells", "text")
-    sets = matched.mapInArrow(_sets_by_cell(words), "a long, cell int, is_pivot boolean, node long, grams binary")
+    form = pa.struct([("a", pa.int64()), ("cell", pa.int32()), ("is_pivot", pa.bool_())])
+    sets = _texts_of(cells, docs, classes).mapInArrow(
+        _sets_by_cell(words, form), "a long, cell int, is_pivot boolean, node long, grams binary"
+    )
     dealt = sets.repartition(shuffle_partitions(docs.sparkSession), "a", "cell")
     ordered = dealt.sortWithinPartitions("a", "cell", F.desc("is_pivot"))
     return ordered.select("a", "is_pivot", "node", "grams").mapInArrow(_compared(percent), "a long, b long")
 
 
+def _between_groups(members: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) that tie the groups (``root``) of a block's members, by products of cells."""
+    of_cell = "label long, i int, j int, is_left boolean, root long, size long"
+    form = pa.struct(
+        [("label", pa.int64()), ("i", pa.int32()), ("j", pa.int32())]
+        + [("is_left", pa.bool_()), ("root", pa.int64()), ("size", pa.int64())]
+    )
+    heads = _dealt(members).join(classes.select("node", F.col("first").alias("grams")), "node")
+    heads = heads.withColumn("cell", F.explode("cells")).select("label", "cell.*", "node", "root", "size", "grams")
+    hopeful = stored(_in_cells(heads).mapInArrow(_multiplied(percent, False), "label long, node long").distinct())
+    left = _dealt(members.join(hopeful, ["label", "node"]))
+    here = lambda c: [c[x].alias(x) for x in ("i", "j", "is_left")]
+    places = F.transform("cells", lambda c: F.struct("label", *here(c), "root", "size"))
+    cells = left.withColumn("cells", places).groupBy("node").agg(F.flatten(F.collect_list("cells")).alias("cells"))
+    sets = _texts_of(cells, docs, classes).mapInArrow(
+        _sets_by_cell(words, form), f"{of_cell}, node long, grams binary"
+    )
+    return _in_cells(sets).mapInArrow(_multiplied(percent, True), "a long, b long")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Size of each document's set of ``words``-word shingles, and the group of documents it is linked with.
 
@@ -293,43 +421,29 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent = spark.sparkContext.broadcast(frequent_grams(docs, words))
+    docs = docs.withColumn("key", row_key())
+    frequent = spark.sparkContext.broadcast(frequent_grams(docs.select("text"), words))
     summaries = stored(
         docs.mapInArrow(
-            _summaries(words, percent, frequent), "doc_id long, size long, digest binary, first array<long>, rare int"
+            _summaries(words, percent, frequent),
+            "doc_id long, key long, size long, digest binary, first array<long>",
         )
     )
     classes = stored(
         summaries.filter("size > 0")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("least"), F.first(F.struct("size", "first", "rare")).alias("one"))
+        .agg(F.min("doc_id").alias("least"), F.first(F.struct("key", "size", "first")).alias("one"))
         .select("digest", "least", "one.*", F.monotonically_increasing_id().alias("node"))
     )
-    entries = classes.select("node", "size", "rare", F.posexplode("first").alias("place", "gram"))
-    rare = entries.filter("place < rare").drop("rare").repartition("gram")
-    several = rare.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    blocks = stored(
-        rare.join(several, "gram", "left_semi").unionByName(entries.filter("place >= rare").drop("rare"))
-    )
-    pairs = stored(_with_pivots(blocks, percent, 0))
-    check = lambda p: _links(stored(_promising(p, classes, percent)), docs, classes, words, percent)
-    links = stored(check(pairs))
-    few = _FEW * blocks.count()
-    for salt in range(1, _ROUNDS + 1):
-        roots = connected_components(links)
-        open_blocks = stored(_undecided(blocks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))))
-        left = open_blocks.agg(F.sum("undecided")).first()[0]
-        if left is None:
-            break
-        last = salt == _ROUNDS or left <= few
-        new = _across_groups(open_blocks, percent) if last else _with_pivots(open_blocks, percent, salt)
-        new = stored(new.join(pairs, ["a", "b"], "left_anti"))
-        links = stored(links.unionByName(check(new)))
-        if last:
-            roots = connected_components(links)
-            break
-        pairs = stored(pairs.unionByName(new))
-    grouped = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    blocks = _blocks(classes.select("node", F.explode("first").alias("gram")))
+    pairs = blocks.filter("label != node").select(F.col("label").alias("a"), F.col("node").alias("b"))
+    ties = stored(_links(stored(_promising(pairs, classes, percent)), docs, classes, words, percent))
+    roots = connected_components(ties)
+    rooted = lambda df: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = stored(rooted(blocks).join(classes.select("node", "size"), "node"))
+    links = stored(ties.unionByName(_between_groups(members, docs, classes, words, percent)))
+    roots = connected_components(links)
+    grouped = rooted(classes)
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.select("digest", "root").join(least, "root").select("digest", "component_id")
     return summaries.join(named, "digest", "left").select(
