@@ -245,7 +245,8 @@ def _multiplied(percent: int, whole: bool) -> Callable:
             good = 100 * common >= percent * (both - common)
         else:
             rest = np.maximum((size - held)[:left, None], size - held)
-            good = (common > 0) & ((100 + percent) * (common + rest) >= percent * both)
+            sizes = 100 * np.minimum(size[:left, None], size) >= percent * np.maximum(size[:left, None], size)
+            good = sizes & (common > 0) & ((100 + percent) * (common + rest) >= percent * both)
         good &= root[:left, None] != root
         good &= np.arange(left)[:, None] < np.arange(len(sets)) if cell[2] == -1 else np.arange(len(sets)) >= left
         a, b = np.nonzero(good)
@@ -337,7 +338,7 @@ def _in_cells(rows: DataFrame) -> DataFrame:
 
 
 def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose first n-grams have enough in common.
+    """Pairs of like sizes whose first n-grams have enough in common.
 
     Of the two lists of first n-grams one ends first in the order. All that its set shares with the other set up to
     there is in both lists, so the overlap is at most what the lists share and the rest of that set.
@@ -346,6 +347,7 @@ def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("first").alias(f"{name}_first")
     )
     both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.filter(100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size"))
     shared = F.size(F.array_intersect("a_first", "b_first"))
     rest = F.greatest(F.col("a_size") - F.size("a_first"), F.col("b_size") - F.size("b_first"))
     return both.filter((100 + percent) * (shared + rest) >= percent * (F.col("a_size") + F.col("b_size"))).select("a", "b")
