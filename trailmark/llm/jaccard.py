@@ -20,6 +20,7 @@ at most, never its pairs. A block whose members outside its largest group number
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -343,11 +344,10 @@ def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     Of the two lists of first n-grams one ends first in the order. All that its set shares with the other set up to
     there is in both lists, so the overlap is at most what the lists share and the rest of that set.
     """
-    side = lambda name: classes.select(
-        F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("first").alias(f"{name}_first")
-    )
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    side = lambda name, c: classes.select(F.col("node").alias(name), F.col(c).alias(f"{name}_{c}"))
+    both = pairs.join(side("a", "size"), "a").join(side("b", "size"), "b")
     both = both.filter(100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size"))
+    both = both.join(side("a", "first"), "a").join(side("b", "first"), "b")
     shared = F.size(F.array_intersect("a_first", "b_first"))
     rest = F.greatest(F.col("a_size") - F.size("a_first"), F.col("b_size") - F.size("b_first"))
     return both.filter((100 + percent) * (shared + rest) >= percent * (F.col("a_size") + F.col("b_size"))).select("a", "b")
@@ -390,6 +390,16 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, pe
     return ordered.select("a", "is_pivot", "node", "grams").mapInArrow(_compared(percent), "a long, b long")
 
 
+def _with_like_sizes(members: DataFrame, percent: int) -> DataFrame:
+    """Members in whose block another one has a size that may be alike: in the same band of sizes or the next."""
+    width = max(math.log(100 / percent) * 1.001, 1e-6)
+    banded = members.withColumn("band", F.floor(F.log("size") / width))
+    counts = banded.groupBy("label", "band").agg(F.count("*").alias("n"))
+    near = counts.withColumn("band", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
+    near = near.groupBy("label", "band").agg(F.sum("n").alias("n")).filter("n > 1").select("label", "band")
+    return banded.join(near, ["label", "band"], "left_semi").drop("band")
+
+
 def _between_groups(members: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (``a``, ``b``) that tie the groups (``root``) of a block's members, by products of cells."""
     of_cell = "label long, i int, j int, is_left boolean, root long, size long"
@@ -397,7 +407,7 @@ def _between_groups(members: DataFrame, docs: DataFrame, classes: DataFrame, wor
         [("label", pa.int64()), ("i", pa.int32()), ("j", pa.int32())]
         + [("is_left", pa.bool_()), ("root", pa.int64()), ("size", pa.int64())]
     )
-    heads = _dealt(members).join(classes.select("node", F.col("first").alias("grams")), "node")
+    heads = _dealt(stored(_with_like_sizes(members, percent))).join(classes.select("node", F.col("first").alias("grams")), "node")
     heads = heads.withColumn("cell", F.explode("cells")).select("label", "cell.*", "node", "root", "size", "grams")
     hopeful = stored(_in_cells(heads).mapInArrow(_multiplied(percent, False), "label long, node long").distinct())
     left = _dealt(members.join(hopeful, ["label", "node"]))
