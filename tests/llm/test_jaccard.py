@@ -84,11 +84,13 @@ def test_common_counts(left):
     rng = random.Random(left)
     sets = [np.unique(np.array([rng.randrange(40) for _ in range(rng.randrange(1, 30))], np.int64)) for _ in range(12)]
     owner = np.repeat(np.arange(12), [len(s) for s in sets])
-    counts = jaccard._common_counts(owner, np.concatenate(sets), left, 12)
+    weight = np.array([rng.choice([1, 1, 5]) for _ in range(40)], np.int64)
+    grams = np.concatenate(sets)
+    counts = jaccard._common_counts(owner, grams, weight[grams], left, 12)
     assert counts.shape == (left, 12)
     for a in range(left):
         for b in range(a + 1, 12):
-            assert counts[a, b] == len(np.intersect1d(sets[a], sets[b]))
+            assert counts[a, b] == weight[np.intersect1d(sets[a], sets[b])].sum()
 
 
 def test_empty_table(no_docs):

@@ -5,7 +5,8 @@ entries can reach the threshold, so the product is taken in blocks, and pairs th
 
 * Documents with equal sets are one row of the matrix.
 * N-grams have a common order, the frequent ones last. If two sets are alike enough, the first n-grams of both (a share
-  of each set that follows from its size) meet. Columns of these first n-grams that have the same documents are one.
+  of each set that follows from its size) meet. Columns of these first n-grams that have the same documents are one
+  column of their number's weight; those of one document alone share nothing and go.
 * Each column is named by a document that many of its members share first n-grams with, the pivot. Columns of one pivot
   make up a block of rows. Members that can reach the threshold with their pivot are compared with it; those that do
   are tied together.
@@ -28,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from trailmark.llm.components import connected_components
 from trailmark.llm.shared import U64, Windows, WordHashes, as_bytes, row_key, shingles, shuffle_partitions, signed, stored
@@ -177,27 +179,31 @@ def _filter_of(keys: DataFrame) -> np.ndarray:
     return np.packbits(seen)
 
 
-def _common_counts(owner: np.ndarray, grams: np.ndarray, left: int, members: int) -> np.ndarray:
-    """N-grams that each of the first ``left`` members shares with each member; ``owner`` ascends."""
+def _common_counts(owner: np.ndarray, grams: np.ndarray, weights: np.ndarray, left: int, members: int) -> np.ndarray:
+    """Weight of the n-grams that each of the first ``left`` members shares with each member; ``owner`` ascends."""
     order = np.argsort(grams, kind="stable")
-    grams, owner = grams[order], owner[order]
+    grams, owner, weights = grams[order], owner[order], weights[order]
     starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.empty(0, int)
     many = np.diff(np.r_[starts, len(grams)])
     column = np.repeat(np.arange(len(starts)), many)
     common = np.zeros(left * members, np.int64)
     few = np.repeat((many > 1) & (many <= _SPARSE), many)
-    at, who = column[few], owner[few]
+    at, who, weight = column[few], owner[few], weights[few]
     for d in range(1, _SPARSE):
         same = (at[d:] == at[:-d]) & (who[:-d] < left)
-        common += np.bincount(who[:-d][same] * members + who[d:][same], minlength=len(common))
+        pairs = np.bincount(who[:-d][same] * members + who[d:][same], weight[d:][same], len(common))
+        common += pairs.astype(np.int64)
     common = common.reshape(left, members)
     dense = np.repeat(many > _SPARSE, many)
     at, who = np.unique(column[dense], return_inverse=True)[1], owner[dense]
     for first in range(0, int(at[-1]) + 1 if len(at) else 0, _COLUMNS):
         here = slice(*np.searchsorted(at, (first, first + _COLUMNS)))
-        block = np.zeros((members, _COLUMNS), np.float32)
+        weight = np.zeros(_COLUMNS)
+        weight[at[here] - first] = weights[dense][here]
+        exact = np.float32 if weight.sum() < 1 << 24 else np.float64
+        block = np.zeros((members, _COLUMNS), exact)
         block[who[here], at[here] - first] = 1
-        common += (block[:left] @ block.T).astype(np.int64)
+        common += ((block[:left] * weight.astype(exact)) @ block.T).astype(np.int64)
     return common
 
 
@@ -239,13 +245,15 @@ def _multiplied(percent: int, whole: bool) -> Callable:
         node = np.array([n for n, _ in inside], np.int64)
         root, size = (np.array([r[k] for _, r in inside], np.int64) for k in (1, 2))
         sets = [r[3] for _, r in inside]
-        held = np.array([len(s) for s in sets], np.int64)
-        common = _common_counts(np.repeat(np.arange(len(sets)), held), np.concatenate(sets), left, len(sets))
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        weights = np.concatenate([r[4] for _, r in inside]) if not whole else np.ones(len(owner), np.int64)
+        common = _common_counts(owner, np.concatenate(sets), weights, left, len(sets))
         both = size[:left, None] + size
         if whole:
             good = 100 * common >= percent * (both - common)
         else:
-            rest = np.maximum((size - held)[:left, None], size - held)
+            later = size - first_grams(size, percent)
+            rest = np.maximum(later[:left, None], later)
             sizes = 100 * np.minimum(size[:left, None], size) >= percent * np.maximum(size[:left, None], size)
             good = sizes & (common > 0) & ((100 + percent) * (common + rest) >= percent * both)
         good &= root[:left, None] != root
@@ -262,37 +270,48 @@ def _multiplied(percent: int, whole: bool) -> Callable:
         now, rows = None, {}
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("label", "i", "j", "is_left", "node", "root", "size")]
-            for label, i, j, is_left, node, root, size, grams in zip(*columns, _arrays(batch.column("grams"))):
+            lists = _arrays(batch.column("grams"))
+            weights = lists if whole else _arrays(batch.column("weights"))
+            for label, i, j, is_left, node, root, size, grams, weight in zip(*columns, lists, weights):
                 if (label, i, j) != now:
                     if rows:
                         yield product(now, rows)
                     now, rows = (label, i, j), {}
-                rows.setdefault(node, (is_left, root, size, grams))
+                rows.setdefault(node, (is_left, root, size, grams, weight))
         if rows:
             yield product(now, rows)
 
     return run
 
 
-def _blocks(entries: DataFrame) -> DataFrame:
-    """``label``, ``node``: members of each block. Two nodes of one column are in one block at least.
+def _blocks(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``label``, ``node``: members of each block; and ``node``, ``grams``, ``weights``: the columns of each member.
 
+    Two nodes of one column are in one block at least. Entries are shuffled once, by n-gram, and read twice.
     A column's pivot is the one that most of its members favour, and a node favours the smallest node of most of its
     columns: so columns of one cluster have one pivot or few.
     """
+    entries = entries.repartition("gram")
     columns = entries.groupBy("gram").agg(
         F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("node")).alias("one"),
         F.bit_xor(F.xxhash64("node", F.lit(1))).alias("other"),
         F.min("node").alias("least"),
     )
-    kept = columns.filter("n > 1").groupBy("n", "one", "other").agg(F.min("gram").alias("gram"), F.min("least").alias("least"))
-    members = stored(entries.join(kept.select("gram", "least"), "gram"))
+    kept = (
+        columns.filter("n > 1")
+        .groupBy("n", "one", "other")
+        .agg(F.min("gram").alias("gram"), F.min("least").alias("least"), F.count("*").alias("weight"))
+        .select("gram", "least", "weight")
+    )
+    members = stored(entries.join(kept, "gram"))
     votes = members.groupBy("node", "least").agg(F.count("*").alias("n"))
     favourites = votes.groupBy("node").agg(F.max_by("least", "n").alias("favourite"))
     of_columns = members.join(favourites, "node").groupBy("gram", "favourite").agg(F.count("*").alias("n"))
     labels = of_columns.groupBy("gram").agg(F.max_by("favourite", "n").alias("label"))
-    return stored(members.join(labels, "gram").select("label", "node").distinct())
+    blocks = stored(members.join(labels, "gram").select("label", "node").distinct())
+    of_node = members.groupBy("node").agg(F.collect_list(F.struct("gram", "weight")).alias("columns"))
+    return blocks, stored(of_node.select("node", F.col("columns.gram").alias("grams"), F.col("columns.weight").alias("weights")))
 
 
 def _dealt(members: DataFrame) -> DataFrame:
@@ -332,25 +351,32 @@ def _dealt(members: DataFrame) -> DataFrame:
     )
 
 
-def _in_cells(rows: DataFrame) -> DataFrame:
+def _in_cells(rows: DataFrame, *lists: str) -> DataFrame:
     """Rows of a cell in one task, one cell after another."""
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "label", "i", "j")
-    return dealt.sortWithinPartitions("label", "i", "j").select("label", "i", "j", "is_left", "node", "root", "size", "grams")
+    return dealt.sortWithinPartitions("label", "i", "j").select("label", "i", "j", "is_left", "node", "root", "size", *lists)
+
+
+@F.pandas_udf(LongType())
+def _weight_in_common(grams: pd.Series, weights: pd.Series, others: pd.Series) -> pd.Series:
+    both = zip(grams, weights, others)
+    return pd.Series([int(w[np.isin(g, o, assume_unique=True)].sum()) for g, w, o in both], dtype="int64")
 
 
-def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _promising(pairs: DataFrame, classes: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     """Pairs of like sizes whose first n-grams have enough in common.
 
     Of the two lists of first n-grams one ends first in the order. All that its set shares with the other set up to
     there is in both lists, so the overlap is at most what the lists share and the rest of that set.
     """
-    side = lambda name, c: classes.select(F.col("node").alias(name), F.col(c).alias(f"{name}_{c}"))
-    both = pairs.join(side("a", "size"), "a").join(side("b", "size"), "b")
+    size = lambda name: classes.select(F.col("node").alias(name), F.col("size").alias(f"{name}_size"))
+    both = pairs.join(size("a"), "a").join(size("b"), "b")
     both = both.filter(100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size"))
-    both = both.join(side("a", "first"), "a").join(side("b", "first"), "b")
-    shared = F.size(F.array_intersect("a_first", "b_first"))
-    rest = F.greatest(F.col("a_size") - F.size("a_first"), F.col("b_size") - F.size("b_first"))
-    return both.filter((100 + percent) * (shared + rest) >= percent * (F.col("a_size") + F.col("b_size"))).select("a", "b")
+    of_a = lists.select(F.col("node").alias("a"), "grams", "weights")
+    both = both.join(of_a, "a").join(lists.select(F.col("node").alias("b"), F.col("grams").alias("others")), "b")
+    rest = F.expr(f"(greatest(a_size, b_size) * {percent} + 99) div 100 - 1")
+    enough = (100 + percent) * (F.col("shared") + rest) >= percent * (F.col("a_size") + F.col("b_size"))
+    return both.withColumn("shared", _weight_in_common("grams", "weights", "others")).filter(enough).select("a", "b")
 
 
 def _texts_of(cells: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -400,16 +426,19 @@ def _with_like_sizes(members: DataFrame, percent: int) -> DataFrame:
     return banded.join(near, ["label", "band"], "left_semi").drop("band")
 
 
-def _between_groups(members: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+def _between_groups(
+    members: DataFrame, lists: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int
+) -> DataFrame:
     """Links (``a``, ``b``) that tie the groups (``root``) of a block's members, by products of cells."""
     of_cell = "label long, i int, j int, is_left boolean, root long, size long"
     form = pa.struct(
         [("label", pa.int64()), ("i", pa.int32()), ("j", pa.int32())]
         + [("is_left", pa.bool_()), ("root", pa.int64()), ("size", pa.int64())]
     )
-    heads = _dealt(stored(_with_like_sizes(members, percent))).join(classes.select("node", F.col("first").alias("grams")), "node")
-    heads = heads.withColumn("cell", F.explode("cells")).select("label", "cell.*", "node", "root", "size", "grams")
-    hopeful = stored(_in_cells(heads).mapInArrow(_multiplied(percent, False), "label long, node long").distinct())
+    heads = _dealt(stored(_with_like_sizes(members, percent))).join(lists, "node")
+    heads = heads.withColumn("cell", F.explode("cells")).select("label", "cell.*", "node", "root", "size", "grams", "weights")
+    heads = _in_cells(heads, "grams", "weights")
+    hopeful = stored(heads.mapInArrow(_multiplied(percent, False), "label long, node long").distinct())
     left = _dealt(members.join(hopeful, ["label", "node"]))
     here = lambda c: [c[x].alias(x) for x in ("i", "j", "is_left")]
     places = F.transform("cells", lambda c: F.struct("label", *here(c), "root", "size"))
@@ -417,7 +446,7 @@ def _between_groups(members: DataFrame, docs: DataFrame, classes: DataFrame, wor
     sets = _texts_of(cells, docs, classes).mapInArrow(
         _sets_by_cell(words, form), f"{of_cell}, node long, grams binary"
     )
-    return _in_cells(sets).mapInArrow(_multiplied(percent, True), "a long, b long")
+    return _in_cells(sets, "grams").mapInArrow(_multiplied(percent, True), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -447,13 +476,13 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
         .agg(F.min("doc_id").alias("least"), F.first(F.struct("key", "size", "first")).alias("one"))
         .select("digest", "least", "one.*", F.monotonically_increasing_id().alias("node"))
     )
-    blocks = _blocks(classes.select("node", F.explode("first").alias("gram")))
+    blocks, lists = _blocks(classes.select("node", F.explode("first").alias("gram")))
     pairs = blocks.filter("label != node").select(F.col("label").alias("a"), F.col("node").alias("b"))
-    ties = stored(_links(stored(_promising(pairs, classes, percent)), docs, classes, words, percent))
+    ties = stored(_links(stored(_promising(pairs, classes, lists, percent)), docs, classes, words, percent))
     roots = connected_components(ties)
     rooted = lambda df: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = stored(rooted(blocks).join(classes.select("node", "size"), "node"))
-    links = stored(ties.unionByName(_between_groups(members, docs, classes, words, percent)))
+    links = stored(ties.unionByName(_between_groups(members, lists, docs, classes, words, percent)))
     roots = connected_components(links)
     grouped = rooted(classes)
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
