@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from test_jaccard import brute_force
 from trailmark.llm import pii
@@ -44,3 +46,17 @@ def test_one_of_each_group_with_null_and_repeated_ids(spark):
     of = lambda x: [(i, t) for i, t in kept if t and t.split()[0] == f"{x}0"]
     assert len(of("a")) == 1 and len(of("b")) == 1 and of("b")[0][0] == 7 and of("c") == [(3, f"{c} end")]
     assert {(None, "a text of its own"), (9, None), (None, None), (None, "")} < set(kept) and len(kept) == 7
+
+
+def test_columns_named_like_helpers_come_through(spark, tmp_path):
+    names = ["_score", "_key", "_row", "base", "spans", "rest", "first", "component_id", "size", "target", "taken", "key"]
+    given = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    extra = [F.concat(F.lit(f"{name} "), F.col("doc_id").cast("string")).alias(name) for name in names]
+    docs = given.select("*", *extra)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF_DIR)
+        assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    rows = docs.collect()
+    assert rows and all(r[name] == f"{name} {r.doc_id}" for r in rows for name in names)

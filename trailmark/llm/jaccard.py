@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from trailmark.llm.components import connected_components
-from trailmark.llm.shared import U64, Windows, WordHashes, as_bytes, row_key, shingles, shuffle_partitions, signed, stored
+from trailmark.llm.shared import U64, Windows, as_bytes, row_key, shingles, shuffle_partitions, signed, stored, word_hashes
 
 #: Frequent n-grams that are put last in the order: 8 MB in every task. The order only affects speed.
 FREQUENT = 1_000_000
@@ -49,11 +49,11 @@ _FILTER_BITS = 24
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Rows, a few at a time, with the sets of their texts."""
-    hashes, windows = WordHashes(), Windows()
+    windows = Windows()
     for batch in batches:
         for at in range(0, batch.num_rows, _AT_ONCE):
             part = batch.slice(at, _AT_ONCE)
-            yield part, [shingles(hashes.of(t.lower().split()), words, windows) for t in as_bytes(part.column("text"))]
+            yield part, [shingles(word_hashes(t.lower().split()), words, windows) for t in as_bytes(part.column("text"))]
 
 
 def _frequent_in_tasks(words: int) -> Callable:

@@ -62,6 +62,11 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The same hashes, none remembered."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread every input bit over all 64 output bits."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -147,3 +152,11 @@ def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]
 def row_key() -> F.Column:
     """Names a document row by its content; equal rows share it."""
     return F.xxhash64(F.col("doc_id"), F.col("text"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a helper column that ``df`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
