@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from trailmark.llm import jaccard, mixing, packing, pii, toxicity
 from trailmark.llm.queries import tokenizer_file
-from trailmark.llm.shared import row_key, stored
+from trailmark.llm.shared import fresh, row_key, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labels that are not held out, doesn't call toxic."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     classifier = toxicity.fit(docs, labels.filter(~toxicity.held_out()))
-    scored = toxicity.with_scores(docs, classifier, "_score")
-    return scored.filter(F.col("_score") < toxicity.THRESHOLD).select(docs.columns)
+    score = fresh(docs, "_score")
+    scored = toxicity.with_scores(docs, classifier, score)
+    return scored.filter(F.col(score) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,25 +25,37 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A null id counts as larger than any other; of equal ids a hash of id and text decides, so one document of a group
     stays whatever the ids are. Documents without words are no copies of each other. Of repeated rows one stays.
     """
-    keyed = docs.withColumn("_key", row_key())
-    groups = jaccard.similar_groups(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80)
-    of_group = groups.select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    named = keyed.select("_key", "doc_id").distinct().join(of_group, "_key")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key"))
-    kept = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first._key").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    key = fresh(docs, "_key")
+    keyed = docs.withColumn(key, row_key())
+    groups = jaccard.similar_groups(keyed.select(F.col(key).alias("doc_id"), "text"), words=5, percent=80)
+    of_group = groups.select(F.col("doc_id").alias("key"), "component_id").distinct()
+    named = keyed.select(F.col(key).alias("key"), "doc_id").distinct().join(of_group, "key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first.key").alias(key))
+    return keyed.join(kept, key, "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+
+
+def _carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns ``needed``, and all others in one column ``rest``, where no name can clash."""
+    return docs.select(*needed, F.struct(*[c for c in docs.columns if c not in needed], F.lit(0).alias("_")).alias("rest"))
+
+
+def _as_before(changed: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
+    """Rows made of :func:`_carried` ones, in the columns of ``docs``; ``n_chars`` follows the text."""
+    new = {c: F.col(c) for c in needed} | {"n_chars": F.length("text").cast("long")}
+    return changed.select([new.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind."""
-    hidden = pii.redacted(pii.find_personal_data(docs))
-    return hidden.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    hidden = pii.redacted(pii.find_personal_data(_carried(docs, "doc_id", "text")))
+    return _as_before(hidden, docs, "doc_id", "text")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    taken = mixing.repeated(mixing.mixture(docs))
-    return taken.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    taken = mixing.repeated(mixing.mixture(_carried(docs, "doc_id", "text", "source")))
+    return _as_before(taken, docs, "doc_id", "text", "source")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
