@@ -77,3 +77,17 @@ def test_copies_lie_next_to_each_other(docs, rows):
     order = [p.doc_id in base for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset))]
     first, last = order.index(True), len(order) - order[::-1].index(True)
     assert all(order[first:last])
+
+
+@pytest.mark.parametrize("ranks", [None, "tiktoken"])
+def test_words_forgotten_and_long_ones(monkeypatch, rows, ranks):
+    monkeypatch.setattr(packing, "_KEPT", 5)
+    monkeypatch.setattr(packing, "_KEPT_LATER", 5)
+    ids = packing.Ids(tokenizer_file(), ranks and tokenizer_file(ranks))
+    texts = [*(r[1] or "" for r in rows), "a, b. c,, d., é. İ. ,", "x" * 1000 + ", y", " lead", "trail ", "two  spaces", "a\n b"]
+    texts += ["the <|endoftext|> end", "the <|endoftext|>, end.", "　wide 　x"]
+    for _ in range(2):
+        column = ids.column(packing.pa.array(["not this", *texts]).slice(1))
+        assert [np.frombuffer(x, "<u2").tolist() for x in column.to_pylist()] == [plain_ids(t) for t in texts]
+        assert max(map(len, ids._words._words.to_pylist())) <= 64
+    assert len(ids._words._words) < 1000

@@ -12,11 +12,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.shared import U64, in_runs, mixed, shuffle_partitions, stored
+from trailmark.llm.shared import U64, WHITE_SPACE, WordIds, in_parts, in_runs, mixed, shuffle_partitions, stored
 
 LENGTH = 2048
 #: Id that ends a document.
@@ -28,19 +29,21 @@ _TIE_BITS = 64 - DIMENSIONS * CURVE_BITS - 1
 _SEED = 20240229
 #: Runs of the curve for each shuffle partition.
 _CHUNKS = 4
-#: Pieces whose ids are remembered for good, and further ones until there are so many.
-_KEPT, _KEPT_LATER = 600_000, 150_000
+#: Words whose ids are remembered for good, and further ones until there are so many; words encoded in one call.
+_KEPT, _KEPT_LATER, _WORDS_A_CALL = 100_000, 50_000, 256
+#: Bytes of text that are encoded at once.
+_AT_ONCE = 2 << 20
 _MARKS = ",."
 
 # A single space between two other characters always begins a piece of its own in byte-level BPE.
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_SPACE_BY_SPACE = re.compile(r"\A\s|\s\s| \Z")
+_SPACE_BY_SPACE = rf"\A[{WHITE_SPACE}]|[{WHITE_SPACE}]{{2}}| \z"
 
 
 class Ids:
     """Token ids of texts as little-endian 16-bit numbers.
 
-    Ids of a text's pieces are remembered: those seen first, which the frequent ones are among, and some of the rest.
+    Ids of a text's words are remembered: those seen first, which the frequent ones are among, and some of the rest.
     """
 
     def __init__(self, tokenizer_file: str, ranks_file: str | None = None) -> None:
@@ -59,49 +62,57 @@ class Ids:
             with open(ranks_file, "rb") as f:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
             self._ranked = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self._begins = np.zeros(1 << 16, bool)
+            self._begins[[rank for token, rank in ranks.items() if token.startswith(b" ")]] = True
         added = [str(x.content) for x in self._tokenizer.get_added_tokens_decoder().values()]
         self._special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self._known: dict[str, bytes] = {}
-        self._later: set[str] = set()
-        self._marks = dict(zip(_MARKS, self._encoded(list(_MARKS))))
         self._end = np.array([END], "<u2").tobytes()
+        marks = dict(zip(_MARKS, self._encoded(list(_MARKS))))
+        # A mark after a letter is a token of its own, so the word alone is encoded, once.
+        self._words = WordIds(self._encoded_words, marks, r"\pL[,.]\z", _KEPT, _KEPT_LATER)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("H", x.ids).tobytes() for x in found]
 
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words, of which only the first id of each begins with a space."""
+        ids = np.array(self._ranked.encode_ordinary(" " + " ".join(words)), "<u2")
+        first = np.flatnonzero(self._begins[ids])
+        if len(first) != len(words):
+            return [array("H", self._ranked.encode_ordinary(f" {x}")).tobytes() for x in words]
+        raw, cuts = ids.tobytes(), [*(2 * first).tolist(), 2 * len(ids)]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def _encoded_words(self, words: list[str]) -> list[bytes]:
         """Ids of words, each with a space before it."""
         if self._ranked is None:
             return self._encoded([f" {x}" for x in words])
-        encode, special = self._ranked.encode_ordinary, self._special
-        return [
-            self._encoded([f" {x}"])[0] if "<" in x and special.search(x) else array("H", encode(f" {x}")).tobytes()
-            for x in words
-        ]
-
-    def _learn(self, new: set[str]) -> None:
-        """``new``: pieces, each with a space before it."""
-        known, marks = self._known, self._marks
-        # A mark after a letter is a token of its own, so the word alone is encoded, once.
-        stems = {x: x[:-1] for x in new if x[-1:] in marks and x[-2:-1].isalpha()}
-        words = list(({stems.get(x, x) for x in new}).difference(known))
-        known.update(zip(words, self._encoded_words(words)))
-        known.update((x, known[stem] + marks[x[-1]]) for x, stem in stems.items())
-        if len(known) > _KEPT:
-            self._later.update(words, stems)
+        found = [x for i in range(0, len(words), _WORDS_A_CALL) for x in self._together(words[i : i + _WORDS_A_CALL])]
+        for i, x in enumerate(words):
+            if "<" in x and self._special.search(x):
+                found[i] = self._encoded([f" {x}"])[0]
+        return found
 
-    def of(self, texts: list[str]) -> list[bytes]:
+    def column(self, texts: pa.Array) -> pa.Array:
         """Ids of each text, ended by ``END``."""
-        cut = [(_INNER_SPACE.split(t) if _SPACE_BY_SPACE.search(t) else t.split(" ")) for t in texts]
-        begin = self._encoded([parts[0] for parts in cut])
-        rest = [parts[1:] for parts in cut]
-        if len(self._later) > _KEPT_LATER:
-            for x in self._later:
-                self._known.pop(x, None)
-            self._later = set()
-        self._learn(set().union(*rest).difference(self._known))
-        return [b + b"".join(map(self._known.__getitem__, r)) + self._end for b, r in zip(begin, rest)]
+        cut = pc.split_pattern(texts, " ")
+        odd = pc.match_substring_regex(texts, _SPACE_BY_SPACE).to_numpy(zero_copy_only=False)
+        if odd.any():
+            parts = [_INNER_SPACE.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+            order = np.empty(len(odd), np.int64)
+            order[np.r_[np.flatnonzero(~odd), np.flatnonzero(odd)]] = np.arange(len(odd))
+            cut = pa.concat_arrays([cut.filter(pa.array(~odd)), pa.array(parts, cut.type)]).take(pa.array(order))
+        # The first word has no space before it.
+        offsets = cut.offsets.to_numpy()
+        first = np.zeros(len(cut.values), bool)
+        first[offsets[:-1]] = True
+        heads = self._encoded(cut.values.filter(pa.array(first)).to_pylist())
+        rest = cut.values.filter(pa.array(~first))
+        return self._words.of(pa.ListArray.from_arrays(offsets - np.arange(len(offsets), dtype=np.int32), rest), heads, self._end)
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        return self.column(pa.array(texts, pa.string())).to_pylist()
 
 
 _tokenizers: dict[tuple, Ids] = {}
@@ -116,9 +127,9 @@ def ids_of(tokenizer_file: str, ranks_file: str | None = None) -> Ids:
 
 
 def directions(size: int) -> np.ndarray:
-    """For each id, a pseudo-random sign in each dimension."""
+    """In each dimension, a pseudo-random sign of each id."""
     bits = mixed(np.arange(size, dtype=U64) + U64(_SEED))
-    return np.stack([((bits >> U64(7 * i)) & U64(1)).astype(np.float32) * 2 - 1 for i in range(DIMENSIONS)], 1)
+    return np.stack([((bits >> U64(7 * i)) & U64(1)).astype(np.int8) * 2 - 1 for i in range(DIMENSIONS)])
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -154,20 +165,20 @@ def cells_of(points: np.ndarray, bits: int) -> np.ndarray:
 
 def _encode(tokenizer_file: str, ranks_file: str | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, signs, step = ids_of(tokenizer_file, ranks_file), directions(1 << 16), 256
+        tokenizer, signs = ids_of(tokenizer_file, ranks_file), directions(1 << 16)
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                ids = tokenizer.of([t or "" for t in part.column("text").to_pylist()])
-                counts = np.array([len(x) // 2 for x in ids], np.int64)
-                points = np.array(
-                    [signs[np.frombuffer(x, "<u2")].sum(0) / np.sqrt(len(x) / 2) for x in ids], np.float32
-                ).reshape(len(ids), DIMENSIONS)
+            for part in in_parts(batch, "text", _AT_ONCE):
+                ids = tokenizer.column(part.column("text").fill_null(""))
+                begins = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1] // 2
+                counts = np.diff(begins).astype(np.int64)
+                flat = np.frombuffer(ids.buffers()[2], "<u2")
+                sums = np.stack([np.add.reduceat(s[flat], begins[:-1], dtype=np.int64) for s in signs], 1)
+                points = (sums / np.sqrt(counts)[:, None]).astype(np.float32)
                 own = part.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
                 ties = (mixed(own.view(U64)) >> U64(64 - _TIE_BITS)).astype(np.int64)
                 keys = (hilbert_key(cells_of(points, CURVE_BITS), CURVE_BITS) << _TIE_BITS) | ties
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(keys), pa.array(counts), pa.array(ids, pa.binary())],
+                    [part.column("doc_id"), pa.array(keys), pa.array(counts), ids],
                     names=["doc_id", "key", "n", "ids"],
                 )
 

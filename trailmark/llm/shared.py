@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,6 +150,105 @@ def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]
         yield at, rows
 
 
+# Token ids of texts, word by word.
+
+#: What Python takes for white space, inside a class of a regular expression of Arrow's.
+WHITE_SPACE = (
+    r"\t\n\v\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+#: Characters of the longest word that is remembered.
+_LONGEST_KEPT = 64
+
+
+def in_parts(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most ``size`` bytes of text in ``column``, or of one row."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy().astype(np.int64) + 1)
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+class WordIds:
+    """16-bit ids of words, remembered in arrays without an object for each: the first ``kept`` for good, and ``later``
+    further ones until there are so many. Long words are not remembered.
+
+    ``encoded`` gives the ids of distinct words. Of a word that matches ``marked`` the last character is looked up in
+    ``marks``.
+    """
+
+    def __init__(
+        self, encoded: Callable[[list[str]], list[bytes]], marks: dict[str, bytes], marked: str, kept: int, later: int
+    ) -> None:
+        self._encoded, self._marks, self._marked, self._limits = encoded, marks, marked, (kept, later)
+        self._words, self._flat, self._sizes = pa.array([], pa.string()), np.empty(0, "<u2"), np.empty(0, np.int32)
+
+    def _forget(self) -> None:
+        kept, later = self._limits
+        if len(self._words) > kept + later:
+            self._words, self._sizes = pa.concat_arrays([self._words.slice(0, kept)]), self._sizes[:kept].copy()
+            self._flat = self._flat[: self._sizes.sum()].copy()
+
+    def _remember(self, new: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
+        short = pc.utf8_length(new).to_numpy() <= _LONGEST_KEPT
+        self._words = pa.concat_arrays([self._words, new.filter(pa.array(short))])
+        self._flat = np.concatenate([self._flat, flat[np.repeat(short, sizes)]])
+        self._sizes = np.concatenate([self._sizes, sizes[short]])
+
+    def _stems(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Words less the mark that ends them, and the number of that mark, from 1; 0 without one."""
+        which = np.zeros(len(words), np.int8)
+        for i, mark in enumerate(self._marks):
+            which[pc.ends_with(words, mark).to_numpy(zero_copy_only=False)] = i + 1
+        at = np.flatnonzero(which)
+        some = words.take(pa.array(at))
+        holds = pc.match_substring_regex(some, self._marked)
+        which[at[~holds.to_numpy(zero_copy_only=False)]] = 0
+        stems = pc.utf8_rtrim(some.filter(holds), "".join(self._marks))
+        return pc.replace_with_mask(words, pa.array(which > 0), stems), which
+
+    def of(self, texts: pa.Array, heads: list[bytes], end: bytes) -> pa.Array:
+        """Ids of texts given as lists of words, each after its own ``heads`` and before ``end``."""
+        self._forget()
+        offsets = texts.offsets.to_numpy().astype(np.int64)
+        n, words = len(texts), texts.values.slice(offsets[0], offsets[-1] - offsets[0])
+        counts = np.diff(offsets)
+        stems, which = self._stems(words)
+        at = pc.index_in(stems, value_set=self._words)
+        unknown = pc.is_null(at)
+        at, missing = at.fill_null(-1).to_numpy().copy(), unknown.to_numpy(zero_copy_only=False)
+        more = stems.filter(unknown).dictionary_encode()
+        at[missing] = len(self._words) + more.indices.to_numpy()
+        new_ids = self._encoded(more.dictionary.to_pylist())
+        new_flat, new_sizes = np.frombuffer(b"".join(new_ids), "<u2"), np.array([len(x) // 2 for x in new_ids], np.int32)
+        others = [*self._marks.values(), end, *heads]
+        flat = np.concatenate([self._flat, new_flat, np.frombuffer(b"".join(others), "<u2")])
+        sizes = np.concatenate([self._sizes, new_sizes, np.array([len(x) // 2 for x in others], np.int32)])
+        base = len(self._words) + len(new_ids)
+        # Each text is its head, its words, each before its mark, and the end.
+        ends = np.zeros(len(words) + 1, np.int32)
+        np.cumsum(1 + (which > 0), out=ends[1:])
+        number = np.arange(n, dtype=np.int32)
+        order = np.empty(ends[-1] + 2 * n, np.int32)
+        place = ends[:-1] + np.repeat(2 * number + 1, counts)
+        order[place] = at
+        order[place[which > 0] + 1] = base - 1 + which[which > 0].astype(np.int32)
+        bounds = ends[offsets - offsets[0]]
+        last = bounds[1:] + 2 * number + 1
+        order[bounds[:-1] + 2 * number] = base + len(self._marks) + 1 + number
+        order[last] = base + len(self._marks)
+        long = sizes[order]
+        until = np.cumsum(long, dtype=np.int32)
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes
+        source = np.repeat(begins[order] - until + long, long)
+        source += np.arange(len(source), dtype=np.int32)
+        ids = flat[source]
+        self._remember(more.dictionary, new_flat, new_sizes)
+        cuts = np.concatenate([[0], 2 * until[last].astype(np.int64)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
+
+
 def row_key() -> F.Column:
     """Names a document row by its content; equal rows share it."""
     return F.xxhash64(F.col("doc_id"), F.col("text"))
