@@ -137,3 +137,17 @@ def test_query_on_the_given_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, op12_wavelet_matrix(spark, sf).collect())) == expected(ordered(rows))
+
+
+def test_words_forgotten_and_long_ones(monkeypatch):
+    monkeypatch.setattr(wavelet, "_KEPT", 5)
+    monkeypatch.setattr(wavelet, "_KEPT_LATER", 5)
+    rng = random.Random(5)
+    texts = ["", " a  B\x0bc,\n", "x" * 1000 + ". Y", "İ. ı. É, é.", "a\x1cb. " + "z" * 100, "wide　, b\x85.", *(prose(rng, 50) for _ in range(9))]
+    tokenizer, own = Tokenizer.from_file(FILE), wavelet.Ids(FILE)
+    for _ in range(2):
+        column = own.column(wavelet.pa.array(["not this", *texts]).slice(1))
+        for text, ids in zip(texts, column.to_pylist()):
+            assert np.frombuffer(ids, "<u2").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, wavelet.END]
+        assert max(map(len, own._known._words.to_pylist())) <= 64
+    assert len(own._known._words) < 1000

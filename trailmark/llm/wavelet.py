@@ -8,17 +8,18 @@ import struct
 import unicodedata
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm.shared import shared_folder, shuffle_partitions, stored
+from trailmark.llm.shared import WordIds, in_parts, shared_folder, shuffle_partitions, stored
 
 #: Id that ends a document.
 END = 1
@@ -29,12 +30,19 @@ _MAGIC = b"TMWAVE01"
 _HEAD = struct.Struct("<8sQQIQQ")
 #: Bits of a plane that are compressed together.
 _BLOCK = 1 << 16
-#: Words whose ids a process remembers, and how many alphabetic words are encoded in one call.
-_WORDS_KEPT, _WORDS_A_CALL = 1_400_000, 256
+#: Words whose ids a process remembers for good, further ones until there are so many, and alphabetic words encoded in one call.
+_KEPT, _KEPT_LATER, _WORDS_A_CALL = 400_000, 200_000, 64
+#: Bytes of text that are encoded at once.
+_AT_ONCE = 6 << 20
 _MARKS = ".,"
 #: What Python alone takes for white space; and what the order of lowering and composing letters matters to.
 _NO_SPACE = re.compile("[\x1c-\x1f]")
 _NOT_LOWERED = re.compile("[\x1c-\x1f\u03a3\u0130\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
+#: The same as :data:`_NOT_LOWERED`, names of special tokens, and white space that is not ASCII, for Arrow.
+_ODD = (
+    r"<\||[\x1c-\x1f\x{3a3}\x{130}\x{300}-\x{36f}\x{1ab0}-\x{1aff}\x{1dc0}-\x{1dff}\x{20d0}-\x{20ff}\x{fe20}-\x{fe2f}"
+    r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 
 
 # The matrix.
@@ -45,9 +53,9 @@ def planes_of(ids: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int]]:
     kind = ids.dtype.type
     for level in range(bits - 1, -1, -1):
         ones = (ids & kind(1 << level)) != 0
-        zeros = ids[~ones]
+        zeros = np.compress(~ones, ids)
         yield np.packbits(ones), len(zeros)
-        ids = np.concatenate([zeros, ids[ones]])
+        ids = np.concatenate([zeros, np.compress(ones, ids)])
 
 
 def ids_from(planes: list[np.ndarray], zeros: list[int], n: int, kind: np.dtype) -> np.ndarray:
@@ -223,9 +231,10 @@ class Ids:
             raise ValueError("ids must fit 16 bits")
         self._ends = np.zeros(1 << 16, bool)
         self._ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-        self._known: dict[str, bytes] = {}
-        self._marks = dict(zip(_MARKS, self._one_by_one(list(_MARKS))))
         self._end = np.array([END], "<u2").tobytes()
+        marks = dict(zip(_MARKS, self._one_by_one(list(_MARKS))))
+        # A mark after a letter is a piece of its own, so the word alone is encoded, once.
+        self._known = WordIds(self._encoded, marks, r"[^\P{L}\x{130}][.,]\z", _KEPT, _KEPT_LATER)
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -233,25 +242,22 @@ class Ids:
 
     def _together(self, words: list[str]) -> list[bytes]:
         """Ids of words that are letters only, each of which one id ends."""
-        ids = np.array(self._tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u2")
+        ids = np.array(self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
         ends = np.flatnonzero(self._ends[ids]) + 1
         if len(ends) != len(words):
             return self._one_by_one(words)
         raw, cuts = ids.tobytes(), [0, *(2 * ends).tolist()]
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _learn(self, new: set[str]) -> None:
-        known, marks = self._known, self._marks
-        # A mark after a letter is a piece of its own, so the word alone is encoded, once.
-        stems = {x: x[:-1] for x in new if x[-1:] in marks and x[-2:-1].lower().isalpha()}
-        words = list(({stems.get(x, x) for x in new}).difference(known))
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        found: dict[str, bytes] = {}
         plain = [x for x in words if x.isalpha() and x.lower().isalpha() and unicodedata.is_normalized("NFC", x)]
         for i in range(0, len(plain), _WORDS_A_CALL):
             some = plain[i : i + _WORDS_A_CALL]
-            known.update(zip(some, self._together(some)))
-        rest = list(set(words).difference(plain))
-        known.update(zip(rest, self._one_by_one(rest)))
-        known.update((x, known[stem] + marks[x[-1]]) for x, stem in stems.items())
+            found.update(zip(some, self._together(some)))
+        rest = [x for x in words if x not in found]
+        found.update(zip(rest, self._one_by_one(rest)))
+        return [found[x] for x in words]
 
     @staticmethod
     def _words(text: str) -> list[str]:
@@ -260,14 +266,20 @@ class Ids:
             return text.lower().split()
         return [text] if _NO_SPACE.search(text) else text.split()
 
+    def column(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text, ended by ``END``."""
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        lowered = [t.lower() for t in texts.filter(pa.array(~odd)).to_pylist()]
+        words = pc.ascii_split_whitespace(pa.array(lowered, pa.string()))
+        if odd.any():
+            cut = pa.array([self._words(t) for t in texts.filter(pa.array(odd)).to_pylist()], words.type)
+            order = np.empty(len(odd), np.int64)
+            order[np.r_[np.flatnonzero(~odd), np.flatnonzero(odd)]] = np.arange(len(odd))
+            words = pa.concat_arrays([words, cut]).take(pa.array(order))
+        return self._known.of(words, [b""] * len(words), self._end)
+
     def of(self, texts: list[str]) -> list[bytes]:
-        cut = [self._words(t) for t in texts]
-        if len(self._known) > _WORDS_KEPT:
-            # The words known longest are the frequent ones.
-            kept = list(self._known)[: _WORDS_KEPT // 2]
-            self._known = {x: self._known[x] for x in kept}
-        self._learn(set().union(*cut).difference(self._known))
-        return [b"".join(map(self._known.__getitem__, words)) + self._end for words in cut]
+        return self.column(pa.array(texts, pa.string())).to_pylist()
 
 
 @lru_cache(maxsize=4)
@@ -291,13 +303,6 @@ def _filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path.removeprefix("file://").removeprefix("file:"))
 
 
-def _texts(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[tuple[list[int | None], list[str]]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
-            yield part.column("id").to_pylist(), [t or "" for t in part.column("body").to_pylist()]
-
-
 def _write(tokenizer_file: str, folder: str, shard_tokens: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -319,8 +324,9 @@ def _write(tokenizer_file: str, folder: str, shard_tokens: int) -> Callable:
             row = [part, number, f"{folder}/{path.rsplit('/', 1)[-1]}", len(ids), len(doc_ids)]
             return pa.RecordBatch.from_pylist([dict(zip(("part", "shard", "path", "tokens", "documents"), row))])
 
-        for own, texts in _texts(batches):
-            for doc_id, ids in zip(own, tokenizer.of(texts)):
+        for part_of in (x for batch in batches for x in in_parts(batch, "body", _AT_ONCE)):
+            own, texts = part_of.column("id").to_pylist(), part_of.column("body").fill_null("")
+            for doc_id, ids in zip(own, tokenizer.column(texts).to_pylist()):
                 doc_ids.append(doc_id)
                 held.append(ids)
                 tokens += len(ids) // 2
