@@ -85,3 +85,21 @@ def test_repeats_decide_with_and_without_articles(spark):
     assert [got[20 + i] for i in range(8) if i != 4] == [b for i, b in enumerate(body) if i != 4]
     assert got[24].startswith(body[4]) and got[24].endswith("the price of the share rose on monday as the firm said")
     assert all(got[30 + i] == f"{body[0]} by author {i}" for i in range(8))
+
+
+def test_common_runs_of_articles_go_from_every_page(spark):
+    body = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(8)]
+    plea = "this site lives of what its readers give so please think of a gift to the people who write here"
+    passage = "a passage of more than sixteen words that three of the articles quote from one and the same old source word by word"
+    quotes = [f"<p>{passage}</p>" if i in (2, 5, 6) else "" for i in range(8)]
+    rows = [(i, f"http://a.example/{i}", f"<article><p>{b}</p>{quotes[i]}<p>by {i} {plea} e{i}</p></article>") for i, b in enumerate(body)]
+    rows += [(10 + i, f"http://b.example/{i}", f"<article><p>{body[0]} {i}</p></article>") for i in range(8)]
+    rows += [(20 + i, f"http://c.example/{i}", f"<article><p>{b} {plea}</p></article>") for i, b in enumerate(body[:4])]
+    rows += [(30 + i, f"http://d.example/{i}", f"<article><p>{body[0]} {plea} {i // 7}</p></article>") for i in range(8)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in pages.main_text(table).collect()}
+    for i, b in enumerate(body):
+        assert got[i] == " ".join(x for x in (b, passage if quotes[i] else "", f"by {i}", f"e{i}") if x)
+        assert got[10 + i] == f"{body[0]} {i}"
+        assert got[30 + i] == f"{body[0]} {plea} {i // 7}"
+    assert all(got[20 + i] == f"{body[i]} {plea}" for i in range(4))

@@ -1,11 +1,16 @@
 """Main text of web pages, with boilerplate found as long token runs that a host repeats on several pages.
 
 A page is taken apart into blocks. The suffixes of the pages' token streams are put in order, host by host, by their
-first ``RUN`` tokens, and suffixes of different pages that agree there mark a repeated substring. What such substrings
-cover is removed from doubtful blocks and from pages whose text does not lie in an article or main element for the
-larger part; the unique runs that remain are main text. Where it does, the element's blocks are the main text, and
-passages that some articles share stay; only blocks that recur whole, at the same place, on a large share of the host's
-pages go. Streams are made for hosts with a page on which repeated substrings decide; for others nothing depends on them.
+first tokens, and suffixes of different pages that agree there mark a repeated substring.
+
+On every page, runs of ``COMMON`` tokens that stand in a large share of a host's articles are removed from its article
+or main elements. A share is what tells boilerplate there from a passage that some articles have in common, so this order
+counts pages; it needs only the suffixes whose least gram is itself in so many articles, which is found first.
+
+Repeated runs of ``RUN`` tokens, of two pages or more, are removed from doubtful blocks and from pages whose text does
+not lie in an article or main element for the larger part; the unique runs that remain are main text. Where it does, the
+element's blocks are the main text, less blocks that recur whole, at the same place, on a large share of the host's pages.
+For such pages the suffixes outside can decide nothing; streams of ``RUN`` tokens are made for hosts with other pages.
 
 The suffix order is kept in blocks by hash of those first tokens, so a host with any number of pages is spread over all
 tasks.
@@ -37,8 +42,10 @@ from trailmark.llm.substrings import covered
 
 #: Tokens from which on a repeated run is long.
 RUN = 8
-#: Blocks of an article recur if they stand at one place on this share of a host's pages, and on so many at least. They
-#: stay if less than half of the article would be left.
+#: Tokens from which on a run that a large share of a host's articles has in common is long, and those of a gram.
+COMMON, _GRAM = 16, 4
+#: Blocks of an article recur if they stand at one place on this share of a host's pages, and on so many at least; runs of
+#: it are common if they stand on so many. They stay if less than half of the article would be left.
 SHARE, PAGES = 0.5, 5
 _GATHERED = 500_000
 _AT_ONCE = 256
@@ -247,24 +254,31 @@ def _placed(i: Column, text: Column) -> Column:
     return F.xxhash64(F.col("host"), i, text)
 
 
-def _hosts(parsed: DataFrame) -> DataFrame:
-    """``host``, ``gone`` (hashes of blocks in articles that recur, with their places) and ``open`` (repeats decide on a page).
+def _content() -> Column:
+    return F.xxhash64("host", "t")
+
 
-    Hosts without either are left out. Pages with the same article are one. ``gone`` has a few entries for each block
-    of a page at most, as each is on a large share of the pages.
+def _hosts(parsed: DataFrame, bits: int) -> DataFrame:
+    """``host``, ``gone`` (hashes of blocks in articles that recur, with their places), ``runs`` (hashes of runs that are
+    common in its articles) and ``open`` (repeats decide on a page).
+
+    Hosts without any are left out. Pages with the same article are one. ``gone`` and ``runs`` have a few entries for each
+    block and token of a page at most, as each is on a large share of the pages.
     """
-    inside = parsed.select("host", _inside().alias("t")).filter(F.size("t") > 0)
+    inside = parsed.select("host", "blocks", _inside().alias("t")).filter(F.size("t") > 0)
     n = F.size("t")
     from_start = F.transform("t", lambda t, i: _placed(i, t))
     from_end = F.transform("t", lambda t, i: _placed(i - n, t))
-    articles = inside.select("host", F.xxhash64("host", "t").alias("content"), F.concat(from_start, from_end).alias("h"))
+    articles = inside.select("host", _content().alias("content"), F.concat(from_start, from_end).alias("h"))
     articles = stored(articles.dropDuplicates(["content"]).drop("content"))
     totals = stored(articles.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= PAGES))
     counts = articles.select("host", F.explode("h").alias("h")).groupBy("h").agg(F.first("host").alias("host"), F.count("*").alias("n"))
     often = counts.filter(F.col("n") >= PAGES).join(totals, "host").filter(F.col("n") >= SHARE * F.col("pages"))
     gone = often.groupBy("host").agg(F.collect_set("h").alias("gone"))
+    runs = _common_runs(inside.select(F.xxhash64("host").alias("name"), _content().alias("content"), "t"), totals, bits)
     open_ = parsed.filter("NOT settled").select("host").distinct().withColumn("open", F.lit(True))
-    return stored(gone.join(open_, "host", "full").select("host", "gone", F.coalesce("open", F.lit(False)).alias("open")))
+    found = gone.join(runs, "host", "full").join(open_, "host", "full")
+    return stored(found.select("host", "gone", "runs", F.coalesce("open", F.lit(False)).alias("open")))
 
 
 _ENTRY = np.dtype([("hash", "<u8"), ("key", "<u8"), ("pos", "<u4")])
@@ -280,6 +294,145 @@ def _dealt(entry: np.ndarray, field: str, bits: int) -> pa.RecordBatch:
     )
 
 
+_COMMON = np.dtype([("hash", "<u8"), ("content", "<u8"), ("host", "<u8")])
+_LOW = U64(0xFFFFFFFF)
+
+
+def _unsigned(x: int) -> np.uint64:
+    return U64(x & 0xFFFFFFFFFFFFFFFF)
+
+
+def _article_runs(texts: list[str], words: WordHashes, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of an article's runs of ``COMMON`` tokens, and the least gram in each."""
+    hashes = words.of(" ".join(texts).encode().split())
+    runs = windows.of(hashes, COMMON)
+    if not len(runs):
+        return runs, runs
+    grams = windows.of(hashes, _GRAM)
+    return runs, np.lib.stride_tricks.sliding_window_view(grams, COMMON - _GRAM + 1).min(1)
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, _AT_ONCE) for batch in batches for at in range(0, batch.num_rows, _AT_ONCE))
+
+
+def _least_grams(bits: int) -> Callable:
+    """Of each article, the least grams of its runs: half of a number is the host's, half the gram's, with how many articles."""
+
+    def block(parts: list[np.ndarray]) -> pa.RecordBatch:
+        gram, n = np.unique(np.concatenate(parts), return_counts=True)
+        at = mixed(gram)
+        order = np.argsort(at)
+        gram, n = gram[order], n[order].astype("<u4")
+        cut = list(cut_by_bucket(at[order], bits))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([b for b, _ in cut], pa.int32()), pa.array([gram[x].tobytes() + n[x].tobytes() for _, x in cut], pa.binary())],
+            names=["bucket", "block"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, windows, parts, held = WordHashes(), Windows(), [], 0
+        for batch in _small(batches):
+            for host, texts in zip(batch.column("name").to_pylist(), batch.column("t").to_pylist()):
+                least = np.unique(_article_runs(texts, words, windows)[1] & _LOW)
+                parts.append(least | (_unsigned(host) & ~_LOW))
+                held += len(least)
+                if held >= _GATHERED:
+                    yield block(parts)
+                    parts, held = [], 0
+        if held:
+            yield block(parts)
+
+    return run
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams in several articles of a host."""
+    for _, rows in grouped(batches):
+        blocks = [(r["block"], len(r["block"]) // 12) for r in rows]
+        gram = np.concatenate([np.frombuffer(x, "<u8", n) for x, n in blocks])
+        n = np.concatenate([np.frombuffer(x, "<u4", n, 8 * n) for x, n in blocks])
+        order = np.argsort(gram, kind="stable")
+        gram, n = gram[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        total = np.add.reduceat(n, first)
+        some = total >= PAGES
+        gram = gram[first][some]
+        columns = [(gram >> U64(32)).astype(np.int64), (gram & _LOW).astype(np.int64), total[some]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["half", "gram", "n"])
+
+
+def _candidates(bits: int) -> Callable:
+    """Runs whose least gram is often in articles of the host."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, windows, parts, held = WordHashes(), Windows(), [], 0
+        for batch in _small(batches):
+            columns = [batch.column(c).to_pylist() for c in ("name", "content", "t", "grams")]
+            for host, content, texts, grams in zip(*columns):
+                runs, least = _article_runs(texts, words, windows)
+                runs = np.unique(runs[np.isin(least & _LOW, np.array(grams, U64))])
+                entry = np.empty(len(runs), _COMMON)
+                entry["hash"], entry["content"], entry["host"] = mixed(runs ^ _unsigned(host)), _unsigned(content), _unsigned(host)
+                parts.append(entry)
+                held += len(runs)
+                if held >= _GATHERED:
+                    yield _dealt(np.concatenate(parts), "hash", bits)
+                    parts, held = [], 0
+        if held:
+            yield _dealt(np.concatenate(parts), "hash", bits)
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs in several different articles of a host."""
+    for _, rows in grouped(batches):
+        entry = np.unique(np.frombuffer(b"".join(r["block"] for r in rows), _COMMON))
+        first = np.flatnonzero(np.r_[True, entry["hash"][1:] != entry["hash"][:-1]])
+        n = np.diff(np.r_[first, len(entry)])
+        some = n >= PAGES
+        found = entry[first][some]
+        columns = [np.ascontiguousarray(found["host"]).view(np.int64), np.ascontiguousarray(found["hash"]).view(np.int64), n[some]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["name", "run", "n"])
+
+
+def _common_runs(articles: DataFrame, totals: DataFrame, bits: int) -> DataFrame:
+    """``host`` and ``runs``: hashes of runs in the share ``SHARE`` of its different articles, of ``PAGES`` at least.
+
+    A run has its least gram wherever it stands, so no run is lost by looking only at those whose least gram is often
+    enough. Copies of articles are counted for grams and not for runs; ``totals`` counts different articles.
+    """
+    enough = F.col("n") >= SHARE * F.col("pages")
+    named = totals.withColumn("name", F.xxhash64("host")).withColumn("half", F.shiftrightunsigned("name", 32))
+    grams = by_bucket(articles.mapInArrow(_least_grams(bits), _BLOCK), bits).mapInArrow(_often, "half long, gram long, n long")
+    grams = grams.join(named, "half").filter(enough).groupBy("name").agg(F.collect_set("gram").alias("grams"))
+    some = articles.join(stored(grams), "name").mapInArrow(_candidates(bits), _BLOCK)
+    runs = by_bucket(some, bits).mapInArrow(_counted, "name long, run long, n long")
+    return runs.join(named, "name").filter(enough).groupBy("host").agg(F.collect_set("run").alias("runs"))
+
+
+def _without_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose article blocks have lost common runs, unless less than half of the article would be left."""
+    words, windows = WordHashes(), Windows()
+    for batch in _small(batches):
+        rows = batch.to_pylist()
+        for row in rows:
+            article = [b for b in row["blocks"] if b["main"] and not b["chrome"]]
+            texts = [b["text"] for b in article]
+            runs = _article_runs(texts, words, windows)[0]
+            common = np.isin(mixed(runs ^ _unsigned(row["name"])), np.array(row["runs"], np.int64).view(U64))
+            if not common.any():
+                continue
+            left = unique_runs(texts, np.flatnonzero(common), COMMON)
+            kept = [k and bool(x) for k, x in zip(row["kept"], left)]
+            if 2 * sum(len(x) for x, k in zip(left, kept) if k) >= sum(map(len, texts)):
+                row["kept"] = kept
+                for block, text in zip(article, left):
+                    block["text"] = text
+        yield pa.RecordBatch.from_pylist(rows, batch.schema)
+
+
 def _suffixes(run_length: int, bits: int) -> Callable:
     """Suffixes of each page's stream by their first tokens and host."""
 
@@ -394,7 +547,7 @@ def main_text(pages: DataFrame, run_length: int = RUN) -> DataFrame:
         F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)).alias("host"), "html",
     )
     parsed = stored(keyed.mapInArrow(_parsed, _PARSED))
-    judged_by = parsed.join(_hosts(parsed), "host", "left").withColumn("t", _inside())
+    judged_by = parsed.join(_hosts(parsed, bits), "host", "left").withColumn("t", _inside())
     n, none = F.size("t"), F.array().cast("array<long>")
     stays = lambda t, i: ~F.arrays_overlap(F.coalesce("gone", none), F.array(_placed(i, t), _placed(i - n, t)))
     flags = F.when(F.col("gone").isNull(), F.transform("t", lambda t: F.lit(True))).otherwise(F.transform("t", stays))
@@ -404,6 +557,10 @@ def main_text(pages: DataFrame, run_length: int = RUN) -> DataFrame:
     judged_by = judged_by.withColumn("flags", flags).withColumn(
         "kept", F.when(enough, F.col("flags")).otherwise(F.transform("t", lambda t: F.lit(True)))
     )
+    columns = ["page_id", "url", "key", "host", "settled", "blocks", "kept", "open"]
+    cut = judged_by.filter("runs IS NOT NULL").select(*columns, "runs", F.xxhash64("host").alias("name"))
+    cut = cut.mapInArrow(_without_common, cut.schema).select(columns)
+    judged_by = judged_by.filter("runs IS NULL").select(columns).unionByName(cut).withColumn("t", _inside())
     suffixes = judged_by.filter("open").select("key", "host", "blocks").mapInArrow(_suffixes(run_length, bits), _BLOCK)
     repeats = by_bucket(suffixes, bits).mapInArrow(_repeated_suffixes(bits), _BLOCK)
     open_pages = judged_by.filter("NOT settled").select(
