@@ -30,9 +30,9 @@ _SEED = 20240229
 #: Runs of the curve for each shuffle partition.
 _CHUNKS = 4
 #: Words whose ids are remembered for good, and further ones until there are so many; words encoded in one call.
-_KEPT, _KEPT_LATER, _WORDS_A_CALL = 100_000, 50_000, 256
+_KEPT, _KEPT_LATER, _WORDS_A_CALL = 60_000, 40_000, 256
 #: Bytes of text that are encoded at once.
-_AT_ONCE = 2 << 20
+_AT_ONCE = 1 << 20
 _MARKS = ",."
 
 # A single space between two other characters always begins a piece of its own in byte-level BPE.
@@ -181,6 +181,7 @@ def _encode(tokenizer_file: str, ranks_file: str | None) -> Callable:
                     [part.column("doc_id"), pa.array(keys), pa.array(counts), ids],
                     names=["doc_id", "key", "n", "ids"],
                 )
+            pa.default_memory_pool().release_unused()
 
     return run
 
