@@ -109,3 +109,69 @@ def test_first_grams_leave_no_overlap_that_suffices():
     for size in range(1, 200):
         k = jaccard.first_grams(size, 80)
         assert 100 * (size - k) < 80 * size <= 100 * (size - k + 1)
+
+
+def test_parities_never_rule_out_a_link():
+    """No bound is below what two sets share, whatever their sizes; it is near that for sets almost alike."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (1, 3, 30, 31, 70, 900, 2000):
+        base = rng.integers(1 << 63, size=size, dtype=np.uint64)
+        for changed in (0, 1, size // 20, size // 3, size):
+            other = rng.integers(1 << 63, size=changed + size // 9, dtype=np.uint64)
+            sets.append(np.unique(np.r_[base[changed:], other] if changed < size else other))
+    sets = [s for s in sets if len(s)]
+    size = np.array([len(s) for s in sets])
+    parities = [jaccard._parity(s) for s in sets]
+    for left in (0, 4, len(sets)):
+        most = jaccard._most_in_common(parities, size, left)
+        assert most.shape == (left, len(sets))
+        for a in range(left):
+            shared = np.array([len(np.intersect1d(sets[a], s)) for s in sets])
+            assert (most[a] >= shared).all()
+            alike = 100 * shared >= 92 * np.maximum(size[a], size)
+            assert (most[a][alike] <= shared[alike] + 0.03 * size[a]).all()
+
+
+def test_whole_sets_are_moved_only_of_those_that_parities_let_through(spark, monkeypatch):
+    """Texts that share their rarest n-grams, and with them enough to hope for a link, but too few of the others."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(30):
+        words = [f"r{rng.randrange(10**9)}" for _ in range(300)]
+        for _ in range(6):
+            w = list(words)
+            for at in rng.sample(range(0, 300, 5), 20):  # 80 of 297 n-grams
+                w[at] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(w))
+    rows = list(enumerate([*texts, texts[0] + " end"]))
+    moved, real = {True: 0, False: 0}, jaccard._in_their_cells
+
+    def counted(cells, docs, classes, words, whole):
+        moved[whole] += cells.count()
+        return real(cells, docs, classes, words, whole)
+
+    monkeypatch.setattr(jaccard, "_in_their_cells", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(jaccard.similar_groups(df, 4, 85)) == brute_force(rows, 4, 85)
+    assert moved[False] > 20 > 4 >= moved[True] >= 2
+
+
+def test_entries_are_shuffled_once(spark, monkeypatch):
+    plans, real = [], jaccard.stored
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(jaccard, "stored", noted)
+    monkeypatch.setattr(jaccard, "shuffle_partitions", lambda _: 4)
+    classes = real(spark.createDataFrame([(i, [i, i % 5 + 100, i % 3 + 200]) for i in range(40)], "node long, first array<long>"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        blocks, lists = jaccard._blocks(classes.selectExpr("node", "explode(first) as gram"))
+        assert lists.count() == 40 and blocks.count() >= 40
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert plans[0].count("REPARTITION_BY_COL") == plans[0].count("ReusedExchange") + 1 == 2

@@ -12,7 +12,10 @@ entries can reach the threshold, so the product is taken in blocks, and pairs th
   are tied together.
 * A block's members that are not tied yet are multiplied out in cells of bounded size: members outside the block's
   largest group against each other and against that group. Cells of first n-grams come first; a member none of whose
-  counts, with all that may follow, reaches the size bound goes. Cells of whole sets then give exact counts.
+  counts, with all that may follow, reaches the size bound goes.
+* Before whole sets are moved, their parities are: whether an odd number of a set's n-grams falls on each of 2 to 4
+  times as many bits as it has n-grams. Two sets differ in as many n-grams at least as their parities do in bits, so no
+  link is lost where that rules a pair out, with a pivot or in a cell. Whole sets of the rest then give exact counts.
 
 So each link between two groups is found. A cell returns members, or ties of its groups: as many rows as it has members
 at most, never its pairs. A block whose members outside its largest group number n is read about n / 512 times.
@@ -25,7 +28,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,8 @@ _CELL, _CELL_GRAMS = 512, 2_000_000
 _COLUMNS, _SPARSE = 4096, 8
 _AT_ONCE = 400
 _FILTER_BITS = 24
+#: Bits of a parity, at least and at most; larger sets than that pass more often.
+_PARITY_BITS = 64, 1 << 20
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -125,44 +129,96 @@ def _summaries(words: int, percent: int, frequent) -> Callable:
     return run
 
 
-def _sets_by_cell(words: int, cell: pa.StructType) -> Callable:
-    """The set of a row's text, once for each cell in which it is compared."""
+def _whole_sets(words: int) -> Callable:
+    """The set of each row's text, with the cells in which it is compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([*cell, ("node", pa.int64()), ("grams", pa.binary())])
         for batch, sets in _sets(batches, words):
-            out = []
-            columns = [batch.column(c).to_pylist() for c in ("node", "digest", "cells")]
-            for s, node, digest, cells in zip(sets, *columns):
-                if _digest(s) == digest:
-                    grams = s.tobytes()
-                    out += [{**cell, "node": node, "grams": grams} for cell in cells]
-            yield pa.RecordBatch.from_pylist(out, schema)
+            own = pa.array([_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist())], pa.bool_())
+            columns = [batch.column("node"), batch.column("cells"), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "cells", "grams"]).filter(own)
 
     return run
 
 
-def _compared(percent: int) -> Callable:
-    """In each cell, members whose overlap with the pivot reaches the threshold."""
+def _parity(grams: np.ndarray) -> np.ndarray:
+    """Bytes whose bits tell where an odd number of n-grams falls."""
+    least, most = _PARITY_BITS
+    bits = min(max(1 << (2 * len(grams) - 1).bit_length(), least), most)
+    return np.packbits(np.bincount((grams & U64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1)
+
+
+def _folded(parity: np.ndarray, n: int) -> np.ndarray:
+    """The parity on fewer bits, ``n`` bytes of them."""
+    while len(parity) > n:
+        half = len(parity) // 2
+        parity = parity[:half] ^ parity[half:]
+    return parity
+
+
+def _wanted(seen) -> Callable:
+    """Rows whose ``key`` may be among those of which the bitmap ``seen`` was made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch.column("key").to_numpy() & ((1 << _FILTER_BITS) - 1)
+            yield batch.filter(pa.array((seen.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1))
+
+    return run
+
+
+def _parities(words: int, seen) -> Callable:
+    """The parity of the set of each row that may be wanted, with the set's digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _sets(_wanted(seen)(batches), words):
+            digests = pa.array([_digest(s) for s in sets], pa.binary())
+            grams = pa.array([_parity(s).tobytes() if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), digests, grams], names=["key", "digest", "grams"])
+
+    return run
+
+
+def _most_in_common(parities: list[np.ndarray], size: np.ndarray, left: int) -> np.ndarray:
+    """How many n-grams each of the first ``left`` sets shares with each set at most."""
+    long = np.array([len(p) for p in parities])
+    differ = np.zeros((left, len(parities)), np.int64)
+    for n in np.unique(long).tolist():  # a pair is last seen on all bits that both have
+        some = np.flatnonzero(long >= n)
+        bits = np.unpackbits(np.stack([_folded(parities[i], n) for i in some]), axis=1).astype(np.float32)
+        ones, first = bits.sum(axis=1), int((some < left).sum())
+        differ[np.ix_(some[:first], some)] = ones[:first, None] + ones - 2 * (bits[:first] @ bits.T)
+    return (size[:left, None] + size - differ) // 2
+
+
+def _compared(percent: int, whole: bool) -> Callable:
+    """In each cell, members whose overlap with the pivot reaches the threshold, or may as far as parities tell."""
+
+    def overlap(own: np.ndarray, other: np.ndarray, sizes: int) -> int:
+        if whole:
+            at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+            return int((own[at] == other).sum())
+        n = min(len(own), len(other))
+        return (sizes - int(np.bitwise_count(_folded(own, n) ^ _folded(other, n)).sum())) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, own = None, None
+        pivot, own, own_size = None, None, 0
         for batch in batches:
-            found_a, found_b = [], []
-            columns = [batch.column(c).to_pylist() for c in ("a", "is_pivot", "node", "grams")]
-            for a, is_pivot, node, grams in zip(*columns):
-                other = np.frombuffer(grams, U64)
+            found = []
+            columns = [batch.column(c).to_pylist() for c in ("a", "is_pivot", "size", "node", "grams")]
+            for a, is_pivot, size, node, grams in zip(*columns):
+                other = np.frombuffer(grams, U64 if whole else np.uint8)
                 if is_pivot:
-                    pivot, own = a, other
+                    pivot, own, own_size = a, other, size
                     continue
                 if a != pivot:
                     raise ValueError(f"no set for {a}")
-                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                shared = int((own[at] == other).sum())
-                if 100 * shared >= percent * (len(own) + len(other) - shared):
-                    found_a.append(a)
-                    found_b.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+                sizes = own_size + size
+                shared = overlap(own, other, sizes)
+                if 100 * shared >= percent * (sizes - shared):
+                    found.append((a, own_size, node, size))
+            columns = np.array(found, np.int64).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "a_size", "b", "b_size"])
 
     return run
 
@@ -233,11 +289,13 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return [numbers[a:b].copy() for a, b in zip(ends[:-1], ends[1:])]
 
 
-def _multiplied(percent: int, whole: bool) -> Callable:
-    """Of cells: with first n-grams, members that may be linked to another group; with whole sets, links that tie groups.
+def _multiplied(percent: int, of: str) -> Callable:
+    """Of cells: with ``"first"`` n-grams or ``"parity"``, members that may be linked to another group; with ``"whole"``
+    sets, links that tie groups.
 
     A cell's left members meet those on the right, in the cell -1 each other too.
     """
+    whole = of == "whole"
 
     def product(cell: tuple, rows: dict[int, tuple]) -> pa.RecordBatch:
         inside = sorted(rows.items(), key=lambda x: not x[1][0])
@@ -245,11 +303,14 @@ def _multiplied(percent: int, whole: bool) -> Callable:
         node = np.array([n for n, _ in inside], np.int64)
         root, size = (np.array([r[k] for _, r in inside], np.int64) for k in (1, 2))
         sets = [r[3] for _, r in inside]
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        weights = np.concatenate([r[4] for _, r in inside]) if not whole else np.ones(len(owner), np.int64)
-        common = _common_counts(owner, np.concatenate(sets), weights, left, len(sets))
+        if of == "parity":
+            common = _most_in_common([s.view(np.uint8) for s in sets], size, left)
+        else:
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            weights = np.concatenate([r[4] for _, r in inside]) if not whole else np.ones(len(owner), np.int64)
+            common = _common_counts(owner, np.concatenate(sets), weights, left, len(sets))
         both = size[:left, None] + size
-        if whole:
+        if of != "first":
             good = 100 * common >= percent * (both - common)
         else:
             later = size - first_grams(size, percent)
@@ -271,7 +332,7 @@ def _multiplied(percent: int, whole: bool) -> Callable:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("label", "i", "j", "is_left", "node", "root", "size")]
             lists = _arrays(batch.column("grams"))
-            weights = lists if whole else _arrays(batch.column("weights"))
+            weights = _arrays(batch.column("weights")) if of == "first" else lists
             for label, i, j, is_left, node, root, size, grams, weight in zip(*columns, lists, weights):
                 if (label, i, j) != now:
                     if rows:
@@ -291,7 +352,8 @@ def _blocks(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     A column's pivot is the one that most of its members favour, and a node favours the smallest node of most of its
     columns: so columns of one cluster have one pivot or few.
     """
-    entries = entries.repartition("gram")
+    # Filtered first: else only the join's side is, which makes it another shuffle.
+    entries = entries.filter("gram is not null").repartition("gram")
     columns = entries.groupBy("gram").agg(
         F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("node")).alias("one"),
@@ -357,10 +419,9 @@ def _in_cells(rows: DataFrame, *lists: str) -> DataFrame:
     return dealt.sortWithinPartitions("label", "i", "j").select("label", "i", "j", "is_left", "node", "root", "size", *lists)
 
 
-@F.pandas_udf(LongType())
-def _weight_in_common(grams: pd.Series, weights: pd.Series, others: pd.Series) -> pd.Series:
-    both = zip(grams, weights, others)
-    return pd.Series([int(w[np.isin(g, o, assume_unique=True)].sum()) for g, w, o in both], dtype="int64")
+def _weight_in_common(grams: pa.Array, weights: pa.Array, others: pa.Array) -> pa.Array:
+    both = zip(_arrays(grams), _arrays(weights), _arrays(others))
+    return pa.array([int(w[np.isin(g, o, assume_unique=True)].sum()) for g, w, o in both], pa.int64())
 
 
 def _promising(pairs: DataFrame, classes: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
@@ -376,44 +437,49 @@ def _promising(pairs: DataFrame, classes: DataFrame, lists: DataFrame, percent:
     both = both.join(of_a, "a").join(lists.select(F.col("node").alias("b"), F.col("grams").alias("others")), "b")
     rest = F.expr(f"(greatest(a_size, b_size) * {percent} + 99) div 100 - 1")
     enough = (100 + percent) * (F.col("shared") + rest) >= percent * (F.col("a_size") + F.col("b_size"))
-    return both.withColumn("shared", _weight_in_common("grams", "weights", "others")).filter(enough).select("a", "b")
+    in_common = F.arrow_udf(_weight_in_common, LongType())
+    shared = in_common("grams", "weights", "others")
+    return both.withColumn("shared", shared).filter(enough).select("a", "a_size", "b", "b_size")
 
 
-def _texts_of(cells: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """A text of each node of ``cells`` (``node``, ``cells``).
+def _in_their_cells(cells: DataFrame, docs: DataFrame, classes: DataFrame, words: int, whole: bool) -> DataFrame:
+    """The whole set or the parity of each node of ``cells`` (``node``, ``cells``), once for each of its cells.
 
-    Only texts that may be wanted are shuffled; a filter of fixed size tells.
+    Only texts or parities that may be wanted are shuffled; a filter of fixed size tells.
     """
     wanted = stored(classes.select("node", "digest", "key").join(cells, "node"))
     seen = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
-
-    @F.pandas_udf("boolean")
-    def may_be_wanted(bit):
-        bit = bit.to_numpy()
-        return pd.Series((seen.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1)
-
-    return docs.filter(may_be_wanted(_bit())).join(wanted, "key").select("node", "digest", "cells", "text")
-
-
-def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of ``pairs`` of a pivot ``a`` and a member ``b``, those whose overlap reaches the threshold on the whole sets.
+    if whole:
+        # Shuffled even if the join needn't: two Python steps in a stage would take twice as many workers.
+        texts = docs.select("key", "text").mapInArrow(_wanted(seen), "key long, text string")
+        texts = texts.repartition(shuffle_partitions(docs.sparkSession), "key")
+        form = f"node long, cells {wanted.schema['cells'].dataType.simpleString()}, grams binary"
+        of_nodes = texts.join(wanted, "key").select("node", "digest", "cells", "text").mapInArrow(_whole_sets(words), form)
+    else:
+        parities = docs.select("key", "text").mapInArrow(_parities(words, seen), "key long, digest binary, grams binary")
+        of_nodes = parities.join(wanted, ["key", "digest"])
+    return of_nodes.select(F.explode("cells").alias("cell"), "node", "grams").select("cell.*", "node", "grams")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
+    """Of ``pairs`` of a pivot ``a`` and a member ``b``, those whose overlap reaches the threshold on the whole sets, or
+    may as far as parities tell.
 
     A pivot of many pairs has many cells of ``_CELL`` members or so.
     """
-    pivots = pairs.groupBy("a").agg(F.ceil(F.count("*") / _CELL).cast("int").alias("cells"))
-    at = F.pmod(F.xxhash64("b"), F.col("cells")).cast("int")
-    of_members = pairs.join(pivots, "a").select(F.col("b").alias("node"), "a", at.alias("cell"), F.lit(False).alias("is_pivot"))
-    of_pivots = pivots.select(
-        F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("is_pivot")
-    )
-    cells = of_members.unionByName(of_pivots).groupBy("node").agg(F.collect_list(F.struct("a", "cell", "is_pivot")).alias("cells"))
-    form = pa.struct([("a", pa.int64()), ("cell", pa.int32()), ("is_pivot", pa.bool_())])
-    sets = _texts_of(cells, docs, classes).mapInArrow(
-        _sets_by_cell(words, form), "a long, cell int, is_pivot boolean, node long, grams binary"
+    pivots = pairs.groupBy("a").agg(F.ceil(F.count("*") / _CELL).cast("int").alias("cells"), F.first("a_size").alias("size"))
+    at = F.pmod(F.xxhash64("b"), F.col("cells")).cast("int").alias("cell")
+    of_members = pairs.join(pivots.drop("size"), "a").select(
+        F.col("b").alias("node"), "a", at, F.lit(False).alias("is_pivot"), F.col("b_size").alias("size")
     )
+    each = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")
+    of_pivots = pivots.select(F.col("a").alias("node"), "a", each, F.lit(True).alias("is_pivot"), "size")
+    cells = of_members.unionByName(of_pivots).groupBy("node")
+    cells = cells.agg(F.collect_list(F.struct("a", "cell", "is_pivot", "size")).alias("cells"))
+    sets = _in_their_cells(cells, docs, classes, words, whole)
     dealt = sets.repartition(shuffle_partitions(docs.sparkSession), "a", "cell")
-    ordered = dealt.sortWithinPartitions("a", "cell", F.desc("is_pivot"))
-    return ordered.select("a", "is_pivot", "node", "grams").mapInArrow(_compared(percent), "a long, b long")
+    ordered = dealt.sortWithinPartitions("a", "cell", F.desc("is_pivot")).select("a", "is_pivot", "size", "node", "grams")
+    return ordered.mapInArrow(_compared(percent, whole), "a long, a_size long, b long, b_size long")
 
 
 def _with_like_sizes(members: DataFrame, percent: int) -> DataFrame:
@@ -430,23 +496,21 @@ def _between_groups(
     members: DataFrame, lists: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int
 ) -> DataFrame:
     """Links (``a``, ``b``) that tie the groups (``root``) of a block's members, by products of cells."""
-    of_cell = "label long, i int, j int, is_left boolean, root long, size long"
-    form = pa.struct(
-        [("label", pa.int64()), ("i", pa.int32()), ("j", pa.int32())]
-        + [("is_left", pa.bool_()), ("root", pa.int64()), ("size", pa.int64())]
-    )
     heads = _dealt(stored(_with_like_sizes(members, percent))).join(lists, "node")
     heads = heads.withColumn("cell", F.explode("cells")).select("label", "cell.*", "node", "root", "size", "grams", "weights")
     heads = _in_cells(heads, "grams", "weights")
-    hopeful = stored(heads.mapInArrow(_multiplied(percent, False), "label long, node long").distinct())
-    left = _dealt(members.join(hopeful, ["label", "node"]))
-    here = lambda c: [c[x].alias(x) for x in ("i", "j", "is_left")]
-    places = F.transform("cells", lambda c: F.struct("label", *here(c), "root", "size"))
-    cells = left.withColumn("cells", places).groupBy("node").agg(F.flatten(F.collect_list("cells")).alias("cells"))
-    sets = _texts_of(cells, docs, classes).mapInArrow(
-        _sets_by_cell(words, form), f"{of_cell}, node long, grams binary"
-    )
-    return _in_cells(sets, "grams").mapInArrow(_multiplied(percent, True), "a long, b long")
+    hopeful = stored(heads.mapInArrow(_multiplied(percent, "first"), "label long, node long").distinct())
+
+    def cells_of(hopeful: DataFrame, whole: bool) -> DataFrame:
+        left = _dealt(members.join(hopeful, ["label", "node"]))
+        here = lambda c: [c[x].alias(x) for x in ("i", "j", "is_left")]
+        places = F.transform("cells", lambda c: F.struct("label", *here(c), "root", "size"))
+        cells = left.withColumn("cells", places).groupBy("node").agg(F.flatten(F.collect_list("cells")).alias("cells"))
+        return _in_cells(_in_their_cells(cells, docs, classes, words, whole), "grams")
+
+    parities = cells_of(hopeful, False)
+    hopeful = stored(parities.mapInArrow(_multiplied(percent, "parity"), "label long, node long").distinct())
+    return cells_of(hopeful, True).mapInArrow(_multiplied(percent, "whole"), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -478,7 +542,10 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     )
     blocks, lists = _blocks(classes.select("node", F.explode("first").alias("gram")))
     pairs = blocks.filter("label != node").select(F.col("label").alias("a"), F.col("node").alias("b"))
-    ties = stored(_links(stored(_promising(pairs, classes, lists, percent)), docs, classes, words, percent))
+    pairs = stored(_promising(pairs, classes, lists, percent))
+    for whole in (False, True):
+        pairs = stored(_links(pairs, docs, classes, words, percent, whole))
+    ties = pairs.select("a", "b")
     roots = connected_components(ties)
     rooted = lambda df: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = stored(rooted(blocks).join(classes.select("node", "size"), "node"))
