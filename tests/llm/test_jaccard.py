@@ -1,12 +1,18 @@
 """Groups of similar documents against all pairs."""
 
+import os
 import random
+import tracemalloc
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hard_texts import prose
 from trailmark.llm import components, jaccard
+from trailmark.llm.shared import giving_back
 
 
 def shingle_set(text, n):
@@ -175,3 +181,47 @@ def test_entries_are_shuffled_once(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert plans[0].count("REPARTITION_BY_COL") == plans[0].count("ReusedExchange") + 1 == 2
+
+
+def test_frequent_n_grams_are_counted_without_copies(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64)) for _ in range(jaccard._GATHERED // 4000)]
+    sets = [np.unique(np.r_[s, np.arange(i % 5, dtype=np.uint64)]) for i, s in enumerate(sets)]
+    monkeypatch.setattr(jaccard, "_sets", lambda batches, words: [(None, list(sets))])
+    tracemalloc.start()
+    found = [r for batch in jaccard._frequent_in_tasks(5)([]) for r in batch.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = Counter(g for s in sets for g in s.tolist() if g < 5)
+    assert {r["gram"]: r["n"] for r in found} == counts and min(counts.values()) == 100
+    assert peak < 2 * 8 * jaccard._GATHERED  # the n-grams once, and less than as much again
+
+
+@pytest.mark.parametrize("texts", [[], [""], ["a b"], ["a b", "a b"], ["a b", "a b", "A  b", "c"]])
+def test_frequent_n_grams_of_few_texts(texts):
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    found = [r["n"] for out in jaccard._frequent_in_tasks(5)([batch]) for r in out.to_pylist()]
+    assert found == ([3] if len(texts) == 4 else [])
+
+
+def test_entries_meet_kept_columns_unsorted(spark):
+    entries = spark.range(1000).selectExpr("id node", "id % 400 gram").repartition(5, "gram")
+    kept = spark.range(300).selectExpr("id gram", "id least", "id weight")
+    plan = jaccard._of_kept(entries, kept)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan
+
+
+def test_free_memory_is_returned_at_the_end_of_a_task():
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+    seen, pins = [], []
+
+    def run(batches):
+        blocks = [b"x" * 5000 for _ in range(40_000)]
+        pins.extend(blocks[::200])  # what stays, also at the end, keeps the heap from shrinking by itself
+        pins.append(blocks[-1])
+        yield from batches
+        del blocks
+        seen.append(resident())
+
+    assert list(giving_back(run)(iter([1, 2]))) == [1, 2]
+    assert resident() < seen[0] - 100

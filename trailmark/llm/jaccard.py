@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from trailmark.llm.components import connected_components
-from trailmark.llm.shared import U64, Windows, as_bytes, row_key, shingles, shuffle_partitions, signed, stored, word_hashes
+from trailmark.llm.shared import U64, Windows, as_bytes, giving_back, row_key, shingles, shuffle_partitions, signed, stored, word_hashes
 
 #: Frequent n-grams that are put last in the order: 8 MB in every task. The order only affects speed.
 FREQUENT = 1_000_000
@@ -62,11 +62,14 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Re
 
 def _frequent_in_tasks(words: int) -> Callable:
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-        many = counts >= _SEEN
-        return pa.RecordBatch.from_arrays(
-            [pa.array(signed(keys[many])), pa.array(counts[many].astype(np.int64))], names=["gram", "n"]
-        )
+        keys = np.concatenate(parts)
+        parts.clear()
+        keys.sort()
+        # Sorted in place, and only what occurs often gets a count: few copies of so many.
+        first = keys[: max(len(keys) - _SEEN + 1, 0)]
+        many = np.unique(first[first == keys[_SEEN - 1 :]])
+        counts = np.searchsorted(keys, many, "right") - np.searchsorted(keys, many)
+        return pa.RecordBatch.from_arrays([pa.array(signed(many)), pa.array(counts.astype(np.int64))], names=["gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -76,7 +79,7 @@ def _frequent_in_tasks(words: int) -> Callable:
                 held += len(s)
                 if held >= _GATHERED:
                     yield counted(parts)
-                    parts, held = [], 0
+                    held = 0
         if parts:
             yield counted(parts)
 
@@ -85,7 +88,7 @@ def _frequent_in_tasks(words: int) -> Callable:
 
 def frequent_grams(docs: DataFrame, words: int) -> np.ndarray:
     """Hashes of at most ``FREQUENT`` frequent n-grams, rarest first."""
-    counts = docs.mapInArrow(_frequent_in_tasks(words), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = docs.mapInArrow(giving_back(_frequent_in_tasks(words)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("n") >= _OFTEN).orderBy(F.desc("n"), "gram").limit(FREQUENT)
     table = top.toArrow()
     return table.column("gram").to_numpy().astype(np.int64)[::-1].view(U64).copy()
@@ -345,10 +348,15 @@ def _multiplied(percent: int, of: str) -> Callable:
     return run
 
 
+def _of_kept(entries: DataFrame, kept: DataFrame) -> DataFrame:
+    return entries.join(kept.hint("shuffle_hash"), "gram")
+
+
 def _blocks(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``label``, ``node``: members of each block; and ``node``, ``grams``, ``weights``: the columns of each member.
 
-    Two nodes of one column are in one block at least. Entries are shuffled once, by n-gram, and read twice.
+    Two nodes of one column are in one block at least. Entries are shuffled once, by n-gram, and read twice. They
+    meet the columns that are kept in a hash join: those are few, one row an n-gram, and entries need not be sorted.
     A column's pivot is the one that most of its members favour, and a node favours the smallest node of most of its
     columns: so columns of one cluster have one pivot or few.
     """
@@ -366,7 +374,7 @@ def _blocks(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(F.min("gram").alias("gram"), F.min("least").alias("least"), F.count("*").alias("weight"))
         .select("gram", "least", "weight")
     )
-    members = stored(entries.join(kept, "gram"))
+    members = stored(_of_kept(entries, kept))
     votes = members.groupBy("node", "least").agg(F.count("*").alias("n"))
     favourites = votes.groupBy("node").agg(F.max_by("least", "n").alias("favourite"))
     of_columns = members.join(favourites, "node").groupBy("gram", "favourite").agg(F.count("*").alias("n"))
@@ -451,12 +459,12 @@ def _in_their_cells(cells: DataFrame, docs: DataFrame, classes: DataFrame, words
     seen = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
     if whole:
         # Shuffled even if the join needn't: two Python steps in a stage would take twice as many workers.
-        texts = docs.select("key", "text").mapInArrow(_wanted(seen), "key long, text string")
+        texts = docs.select("key", "text").mapInArrow(giving_back(_wanted(seen)), "key long, text string")
         texts = texts.repartition(shuffle_partitions(docs.sparkSession), "key")
         form = f"node long, cells {wanted.schema['cells'].dataType.simpleString()}, grams binary"
-        of_nodes = texts.join(wanted, "key").select("node", "digest", "cells", "text").mapInArrow(_whole_sets(words), form)
+        of_nodes = texts.join(wanted, "key").select("node", "digest", "cells", "text").mapInArrow(giving_back(_whole_sets(words)), form)
     else:
-        parities = docs.select("key", "text").mapInArrow(_parities(words, seen), "key long, digest binary, grams binary")
+        parities = docs.select("key", "text").mapInArrow(giving_back(_parities(words, seen)), "key long, digest binary, grams binary")
         of_nodes = parities.join(wanted, ["key", "digest"])
     return of_nodes.select(F.explode("cells").alias("cell"), "node", "grams").select("cell.*", "node", "grams")
 
@@ -479,7 +487,7 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, pe
     sets = _in_their_cells(cells, docs, classes, words, whole)
     dealt = sets.repartition(shuffle_partitions(docs.sparkSession), "a", "cell")
     ordered = dealt.sortWithinPartitions("a", "cell", F.desc("is_pivot")).select("a", "is_pivot", "size", "node", "grams")
-    return ordered.mapInArrow(_compared(percent, whole), "a long, a_size long, b long, b_size long")
+    return ordered.mapInArrow(giving_back(_compared(percent, whole)), "a long, a_size long, b long, b_size long")
 
 
 def _with_like_sizes(members: DataFrame, percent: int) -> DataFrame:
@@ -499,7 +507,7 @@ def _between_groups(
     heads = _dealt(stored(_with_like_sizes(members, percent))).join(lists, "node")
     heads = heads.withColumn("cell", F.explode("cells")).select("label", "cell.*", "node", "root", "size", "grams", "weights")
     heads = _in_cells(heads, "grams", "weights")
-    hopeful = stored(heads.mapInArrow(_multiplied(percent, "first"), "label long, node long").distinct())
+    hopeful = stored(heads.mapInArrow(giving_back(_multiplied(percent, "first")), "label long, node long").distinct())
 
     def cells_of(hopeful: DataFrame, whole: bool) -> DataFrame:
         left = _dealt(members.join(hopeful, ["label", "node"]))
@@ -509,8 +517,8 @@ def _between_groups(
         return _in_cells(_in_their_cells(cells, docs, classes, words, whole), "grams")
 
     parities = cells_of(hopeful, False)
-    hopeful = stored(parities.mapInArrow(_multiplied(percent, "parity"), "label long, node long").distinct())
-    return cells_of(hopeful, True).mapInArrow(_multiplied(percent, "whole"), "a long, b long")
+    hopeful = stored(parities.mapInArrow(giving_back(_multiplied(percent, "parity")), "label long, node long").distinct())
+    return cells_of(hopeful, True).mapInArrow(giving_back(_multiplied(percent, "whole")), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -530,7 +538,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     frequent = spark.sparkContext.broadcast(frequent_grams(docs.select("text"), words))
     summaries = stored(
         docs.mapInArrow(
-            _summaries(words, percent, frequent),
+            giving_back(_summaries(words, percent, frequent)),
             "doc_id long, key long, size long, digest binary, first array<long>",
         )
     )

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.shared import U64, WHITE_SPACE, WordIds, in_parts, in_runs, mixed, shuffle_partitions, stored
+from trailmark.llm.shared import U64, WHITE_SPACE, WordIds, giving_back, in_parts, in_runs, mixed, shuffle_partitions, stored
 
 LENGTH = 2048
 #: Id that ends a document.
@@ -257,7 +257,7 @@ def pack_documents(
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = stored(docs.mapInArrow(_encode(tokenizer_file, ranks_file), "doc_id long, key long, n long, ids binary"))
+    encoded = stored(docs.mapInArrow(giving_back(_encode(tokenizer_file, ranks_file)), "doc_id long, key long, n long, ids binary"))
     chunks = shuffle_partitions(spark) * _CHUNKS
     share = [i / chunks for i in range(1, chunks)]
     bounds = np.unique(np.array(encoded.agg(F.percentile_approx("key", share, 100 * chunks)).first()[0] or [], np.int64))
@@ -271,7 +271,7 @@ def pack_documents(
     for row in sorted(cut.groupBy("chunk").agg(F.sum("n").alias("n")).collect()):
         begins[row.chunk], total = total, total + row.n
     ordered = in_runs(cut, "chunk", len(bounds) + 1).sortWithinPartitions("chunk", "key", "doc_id")
-    return ordered.select("chunk", "doc_id", "n", "ids").mapInArrow(_lay(begins, total, length), _PIECE)
+    return ordered.select("chunk", "doc_id", "n", "ids").mapInArrow(giving_back(_lay(begins, total, length)), _PIECE)
 
 
 @F.pandas_udf(T.LongType())

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.shared import stored
+from trailmark.llm.shared import give_back, giving_back, stored
 
 #: Labelled rows that the classifier is fitted on, at most; more are sampled by a hash of their id.
 TRAINING_ROWS = 20_000
@@ -212,7 +212,7 @@ def fit(
     sample = stored(texts.join(F.broadcast(chosen), "doc_id"))
     totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     toxic_rows, other_rows = totals.toxic, totals.n - totals.toxic
-    counts = sample.mapInArrow(_counted, "feature string, others long, toxic long").groupBy("feature").agg(
+    counts = sample.mapInArrow(giving_back(_counted), "feature string, others long, toxic long").groupBy("feature").agg(
         F.sum("others").alias("others"), F.sum("toxic").alias("toxic")
     )
     ratio = ((F.col("toxic") + 0.5) / (toxic_rows + 1)) / ((F.col("others") + 0.5) / (other_rows + 1))
@@ -223,7 +223,7 @@ def fit(
     )
     names = [r.feature for r in best.collect()]
     index = {f: i for i, f in enumerate(names)}
-    table = sample.mapInArrow(_examples(index, terms), "toxic int, own array<int>, other array<int>").toPandas()
+    table = sample.mapInArrow(giving_back(_examples(index, terms)), "toxic int, own array<int>, other array<int>").toPandas()
     own = [list(x) for x in table["own"]]
     other = [None if x is None else list(x) for x in table["other"]]
     order = sorted(range(len(own)), key=lambda i: (table["toxic"][i], sorted(own[i])))  # the same sums in every run
@@ -238,9 +238,11 @@ def with_scores(docs: DataFrame, classifier: Classifier, column: str = "score")
 
     @F.pandas_udf(T.DoubleType())
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = model.value.scorer()
+        of, texts = model.value.scorer(), None
         for texts in parts:
             yield pd.Series(of(texts.tolist()))
+        of = texts = None
+        give_back()
 
     return docs.withColumn(column, score(F.col("text").cast("string")))
 
